@@ -1,0 +1,6 @@
+"""No stateful stream operator is needed here.
+
+Every expression in ``skyledger.functions`` and the row-level operators in
+``skyledger.operators.cleaning`` and ``skyledger.operators.kpis`` work on a
+streaming DataFrame unchanged; ``tests/test_streaming.py`` shows it.
+"""
