@@ -15,9 +15,9 @@ from skyledger.functions.text import NA_TOKENS
 def nulls_for_tokens(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     """Text columns: every missing-value token becomes null."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns(
-        {c: F.when(~F.col(c).isin(*tokens), F.col(c)) for c in text} if tokens else {}
-    )
+    if not tokens:
+        return df
+    return df.withColumns({c: F.when(~F.col(c).isin(*tokens), F.col(c)) for c in text})
 
 
 def nulls_for_nan(df: DataFrame) -> DataFrame:
