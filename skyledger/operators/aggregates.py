@@ -112,14 +112,23 @@ def delay_metrics(routes: DataFrame) -> DataFrame:
     )
 
 
-def one_row_per_column(df: DataFrame, measures: Mapping[str, Mapping[str, Column]]) -> DataFrame:
-    """``{column: {measure: aggregate}}`` as one row per column, computed in one pass."""
+def one_row_per_column(
+    df: DataFrame,
+    measures: Mapping[str, Mapping[str, Column]],
+    constants: Mapping[str, Mapping[str, float | None]] | None = None,
+) -> DataFrame:
+    """``{column: {measure: aggregate}}`` as one row per column, computed in one pass.
+
+    ``constants`` adds figures per column that are already known.
+    """
     aggregates, rows = [], []
     for i, (column, named) in enumerate(measures.items()):
         fields = [F.lit(column).alias("column_name")]
         for measure, aggregate in named.items():
             aggregates.append(aggregate.alias(f"{measure}_{i}"))
             fields.append(F.col(f"{measure}_{i}").alias(measure))
+        for measure, value in (constants or {}).get(column, {}).items():
+            fields.append(F.lit(value).cast("double").alias(measure))
         rows.append(F.struct(*fields))
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
@@ -131,17 +140,19 @@ def describe_numeric(
     quartiles = exact_quantiles(
         df, {c: [0.25, 0.5, 0.75] for c in columns}, exact=exact, cache=cache
     )
-
-    def measures(c: str) -> dict[str, Column]:
-        x = F.col(c).cast("double")
-        # A constant inside an aggregate row: max() over a literal.
-        q1, q2, q3 = (F.max(F.lit(q).cast("double")) for q in quartiles[c])
-        return {
-            "count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x),
-            "p25": q1, "p50": q2, "p75": q3, "max": F.max(x),
+    measures = {
+        c: {
+            "count": F.count(c),
+            "mean": F.avg(c),
+            "std": F.stddev_samp(c),
+            "min": F.min(F.col(c).cast("double")),
+            "max": F.max(F.col(c).cast("double")),
         }
-
-    return one_row_per_column(df, {c: measures(c) for c in columns})
+        for c in columns
+    }
+    constants = {c: dict(zip(("p25", "p50", "p75"), quartiles[c])) for c in columns}
+    names = ("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    return one_row_per_column(df, measures, constants).select(*names)
 
 
 def min_max(df: DataFrame, column: str) -> DataFrame:
@@ -185,20 +196,18 @@ def box_stats(
     """Quartiles, whisker ends and number of points beyond them, one row per column."""
     quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, cache=cache)
 
-    def measures(c: str) -> dict[str, Column]:
+    measures = {}
+    for c in columns:
         x = F.col(c).cast("double")
-        q1, q2, q3 = quartiles[c]
-        known = q1 is not None
-        low = F.lit(q1 - factor * (q3 - q1) if known else None).cast("double")
-        high = F.lit(q3 + factor * (q3 - q1) if known else None).cast("double")
+        q1, _, q3 = quartiles[c]
+        reach = None if q1 is None else factor * (q3 - q1)
+        low = F.lit(None if q1 is None else q1 - reach).cast("double")
+        high = F.lit(None if q1 is None else q3 + reach).cast("double")
         inside = F.when((x >= low) & (x <= high), x)
-        return {
-            "q1": F.max(F.lit(q1).cast("double")),
-            "median": F.max(F.lit(q2).cast("double")),
-            "q3": F.max(F.lit(q3).cast("double")),
+        measures[c] = {
             "whisker_low": F.min(inside),
             "whisker_high": F.max(inside),
             "outlier_count": F.count_if((x < low) | (x > high)),
         }
-
-    return one_row_per_column(df, {c: measures(c) for c in columns})
+    constants = {c: dict(zip(("q1", "median", "q3"), quartiles[c])) for c in columns}
+    return one_row_per_column(df, measures, constants)
