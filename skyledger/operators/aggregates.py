@@ -67,9 +67,9 @@ def flights_by_route(
 def tickets_by_route(df: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
     """Passengers and mean fare per symmetric route and carrier."""
     keys = ["ROUTE_KEY", "REPORTING_CARRIER", *extra_keys]
-    routes = df.withColumn("ROUTE_KEY", symmetric_key(F.col("ORIGIN"), F.col("DESTINATION")))
+    known = _known(df, ["ORIGIN", "DESTINATION", "REPORTING_CARRIER", *extra_keys])
     return (
-        _known(routes, keys)
+        known.withColumn("ROUTE_KEY", symmetric_key(F.col("ORIGIN"), F.col("DESTINATION")))
         .groupBy(*keys)
         .agg(F.sum("PASSENGERS").alias("PASSENGERS"), F.avg("ITIN_FARE").alias("ITIN_FARE"))
     )

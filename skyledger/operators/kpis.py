@@ -191,12 +191,13 @@ def breakeven_tracker(
     group: Sequence[str] = ("ROUTE", "CARRIER", "ROUTE_NAME_CITY"),
     period: Sequence[str] = ("YEAR", "QUARTER"),
 ) -> DataFrame:
-    """Profit so far as a share of the airplane price."""
+    """Profit so far, in whole cents like its parts, and as a share of the airplane price."""
     so_far = (
         Window.partitionBy(*group)
         .orderBy(*period)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return df.withColumn("CUMULATIVE_PROFIT", F.sum("PROFIT").over(so_far)).withColumn(
+    total = round_half_even(F.sum("PROFIT").over(so_far))
+    return df.withColumn("CUMULATIVE_PROFIT", total).withColumn(
         "BREAKEVEN_PROGRESS", F.col("CUMULATIVE_PROFIT") / params.airplane_cost
     )

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.text import latitude, longitude
 from skyledger.operators.aggregates import delay_metrics, route_summary, sum_by_route
-from skyledger.operators.kpis import add_total_delay
 from skyledger.operators.ranking import (
     ascending,
     best_per_group,
@@ -116,7 +115,3 @@ def cost_and_revenue(routes: DataFrame) -> DataFrame:
         (F.col("TOTAL_REVENUE") > F.col("TOTAL_COST")).alias("ABOVE_BREAKEVEN"),
     )
 
-
-def delay_and_profit(routes: DataFrame) -> DataFrame:
-    """City pairs with profit, delay and demand."""
-    return route_summary(add_total_delay(routes))

@@ -62,7 +62,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fmt == "parquet":
         df.write.mode("overwrite").parquet(path)
     elif fmt == "csv":
-        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        (
+            df.write.mode("overwrite")
+            .option("header", True)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
     else:
         raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
 
