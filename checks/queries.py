@@ -76,6 +76,11 @@ def typed_flights(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.convert_columns(worded, rest)
 
 
+def staged(build: Query, spark: SparkSession, sf: str) -> DataFrame:
+    """A derived table written once, ahead of operators that pass over it several times."""
+    return tables.stage(build(spark, sf), build.__name__)
+
+
 def by_direction(spark: SparkSession, sf: str) -> DataFrame:
     return agg.flights_by_direction(proxy.flights(spark, sf))
 
@@ -253,7 +258,7 @@ def _(spark, sf):
 
 @query("q03_classify_columns")
 def _(spark, sf):
-    return quality.column_kinds(proxy.flights(spark, sf), ordinal=["CANCELLED"])
+    return quality.column_kinds(staged(proxy.flights, spark, sf), ordinal=["CANCELLED"])
 
 
 @query("q04_drop_all_null_columns")
@@ -293,14 +298,14 @@ def _(spark, sf):
 
 @query("q08_impute_median_mode")
 def _(spark, sf):
-    typed = typed_flights(spark, sf)
+    typed = staged(typed_flights, spark, sf)
     full = quality.impute(typed, ["DEP_DELAY", "OCCUPANCY_RATE", "DISTANCE"], ["TAIL_NUM"])
     return full.select("OP_CARRIER", "ORIGIN", "TAIL_NUM", "DEP_DELAY", "OCCUPANCY_RATE", "DISTANCE")
 
 
 @query("q08_impute_mean_constant")
 def _(spark, sf):
-    typed = typed_flights(spark, sf)
+    typed = staged(typed_flights, spark, sf)
     full = quality.impute(
         typed, ["DEP_DELAY", "DISTANCE"], ["TAIL_NUM", "OCCUPANCY_RATE"], "mean", "constant", "Unknown"
     )
@@ -321,7 +326,7 @@ def _(spark, sf):
 @query("q10_column_profile")
 def _(spark, sf):
     columns = ["TAIL_NUM", "ORIGIN", "DEP_DELAY", "ARR_DELAY", "DISTANCE", "OCCUPANCY_RATE"]
-    profile = quality.column_profile(typed_flights(spark, sf).select(*columns), cache=True)
+    profile = quality.column_profile(staged(typed_flights, spark, sf).select(*columns))
     return six(profile, "mean", "std")
 
 
@@ -399,7 +404,7 @@ def _(spark, sf):
 
 @query("f06_balanced_cost")
 def _(spark, sf):
-    balanced = ranking.balanced_cost(medium_large_table(spark, sf))
+    balanced = ranking.balanced_cost(staged(medium_large_table, spark, sf))
     return balanced.select(
         "ROUTE", "CARRIER", "PROFIT", "MILEAGE_COST_PCT", "AIRPORT_FEES_PCT", "DELAY_COST_PCT"
     )
@@ -519,12 +524,12 @@ def _described(df):
 
 @query("a08_describe_all")
 def _(spark, sf):
-    return _described(kpi_table(spark, sf))
+    return _described(staged(kpi_table, spark, sf))
 
 
 @query("a08_describe_medium_large")
 def _(spark, sf):
-    return _described(medium_large_table(spark, sf))
+    return _described(staged(medium_large_table, spark, sf))
 
 
 @query("a09_min_max")
@@ -534,13 +539,13 @@ def _(spark, sf):
 
 @query("a10_profit_histogram")
 def _(spark, sf):
-    histogram = agg.profit_histogram(medium_large_table(spark, sf))
+    histogram = agg.profit_histogram(staged(medium_large_table, spark, sf))
     return histogram.withColumns({c: F.round(c, 4) for c in ("bin_low", "bin_high")})
 
 
 @query("a11_box_stats")
 def _(spark, sf):
-    stats = agg.box_stats(medium_large_table(spark, sf), ["PROFIT", "DELAY_COST"])
+    stats = agg.box_stats(staged(medium_large_table, spark, sf), ["PROFIT", "DELAY_COST"])
     return stats.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
@@ -567,13 +572,13 @@ def _(spark, sf):
 @query("o03_outlier_summary_iqr")
 def _(spark, sf):
     columns = [*LEG_MEASURES, "OCCUPANCY_RATE"]
-    return outliers.outlier_summary(proxy.flights(spark, sf), columns, "iqr", cache=True)
+    return outliers.outlier_summary(staged(proxy.flights, spark, sf), columns, "iqr")
 
 
 @query("o03_outlier_summary_zscore")
 def _(spark, sf):
     columns = [*LEG_MEASURES, "OCCUPANCY_RATE"]
-    return outliers.outlier_summary(proxy.flights(spark, sf), columns, "zscore", z=2.0)
+    return outliers.outlier_summary(staged(proxy.flights, spark, sf), columns, "zscore", z=2.0)
 
 
 @query("o04_cap_mad")
@@ -583,8 +588,8 @@ def _(spark, sf):
 
 @query("o05_cap_mad_report")
 def _(spark, sf):
-    flights = proxy.flights(spark, sf)
-    return six(outliers.cap_mad_report(flights, LEG_MEASURES, k=1.0, cache=True)[1], "capped_pct")
+    flights = staged(proxy.flights, spark, sf)
+    return six(outliers.cap_mad_report(flights, LEG_MEASURES, k=1.0)[1], "capped_pct")
 
 
 # --- rankings -----------------------------------------------------------------------
@@ -601,7 +606,7 @@ QUERIES["r04_most_demanded"] = _answer(answers.most_demanded)
 QUERIES["r05_most_punctual"] = _answer(answers.most_punctual)
 QUERIES["r06_busiest_grouped"] = _answer(answers.busiest_grouped)
 QUERIES["r07_best_revenue_to_cost"] = _answer(answers.best_revenue_to_cost)
-QUERIES["r08_best_balanced"] = _answer(answers.best_balanced)
+QUERIES["r08_best_balanced"] = lambda spark, sf: answers.best_balanced(staged(kpi_table, spark, sf))
 QUERIES["r09_breakeven"] = _answer(answers.breakeven, NAMED)
 
 
@@ -788,7 +793,7 @@ def _(spark, sf):
         "busiest_grouped": "TOTAL_FLIGHTS", "best_revenue_to_cost": "REV_TO_COST_RATIO",
         "best_balanced": "PROFIT", "breakeven": "BREAKEVEN_FLIGHTS",
     }
-    found = answers.answers(tables.stage(kpi_table(spark, sf), "kpis"), NAMED)
+    found = answers.answers(staged(kpi_table, spark, sf), NAMED)
     lists = [
         df.select(
             F.lit(name).alias("ANSWER"), "ROUTE_NAME_CITY", F.col(metric[name]).cast("double").alias("VALUE")

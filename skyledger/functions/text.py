@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -23,9 +24,8 @@ NA_TOKENS = (
     "n/a", "nan", "null",
 )
 
-DIGITS = r"^[0-9]+$"
-SIGNED_DIGITS = r"^-?[0-9]+$"
-DECIMAL = r"^-?[0-9]+\.[0-9]+$"
+COMPAT_NUMBER = r"^(?:[0-9]+|-?[0-9]+\.[0-9]+)$"
+SIGNED_NUMBER = r"^-?[0-9]+(?:\.[0-9]+)?$"
 NUMBER = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 SHORT_US_DATE = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$"
 
@@ -53,13 +53,16 @@ def clean_numeric(text: Column, mode: str = "compat") -> Column:
     """
     if mode not in ("compat", "signed"):
         raise ValueError(f"mode must be 'compat' or 'signed', got {mode!r}")
-    whole = DIGITS if mode == "compat" else SIGNED_DIGITS
+    number = COMPAT_NUMBER if mode == "compat" else SIGNED_NUMBER
     word_sum = F.aggregate(
         F.transform(F.split(_strip(text), r"\s+"), word_number),
         F.lit(None).cast("double"),
         lambda total, n: F.when(n.isNull(), total).otherwise(F.coalesce(total, F.lit(0.0)) + n),
     )
-    return F.when(text.rlike(whole) | text.rlike(DECIMAL), text.try_cast("double")).otherwise(word_sum)
+    # Only texts with a letter can hold a word; the rest never reach the split.
+    return F.when(text.rlike(number), text.try_cast("double")).when(
+        text.rlike("[A-Za-z]"), word_sum
+    )
 
 
 def parse_number(text: Column) -> Column:
@@ -67,9 +70,32 @@ def parse_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
 
 
+# One piece of a date format: quoted text, a run of one letter, or any other character.
+_FORMAT_PIECE = re.compile(r"'(?P<quoted>[^']*)'|(?P<run>(?P<letter>[A-Za-z])(?P=letter)*)|(?P<other>.)")
+
+
+def _shape(date_format: str) -> str:
+    """Regular expression for the texts a date format can possibly fit."""
+    shape = []
+    for piece in _FORMAT_PIECE.finditer(date_format):
+        run = piece["run"]
+        if run is None:
+            shape.append(re.escape(piece["quoted"] or piece["other"] or ""))
+        elif run[0] not in "yMdHhmsS" or (run[0] == "M" and len(run) > 2):
+            shape.append(".+")
+        else:
+            shape.append("[0-9]{1,2}" if len(run) == 1 else f"[0-9]{{{len(run)}}}")
+    return f"^{''.join(shape)}$"
+
+
 def parse_timestamp(text: Column, formats: Sequence[str] = ISO_FORMATS) -> Column:
-    """First format that fits wins; null when none does."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    """First format that fits wins; null when none does.
+
+    A text is parsed only if it has the shape of the format: failing to parse is dear.
+    """
+    return F.coalesce(
+        *[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats]
+    )
 
 
 def standardize_date(text: Column) -> Column:

@@ -134,9 +134,12 @@ def one_row_per_column(
 
 
 def describe_numeric(
-    df: DataFrame, columns: Sequence[str], exact: bool = True, cache: bool = True
+    df: DataFrame, columns: Sequence[str], exact: bool = True, cache: bool = False
 ) -> DataFrame:
-    """count, mean, std, min, quartiles and max, one row per column."""
+    """count, mean, std, min, quartiles and max, one row per column.
+
+    Takes several passes: stage a table that is dear to compute.
+    """
     quartiles = exact_quantiles(
         df, {c: [0.25, 0.5, 0.75] for c in columns}, exact=exact, cache=cache
     )
@@ -191,7 +194,7 @@ def profit_histogram(df: DataFrame, column: str = "PROFIT", bins: int = 50) -> D
 
 
 def box_stats(
-    df: DataFrame, columns: Sequence[str], factor: float = 1.5, cache: bool = True
+    df: DataFrame, columns: Sequence[str], factor: float = 1.5, cache: bool = False
 ) -> DataFrame:
     """Quartiles, whisker ends and number of points beyond them, one row per column."""
     quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, cache=cache)

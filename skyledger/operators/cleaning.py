@@ -52,12 +52,12 @@ def audit_conversions(
     df: DataFrame, kinds: Mapping[str, str], formats: Sequence[str] = ISO_FORMATS
 ) -> DataFrame:
     """Adds ``<c>_converted`` and ``<c>_conversion_success`` for every column of ``kinds``."""
-    added: dict[str, Column] = {}
-    for c, kind in kinds.items():
-        converted = _converted(df, c, kind, formats)
-        added[f"{c}_conversion_success"] = converted.isNotNull()
-        added[f"{c}_converted"] = converted
-    return df.withColumns(added)
+    converted = df.withColumns(
+        {f"{c}_converted": _converted(df, c, kind, formats) for c, kind in kinds.items()}
+    )
+    return converted.withColumns(
+        {f"{c}_conversion_success": F.col(f"{c}_converted").isNotNull() for c in kinds}
+    )
 
 
 def conversion_error_report(
@@ -65,17 +65,26 @@ def conversion_error_report(
 ) -> DataFrame:
     """Distinct failures per column with their number of rows, whole and shortened detail.
 
-    Only failed cells leave the scan, and equal ones are combined before the shuffle.
+    Only failed cells are classified, and equal failures are combined before the shuffle.
     """
     cells = []
     for c, kind in kinds.items():
-        converted = _converted(df, c, kind, formats)
-        error = conversion_error(F.col(c), converted, is_text(df, c))
-        cell = F.struct(F.lit(c).alias("column_name"), error.alias("error"))
-        cells.append(F.when(converted.isNull(), cell))
-    failed = df.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+        failed = _converted(df, c, kind, formats).isNull()
+        cell = F.struct(
+            F.lit(c).alias("column_name"),
+            F.col(c).cast("string").alias("raw"),
+            F.lit(is_text(df, c)).alias("is_text"),
+        )
+        cells.append(F.when(failed, cell))
+    raw, nothing = F.col("raw"), F.lit(None)
+    error = F.when(F.col("is_text"), conversion_error(raw, nothing)).otherwise(
+        conversion_error(raw, nothing, raw_is_text=False)
+    )
     return (
-        failed.groupBy("column_name", "error.error_type", "error.detail")
+        df.select(F.inline(F.array(*cells)))
+        .where("column_name is not null")
+        .select("column_name", error.alias("error"))
+        .groupBy("column_name", "error.error_type", "error.detail")
         .agg(F.count("*").alias("row_count"))
         .withColumn("printed_detail", shorten(F.col("detail")))
     )

@@ -25,13 +25,15 @@ def outlier_tests(
     method: str = "zscore",
     z: float = 3.0,
     factor: float = 1.5,
+    quartiles: Mapping[str, tuple[float | None, float | None]] | None = None,
     exact: bool = True,
     cache: bool = False,
 ) -> dict[str, Column]:
     """A boolean test per column; a null is never an outlier.
 
     ``zscore``: more than ``z`` population deviations from the mean.
-    ``iqr``: strictly beyond the quartiles by more than ``factor`` times their distance.
+    ``iqr``: strictly beyond the quartiles by more than ``factor`` times their distance;
+    ``quartiles`` spares the passes that find them.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, got {method!r}")
@@ -46,9 +48,13 @@ def outlier_tests(
             score = F.abs(F.try_divide(F.col(c).cast("double") - mean, std))
             tests[c] = F.coalesce(score > z, F.lit(False))
         return tests
-    quartiles = exact_quantiles(df, {c: [0.25, 0.75] for c in columns}, exact=exact, cache=cache)
+    if quartiles is None:
+        quartiles = exact_quantiles(
+            df, {c: [0.25, 0.75] for c in columns}, exact=exact, cache=cache
+        )
     tests = {}
-    for c, (q1, q3) in quartiles.items():
+    for c in columns:
+        q1, q3 = quartiles[c]
         low, high = (None, None) if q1 is None else (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
         tests[c] = _outside(low, F.col(c).cast("double"), high)
     return tests
@@ -102,14 +108,17 @@ def mad_bounds(
     df: DataFrame,
     columns: Sequence[str],
     k: float = 3.0,
+    medians: Mapping[str, float | None] | None = None,
     exact: bool = True,
     cache: bool = False,
 ) -> dict[str, MadBounds]:
     """Median and unscaled median absolute deviation, of all columns together.
 
-    Nulls are left out of both; a column of nulls gets no bounds.
+    Nulls are left out of both; a column of nulls gets no bounds. ``medians`` spares the
+    passes that find them.
     """
-    medians = exact_medians(df, columns, exact=exact, cache=cache)
+    if medians is None:
+        medians = exact_medians(df, columns, exact=exact, cache=cache)
     known = [c for c in columns if medians[c] is not None]
     distances = df.select(
         *[F.abs(F.col(c).cast("double") - F.lit(medians[c])).alias(c) for c in known]

@@ -15,7 +15,12 @@ from pyspark.sql import types as T
 
 from skyledger.functions.money import ratio
 from skyledger.operators.aggregates import one_row_per_column
-from skyledger.operators.quantiles import exact_medians, exact_quantiles
+from skyledger.operators.quantiles import (
+    exact_medians,
+    exact_quantiles,
+    extent_measures,
+    read_extents,
+)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -83,7 +88,10 @@ class ColumnKinds:
 
 
 def low_cardinality(
-    df: DataFrame, columns: Sequence[str], threshold: int = 20
+    df: DataFrame,
+    columns: Sequence[str],
+    threshold: int = 20,
+    estimates: Mapping[str, int] | None = None,
 ) -> dict[str, int]:
     """Exact distinct count of the columns that have at most ``threshold`` values.
 
@@ -93,7 +101,8 @@ def low_cardinality(
     """
     if not columns:
         return {}
-    estimates = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    if estimates is None:
+        estimates = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     narrow = [c for c in columns if estimates[c] <= 4 * threshold + 16]
     if not narrow:
         return {}
@@ -102,14 +111,17 @@ def low_cardinality(
 
 
 def classify_columns(
-    df: DataFrame, threshold: int = 20, ordinal: Sequence[str] = ()
+    df: DataFrame,
+    threshold: int = 20,
+    ordinal: Sequence[str] = (),
+    estimates: Mapping[str, int] | None = None,
 ) -> ColumnKinds:
     """Numbers with more than ``threshold`` values are numerical, the rest categorical.
 
     Spark has no ordered category type, so ``ordinal`` columns are named by the caller.
     """
     numbers = [c for c in numeric_columns(df) if c not in ordinal]
-    narrow = low_cardinality(df, numbers, threshold)
+    narrow = low_cardinality(df, numbers, threshold, estimates)
     wide = [c for c in numbers if c not in narrow]
     return ColumnKinds(
         categorical=[c for c in df.columns if c not in wide and c not in ordinal],
@@ -118,6 +130,19 @@ def classify_columns(
     )
 
 
+def nulls_and_kinds(df: DataFrame, threshold: int = 20) -> tuple[list[str], ColumnKinds]:
+    """Columns with nulls and the kind of every column, from one pass over the whole table
+    and one over its narrow columns."""
+    numbers = numeric_columns(df)
+    row = df.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"{c}:gaps") for c in df.columns],
+        *[F.approx_count_distinct(c).alias(f"{c}:values") for c in numbers],
+    ).first()
+    estimates = {c: row[f"{c}:values"] for c in numbers}
+    kinds = classify_columns(df, threshold, estimates=estimates)
+    return [c for c in df.columns if row[f"{c}:gaps"]], kinds
+
+
 def column_kinds(df: DataFrame, threshold: int = 20, ordinal: Sequence[str] = ()) -> DataFrame:
     """``classify_columns`` as a table, one row per column."""
     kinds = classify_columns(df, threshold, ordinal)
@@ -190,6 +215,8 @@ def _most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str | Non
 
     Values are counted per column across the cluster; one row per column comes back.
     """
+    if not columns:
+        return {}
     numbers = set(numeric_columns(df))
     cells = []
     for c in columns:
@@ -212,31 +239,6 @@ def _most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str | Non
     return {r["column_name"]: r["value"] for r in top.collect()}
 
 
-def fill_values(
-    df: DataFrame,
-    num_cols: Sequence[str] = (),
-    cat_cols: Sequence[str] = (),
-    num_strategy: str = "median",
-    cat_strategy: str = "mode",
-    constant: str | None = None,
-    exact: bool = True,
-) -> dict[str, object]:
-    """What ``impute`` would put into each column; a column of nulls gets nothing."""
-    if cat_strategy not in ("mode", "constant"):
-        raise ValueError(f"cat_strategy must be 'mode' or 'constant', got {cat_strategy!r}")
-    fills: dict[str, object] = {}
-    if num_cols and num_strategy == "median":
-        fills.update(exact_medians(df, num_cols, exact=exact))
-    elif num_cols:
-        means = df.agg(*[F.avg(c).alias(c) for c in num_cols]).first()
-        fills.update({c: means[c] for c in num_cols})
-    if cat_cols and cat_strategy == "mode":
-        fills.update(_most_frequent(df, cat_cols))
-    elif cat_cols:
-        fills.update({c: constant for c in cat_cols})
-    return {c: v for c, v in fills.items() if v is not None}
-
-
 def impute(
     df: DataFrame,
     num_cols: Sequence[str] = (),
@@ -250,22 +252,47 @@ def impute(
     """Nulls replaced by median or mean, by mode, or by a constant; other columns stay.
 
     A number column among ``cat_cols`` filled with a text constant becomes text
-    (``numeric_mode="text"``) or keeps its type and its nulls (``"keep"``).
+    (``numeric_mode="text"``) or keeps its type and its nulls (``"keep"``). A column that
+    holds nothing but nulls has no median, mean or mode and keeps them.
+
+    One pass finds the columns with nulls, the means and the ends of the numbers.
     """
-    nulls = set(columns_with_nulls(df.select(*num_cols, *cat_cols))) if num_cols or cat_cols else ()
-    num_cols = [c for c in num_cols if c in nulls]
-    cat_cols = [c for c in cat_cols if c in nulls]
-    fills = fill_values(df, num_cols, cat_cols, num_strategy, cat_strategy, constant, exact)
+    if cat_strategy not in ("mode", "constant"):
+        raise ValueError(f"cat_strategy must be 'mode' or 'constant', got {cat_strategy!r}")
+    if numeric_mode not in ("text", "keep"):
+        raise ValueError(f"numeric_mode must be 'text' or 'keep', got {numeric_mode!r}")
+    num_cols, cat_cols = list(num_cols), list(cat_cols)
+    if not num_cols and not cat_cols:
+        return df
+    gaps = [F.count_if(F.col(c).isNull()).alias(f"{c}:gaps") for c in num_cols + cat_cols]
+    median = num_strategy == "median"
+    means = [F.avg(c).alias(f"{c}:mean") for c in num_cols if not median]
+    row = df.agg(*gaps, *means, *extent_measures(num_cols if median else ())).first()
+    num_cols = [c for c in num_cols if row[f"{c}:gaps"]]
+    cat_cols = [c for c in cat_cols if row[f"{c}:gaps"]]
+
+    fills: dict[str, object] = {}
+    if median:
+        fills |= exact_medians(df, num_cols, extents=read_extents(row, num_cols), exact=exact)
+    else:
+        fills |= {c: row[f"{c}:mean"] for c in num_cols}
+    if cat_strategy == "mode":
+        fills |= _most_frequent(df, cat_cols)
+    else:
+        fills |= {c: constant for c in cat_cols}
+
     numbers = set(numeric_columns(df))
     filled: dict[str, Column] = {}
     for c, value in fills.items():
+        if value is None:
+            continue
         if c in num_cols:
             filled[c] = F.coalesce(F.col(c).cast("double"), F.lit(value).cast("double"))
         elif cat_strategy == "mode":
             filled[c] = F.coalesce(F.col(c), F.lit(value).cast(df.schema[c].dataType))
         elif c not in numbers or numeric_mode == "text":
             filled[c] = F.coalesce(F.col(c).cast("string"), F.lit(value))
-    return df.withColumns(filled)
+    return df.withColumns(filled) if filled else df
 
 
 # --- filter -----------------------------------------------------------------------

@@ -15,10 +15,10 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+BINS = 4096
 FINISH_ROWS = 250_000
 
 
@@ -74,36 +74,57 @@ def _advance(values: DataFrame, ranks: list[_Rank], bins: int, finish_rows: int)
             )
         )
     counted = (
-        values.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+        values.select(F.inline(F.array(*cells)))
+        .where("interval is not null")
         .groupBy("interval", "bin", "point")
         .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     )
     running = F.sum("n").over(Window.partitionBy("interval").orderBy("bin", "point"))
-    ranked = counted.withColumn("upto", running)
-
-    wanted = [
-        F.when(
-            (F.col("interval") == number[r.interval])
-            & (F.col("upto") > r.rank - r.below)
-            & (F.col("upto") - F.col("n") <= r.rank - r.below),
-            F.lit(i),
-        )
-        for i, r in enumerate(open_ranks)
-    ]
-    hits = ranked.select(
-        F.explode(F.filter(F.array(*wanted), lambda w: w.isNotNull())).alias("wanted"),
-        "n", "low", "high", "upto",
-    ).collect()
+    # One row per wanted rank: its size is the number of quantiles asked for.
+    wanted = values.sparkSession.createDataFrame(
+        [(i, number[r.interval], r.rank - r.below) for i, r in enumerate(open_ranks)],
+        "wanted int, interval int, offset long",
+    )
+    hits = (
+        counted.withColumn("upto", running)
+        .join(F.broadcast(wanted), "interval")
+        .where("upto > offset and upto - n <= offset")
+        .select("wanted", "n", "low", "high", "upto")
+        .collect()
+    )
     for hit in hits:
         r = open_ranks[hit["wanted"]]
         r.below += hit["upto"] - hit["n"]
         r.low, r.high, r.inside = hit["low"], hit["high"], hit["n"]
 
 
+@dataclass(frozen=True)
+class Extent:
+    """Known values of a column and its ends."""
+
+    count: int
+    low: float | None
+    high: float | None
+
+
+def extent_measures(columns: Sequence[str]) -> list[Column]:
+    """Aggregates that ``read_extents`` picks up from the result row."""
+    measures = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        measures += [F.count(x).alias(f"{c}:n"), F.min(x).alias(f"{c}:low"), F.max(x).alias(f"{c}:high")]
+    return measures
+
+
+def read_extents(row: Row, columns: Sequence[str]) -> dict[str, Extent]:
+    return {c: Extent(row[f"{c}:n"], row[f"{c}:low"], row[f"{c}:high"]) for c in columns}
+
+
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
     *,
+    extents: Mapping[str, Extent] | None = None,
     exact: bool = True,
     accuracy: int = 10_000,
     cache: bool = False,
@@ -112,7 +133,8 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, nulls ignored, all columns at once.
 
-    Makes a few passes over ``df``; pass ``cache=True`` when recomputing it is dear.
+    Makes a few passes over ``df``: stage it first, or pass ``cache=True``, when recomputing
+    it is dear, and pass ``extents`` when another pass has found them already.
     ``exact=False`` takes one pass and answers within ``1 / accuracy`` of the rank.
     """
     if not wanted:
@@ -131,15 +153,13 @@ def exact_quantiles(
     if cache:
         values = values.persist()
     try:
-        ends = values.agg(
-            *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-            *[F.min(c).alias(f"low{i}") for i, c in enumerate(columns)],
-            *[F.max(c).alias(f"high{i}") for i, c in enumerate(columns)],
-        ).first()
+        if extents is None:
+            extents = read_extents(values.agg(*extent_measures(columns)).first(), columns)
         ranks: dict[tuple[str, int], _Rank] = {}
         spots: dict[str, list[tuple[int, int, float]]] = {}
-        for i, c in enumerate(columns):
-            n = ends[f"n{i}"]
+        for c in columns:
+            extent = extents[c]
+            n = extent.count
             spots[c] = []
             for p in wanted[c] if n else ():
                 position = p * (n - 1)
@@ -147,7 +167,7 @@ def exact_quantiles(
                 upper = math.ceil(position)
                 spots[c].append((lower, upper, position - lower))
                 for k in (lower, upper):
-                    ranks.setdefault((c, k), _Rank(c, k, ends[f"low{i}"], ends[f"high{i}"], 0, n))
+                    ranks.setdefault((c, k), _Rank(c, k, extent.low, extent.high, 0, n))
         while any(not r.settled for r in ranks.values()):
             _advance(values, list(ranks.values()), bins, finish_rows)
     finally:

@@ -58,8 +58,11 @@ def named_routes(routes: DataFrame, names: Sequence[str]) -> DataFrame:
     return routes.join(wanted, "ROUTE_NAME_CITY", "left_semi")
 
 
-def balanced_cost(routes: DataFrame, limit: float = 0.7, cache: bool = True) -> DataFrame:
-    """No cost above ``limit`` of the total, and a delay share of at most the median."""
+def balanced_cost(routes: DataFrame, limit: float = 0.7, cache: bool = False) -> DataFrame:
+    """No cost above ``limit`` of the total, and a delay share of at most the median.
+
+    The median is exact and takes a few passes: stage ``routes`` when it is dear to compute.
+    """
     shares = add_cost_shares(routes, percent=False)
     median = exact_medians(shares, ["DELAY_COST_PCT"], cache=cache)["DELAY_COST_PCT"]
     return shares.where(

@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.functions.money import ratio
 from skyledger.operators.cleaning import (
     clean_numeric_columns,
     conversion_error_report,
     convert_columns,
 )
-from skyledger.operators.outliers import cap_mad_report, outlier_summary
+from skyledger.operators.outliers import clip_columns, mad_bounds, mad_report, outlier_summary
 from skyledger.operators.quality import (
     classify_columns,
     columns_with_nulls,
@@ -22,9 +23,10 @@ from skyledger.operators.quality import (
     impute,
     null_counts,
     null_profile,
+    nulls_and_kinds,
     numeric_columns,
 )
-from skyledger.functions.money import ratio
+from skyledger.operators.quantiles import exact_quantiles
 from skyledger.params import LARGE, MEDIUM
 from skyledger.sources.tables import stage
 
@@ -73,7 +75,6 @@ class QcPlan:
     k: float
     null_threshold: float = 99.0
     classify_raw: bool = False
-    skip_constant: bool = False
 
 
 AIRPORT_PLAN = QcPlan(
@@ -83,8 +84,7 @@ FLIGHT_PLAN = QcPlan(
     FLIGHT_KINDS, ("AIR_TIME", "DISTANCE", "OCCUPANCY_RATE"), FLIGHT_ALLOWED, "mean", 3.0
 )
 TICKET_PLAN = QcPlan(
-    TICKET_KINDS, ("ROUNDTRIP", "PASSENGERS", "ITIN_FARE"), TICKET_ALLOWED, "median", 3.0,
-    skip_constant=True,
+    TICKET_KINDS, ("ROUNDTRIP", "PASSENGERS", "ITIN_FARE"), TICKET_ALLOWED, "median", 3.0
 )
 
 
@@ -116,7 +116,8 @@ def run_qc(
     typed = stage(convert_columns(worded, rest), "typed")
 
     reports["nulls_before"] = null_profile(typed)
-    chosen = filter_allowed(typed, plan.allowed, columns_with_nulls(typed), strict)
+    unsure = columns_with_nulls(typed.select(*plan.allowed))
+    chosen = filter_allowed(typed, plan.allowed, unsure, strict)
     filtered = impute(
         chosen.rows, chosen.numerical, chosen.categorical, "median", "constant", UNKNOWN,
         numeric_mode, exact,
@@ -137,25 +138,29 @@ def run_qc(
     unique = distinct.drop("copy_count")
 
     reports["nulls_after"] = null_profile(unique)
-    gaps = classify_columns(unique.select(*columns_with_nulls(unique)))
+    gaps, kinds_now = nulls_and_kinds(unique)
     full = impute(
-        unique, gaps.numerical, gaps.categorical, plan.final_strategy, "constant", UNKNOWN,
-        numeric_mode, exact,
+        unique,
+        [c for c in kinds_now.numerical if c in gaps],
+        [c for c in kinds_now.categorical if c in gaps],
+        plan.final_strategy, "constant", UNKNOWN, numeric_mode, exact,
     )
 
-    wide = classify_columns(typed if plan.classify_raw else full).numerical
+    # Filling a numerical column cannot make it categorical, so its kind still holds.
+    wide = classify_columns(typed).numerical if plan.classify_raw else kinds_now.numerical
     numbers = set(numeric_columns(full))
     outlier_cols = [c for c in wide if c in numbers]
-    if plan.skip_constant and outlier_cols:
-        ends = full.agg(
-            *[(F.min(c) < F.max(c)).alias(c) for c in outlier_cols]
-        ).first()
-        outlier_cols = [c for c in outlier_cols if ends[c]]
     if not outlier_cols:
         return QcResult(full, reports, dropped, [])
-    reports["outliers"] = outlier_summary(full, outlier_cols, "iqr", exact=exact)
-    capped, reports["capping"] = cap_mad_report(full, outlier_cols, plan.k, exact=exact)
-    return QcResult(capped, reports, dropped, outlier_cols)
+    quartiles = exact_quantiles(full, {c: [0.25, 0.5, 0.75] for c in outlier_cols}, exact=exact)
+    reports["outliers"] = outlier_summary(
+        full, outlier_cols, "iqr", quartiles={c: (q[0], q[2]) for c, q in quartiles.items()}
+    )
+    bounds = mad_bounds(
+        full, outlier_cols, plan.k, medians={c: q[1] for c, q in quartiles.items()}, exact=exact
+    )
+    reports["capping"] = mad_report(full, bounds)
+    return QcResult(clip_columns(full, bounds), reports, dropped, outlier_cols)
 
 
 def clean_airports(raw: DataFrame, **options) -> QcResult:
@@ -169,5 +174,8 @@ def clean_flights(raw: DataFrame, **options) -> QcResult:
 
 
 def clean_tickets(raw: DataFrame, **options) -> QcResult:
-    """Round-trip tickets; medians fill the gaps, constant columns stay uncapped."""
+    """Round-trip tickets; medians fill the gaps, three MADs cap.
+
+    A column without spread is left alone anyway: it has too few values to be numerical.
+    """
     return run_qc(raw, TICKET_PLAN, **options)
