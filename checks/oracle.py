@@ -4,6 +4,15 @@ from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
 
+def half_even(x: str, scale: int = 2) -> str:
+    """Round a double to the even neighbour at ``scale`` places."""
+    y = f"(({x}) * {10**scale})"
+    rounded = (
+        f"(CASE WHEN abs({y} - trunc({y})) = 0.5 THEN 2 * round({y} / 2) ELSE round({y}) END)"
+    )
+    return f"{rounded} / {10**scale}" if scale else rounded
+
+
 # --- building blocks ----------------------------------------------------------------
 
 BLOCKS: dict[str, str] = {}
@@ -116,15 +125,6 @@ _MEANS = ("DISTANCE", "OCCUPANCY_RATE", "DEP_DELAY", "ARR_DELAY")
 _AVG = ", ".join(f"avg({c}) AS {c}" for c in _MEANS)
 
 
-def half_even(x: str, scale: int = 2) -> str:
-    """Round a double to the even neighbour at ``scale`` places."""
-    y = f"(({x}) * {10**scale})"
-    rounded = (
-        f"(CASE WHEN abs({y} - trunc({y})) = 0.5 THEN 2 * round({y} / 2) ELSE round({y}) END)"
-    )
-    return f"{rounded} / {10**scale}" if scale else rounded
-
-
 def _pair(a: str, b: str, sep: str) -> str:
     return f"least({a}, {b}) || '{sep}' || greatest({a}, {b})"
 
@@ -192,13 +192,13 @@ SELECT * FROM kpi WHERE (AIRPORT_A_SIZE = 'medium_airport' AND AIRPORT_B_SIZE =
    OR (AIRPORT_A_SIZE = 'large_airport' AND AIRPORT_B_SIZE = 'medium_airport')"""
 BLOCKS["summary"] = f"""
 SELECT ROUTE_NAME_CITY, {half_even('sum(PROFIT)')} AS PROFIT,
-  round(avg(AVG_DEP_DELAY_MINUTES + AVG_ARR_DELAY_MINUTES), 6) AS AVG_TOTAL_DELAY_MINUTES,
-  round(sum(ESTIMATED_PASSENGERS), 6) AS ESTIMATED_PASSENGERS,
-  round(avg(ROUND_TRIP_DISTANCE_MILES), 6) AS ROUND_TRIP_DISTANCE_MILES
+  {half_even('avg(AVG_DEP_DELAY_MINUTES + AVG_ARR_DELAY_MINUTES)', 6)} AS AVG_TOTAL_DELAY_MINUTES,
+  {half_even('sum(ESTIMATED_PASSENGERS)', 6)} AS ESTIMATED_PASSENGERS,
+  {half_even('avg(ROUND_TRIP_DISTANCE_MILES)', 6)} AS ROUND_TRIP_DISTANCE_MILES
 FROM ml GROUP BY ROUTE_NAME_CITY"""
 BLOCKS["delays"] = f"""
 SELECT ROUTE_NAME_CITY,
-  round(avg(AVG_DEP_DELAY_MINUTES + AVG_ARR_DELAY_MINUTES), 6) AS AVG_TOTAL_DELAY_MINUTES,
+  {half_even('avg(AVG_DEP_DELAY_MINUTES + AVG_ARR_DELAY_MINUTES)', 6)} AS AVG_TOTAL_DELAY_MINUTES,
   {half_even('sum(DELAY_COST)')} AS DELAY_COST
 FROM ml GROUP BY ROUTE_NAME_CITY"""
 
@@ -389,8 +389,8 @@ def _nulls(source: str) -> str:
     )
 
 
-sql("q01_null_profile", "rawf", """
-SELECT *, round(null_count / total_count * 100, 6) AS null_pct FROM n WHERE null_count > 0""",
+sql("q01_null_profile", "rawf", f"""
+SELECT *, {half_even('null_count / total_count * 100', 6)} AS null_pct FROM n WHERE null_count > 0""",
     n=_nulls("rawf"))
 sql("r28_null_order", "typedf", "SELECT column_name, null_count FROM n WHERE null_count > 0",
     n=_nulls("typedf"))
@@ -410,7 +410,7 @@ sql("q05_drop_high_null_columns", "rawa", "SELECT * EXCLUDE (CONTINENT) FROM raw
 def _duplicates(keys: str, label: str) -> str:
     return f"""
 SELECT sum(n)::BIGINT AS total_count, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS duplicate_count,
-  round(coalesce(sum(n) FILTER (n > 1), 0)::DOUBLE / sum(n)::DOUBLE * 100, 6) AS duplicate_pct,
+  {half_even('coalesce(sum(n) FILTER (n > 1), 0)::DOUBLE / sum(n)::DOUBLE * 100', 6)} AS duplicate_pct,
   '{label}' AS columns_checked
 FROM (SELECT count(*) AS n FROM rawt GROUP BY {keys})"""
 
@@ -439,8 +439,8 @@ SELECT OP_CARRIER, ORIGIN, coalesce(TAIL_NUM, 'Unknown') AS TAIL_NUM,
 
 
 def _profile(c: str, number: bool) -> str:
-    n = f"""count(*) FILTER ({c} = 0) AS zero_count, round(avg({c}), 6) AS mean,
-  round(stddev_samp({c}), 6) AS std, min({c}) AS "min", max({c}) AS "max",
+    n = f"""count(*) FILTER ({c} = 0) AS zero_count, {half_even(f'avg({c})', 6)} AS mean,
+  {half_even(f'stddev_samp({c})', 6)} AS std, min({c}) AS "min", max({c}) AS "max",
   quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75"""
     t = """0::BIGINT AS zero_count, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS "min",
   NULL::DOUBLE AS "max", NULL::DOUBLE AS p25, NULL::DOUBLE AS p50, NULL::DOUBLE AS p75"""
@@ -454,7 +454,7 @@ sql("q10_column_profile", "typedf", " UNION ALL ".join(
     _profile(c, c not in ("TAIL_NUM", "ORIGIN"))
     for c in ("TAIL_NUM", "ORIGIN", "DEP_DELAY", "ARR_DELAY", "DISTANCE", "OCCUPANCY_RATE")))
 sql("q10_correlations", "flights", " UNION ALL ".join(
-    f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS corr FROM flights"
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, {half_even(f'corr({a}, {b})', 6)} AS corr FROM flights"
     for a, b in (("DEP_DELAY", "ARR_DELAY"), ("DEP_DELAY", "DISTANCE"), ("ARR_DELAY", "DISTANCE"))))
 
 # --- filters ------------------------------------------------------------------------
@@ -558,23 +558,24 @@ _DESCRIBED = (
 )
 for _name, _source in (("a08_describe_all", "kpi"), ("a08_describe_medium_large", "ml")):
     sql(_name, _source, " UNION ALL ".join(f"""
-SELECT '{c}' AS column_name, count({c}) AS "count", round(avg({c}), 4) AS mean,
-  round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS "min",
-  round(quantile_cont({c}::DOUBLE, 0.25), 4) AS p25, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS p50,
-  round(quantile_cont({c}::DOUBLE, 0.75), 4) AS p75, max({c})::DOUBLE AS "max" FROM {_source}"""
+SELECT '{c}' AS column_name, count({c}) AS "count", {half_even(f'avg({c})', 4)} AS mean,
+  {half_even(f'stddev_samp({c})', 4)} AS std, min({c})::DOUBLE AS "min",
+  quantile_cont({c}::DOUBLE, 0.25) AS p25, quantile_cont({c}::DOUBLE, 0.5) AS p50,
+  quantile_cont({c}::DOUBLE, 0.75) AS p75, max({c})::DOUBLE AS "max" FROM {_source}"""
         for c in _DESCRIBED))
 sql("a09_min_max", "ml", "SELECT min(TOTAL_COST) AS low, max(TOTAL_COST) AS high FROM ml")
-sql("a10_profit_histogram", "ml", """
+sql("a10_profit_histogram", "ml", f"""
 SELECT bin, count(*) AS row_count, count(*) FILTER (PROFIT < 0) AS loss_count,
   count(*) FILTER (PROFIT >= 0) AS profit_count,
-  round(any_value(lo) + bin * any_value(w), 4) AS bin_low,
-  round(any_value(lo) + (bin + 1) * any_value(w), 4) AS bin_high
+  {half_even('any_value(lo) + bin * any_value(w)', 4)} AS bin_low,
+  {half_even('any_value(lo) + (bin + 1) * any_value(w)', 4)} AS bin_high
 FROM (SELECT PROFIT, lo, w, least(floor((PROFIT - lo) / w)::INT, 49) AS bin
-      FROM ml, (SELECT min(PROFIT) AS lo, (max(PROFIT) - min(PROFIT)) / 50 AS w FROM ml))
+      FROM ml, (SELECT min(PROFIT) AS lo, (max(PROFIT) - min(PROFIT)) / 50 AS w FROM ml)
+      WHERE PROFIT IS NOT NULL)
 GROUP BY bin""")
 sql("a11_box_stats", "ml", " UNION ALL ".join(f"""
-SELECT '{c}' AS column_name, round(any_value(q1), 4) AS q1, round(any_value(q2), 4) AS median,
-  round(any_value(q3), 4) AS q3,
+SELECT '{c}' AS column_name, any_value(q1) AS q1, any_value(q2) AS median,
+  any_value(q3) AS q3,
   min({c}) FILTER ({c} >= q1 - 1.5 * (q3 - q1) AND {c} <= q3 + 1.5 * (q3 - q1)) AS whisker_low,
   max({c}) FILTER ({c} >= q1 - 1.5 * (q3 - q1) AND {c} <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
   count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outlier_count
@@ -638,7 +639,7 @@ sql("o05_cap_mad_report", "flights", " UNION ALL ".join(f"""
 SELECT '{c}' AS column_name, count(*) FILTER (abs({c} - ({_clip(c, 1)})) > 1e-8) AS capped_rows,
   count(*) AS row_count, any_value(med_{c}) AS median, any_value(mad_{c}) AS mad,
   any_value(med_{c} - mad_{c}) AS lower, any_value(med_{c} + mad_{c}) AS upper,
-  round(count(*) FILTER (abs({c} - ({_clip(c, 1)})) > 1e-8) / count(*) * 100, 6) AS capped_pct,
+  {half_even(f'count(*) FILTER (abs({c} - ({_clip(c, 1)})) > 1e-8) / count(*) * 100', 6)} AS capped_pct,
   any_value(mad_{c} = 0) AS collapsed FROM flights, mad""" for c in _LEGS), **_mad("flights", _LEGS))
 
 # --- rankings -----------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """One query per operator over the driver tables: ``name -> (spark, sf_dir) -> DataFrame``.
 
-Dates leave as text, and figures that are not exact by construction are rounded to six
-places, so that they can be compared with another engine.
+Dates leave as text, and figures whose last bits depend on the order of addition are
+rounded, so that they can be compared with another engine.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ def iso(column: str):
     return F.date_format(column, "yyyy-MM-dd")
 
 
-def six(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def six(df: DataFrame, *columns: str, scale: int = 6) -> DataFrame:
+    return df.withColumns({c: round_half_even(F.col(c), scale) for c in columns})
 
 
 def kpi_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -518,8 +518,7 @@ def _(spark, sf):
 
 
 def _described(df):
-    figures = agg.describe_numeric(df, explore.DESCRIBED)
-    return figures.withColumns({c: F.round(c, 4) for c in ("mean", "std", "p25", "p50", "p75")})
+    return six(agg.describe_numeric(df, explore.DESCRIBED), "mean", "std", scale=4)
 
 
 @query("a08_describe_all")
@@ -540,13 +539,12 @@ def _(spark, sf):
 @query("a10_profit_histogram")
 def _(spark, sf):
     histogram = agg.profit_histogram(staged(medium_large_table, spark, sf))
-    return histogram.withColumns({c: F.round(c, 4) for c in ("bin_low", "bin_high")})
+    return six(histogram, "bin_low", "bin_high", scale=4)
 
 
 @query("a11_box_stats")
 def _(spark, sf):
-    stats = agg.box_stats(staged(medium_large_table, spark, sf), ["PROFIT", "DELAY_COST"])
-    return stats.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
+    return agg.box_stats(staged(medium_large_table, spark, sf), ["PROFIT", "DELAY_COST"])
 
 
 # --- outliers -----------------------------------------------------------------------
