@@ -314,13 +314,11 @@ def _(spark, sf):
 
 @query("q09_impute_predicted")
 def _(spark, sf):
-    raw = proxy.raw_tickets(spark, sf).select(
+    raw = staged(proxy.raw_tickets, spark, sf).select(
         "ORIGIN_STATE_NM", "ORIGIN_STATE_ABR", "REPORTING_CARRIER", "ROUNDTRIP"
     )
-    return prediction.impute_predicted(
-        raw, "ORIGIN_STATE_NM", ["ORIGIN_STATE_ABR", "REPORTING_CARRIER", "ROUNDTRIP"], num_trees=20,
-        max_depth=6,
-    )
+    features = ["ORIGIN_STATE_ABR", "REPORTING_CARRIER", "ROUNDTRIP"]
+    return prediction.impute_predicted(raw, "ORIGIN_STATE_NM", features, num_trees=20, max_depth=6)
 
 
 @query("q10_column_profile")

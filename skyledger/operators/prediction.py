@@ -6,14 +6,44 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.sources.tables import stage
+
 # Texts that mark a missing category, and the fill for missing features.
 MISSING_TEXTS = ("nan", "None", "NaN")
 FEATURE_FILL = "Missing"
 
 
+def alphabetical_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(feature, value, code)``: the alphabetical rank of each value in its text column.
+
+    Values are sorted across the cluster in ranges; a value's rank is the number of values in
+    the ranges before it plus its place in its own range. The ranges are written down before
+    they are counted, so both steps see the same ones, and no dictionary visits the driver.
+    """
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]
+    ranges = stage(
+        df.select(F.inline(F.array(*cells)))
+        .distinct()
+        .repartitionByRange("feature", "value")
+        .withColumn("part", F.spark_partition_id()),
+        "codes",
+    )
+    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("feature", "part").agg(F.count("*").alias("n"))
+    offsets = sizes.select(
+        "feature", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    )
+    place = F.row_number().over(Window.partitionBy("feature", "part").orderBy("value"))
+    return (
+        ranges.withColumn("place", place)
+        .join(offsets, ["feature", "part"])
+        .select("feature", "value", (F.col("offset") + F.col("place") - 1).cast("double").alias("code"))
+    )
+
+
 def impute_predicted(
     df: DataFrame,
     target: str,
@@ -24,8 +54,9 @@ def impute_predicted(
 ) -> DataFrame:
     """``target`` filled where it is missing, by a forest trained on the other rows.
 
-    Features are label-encoded in alphabetical order and enter as plain numbers. A table
-    without gaps comes back unchanged.
+    Features are label-encoded in alphabetical order and enter as plain numbers, any number
+    of distinct values each; the classes of the target have to be few enough for a forest.
+    A table without gaps comes back unchanged. Stage ``df`` when it is dear to compute.
     """
     known = F.col(target).isNotNull() & ~F.col(target).cast("string").isin(*MISSING_TEXTS)
     gaps = df.where(~known)
@@ -41,17 +72,15 @@ def impute_predicted(
         }
         return rows.withColumns({**filled, "_label": F.col(target).cast("string")})
 
-    encoder = StringIndexer(inputCols=text, outputCols=codes, stringOrderType="alphabetAsc").fit(
-        as_text(df)
-    )
-    vector = VectorAssembler(inputCols=codes, outputCol="_features")
+    dictionary = stage(alphabetical_codes(as_text(df).select(*text), text), "dictionary")
 
     def encode(rows: DataFrame) -> DataFrame:
-        # Adding zero drops the category metadata: the codes are plain numbers to the trees.
-        plain = {c: F.col(c) + F.lit(0.0) for c in codes}
-        return vector.transform(encoder.transform(as_text(rows)).withColumns(plain))
+        for t, c in zip(text, codes):
+            entries = dictionary.where(F.col("feature") == t)
+            rows = rows.join(entries.select(F.col("value").alias(t), F.col("code").alias(c)), t)
+        return VectorAssembler(inputCols=codes, outputCol="_features").transform(rows)
 
-    train = encode(df.where(known)).select("_features", "_label")
+    train = encode(as_text(df.where(known))).select("_features", "_label")
     labels = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(
         train
     )
@@ -60,7 +89,7 @@ def impute_predicted(
         numTrees=num_trees, maxDepth=max_depth, seed=seed,
     ).fit(labels.transform(train))
     back = IndexToString(inputCol="_guess", outputCol="_value", labels=labels.labels)
-    filled = back.transform(forest.transform(encode(gaps)))
+    filled = back.transform(forest.transform(encode(as_text(gaps))))
     return (
         df.where(known)
         .withColumn(target, F.col(target).cast("string"))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from skyledger.operators.prediction import impute_predicted
+from skyledger.operators.prediction import alphabetical_codes, impute_predicted
 
 
 def test_predicts_what_the_features_say(spark):
@@ -24,3 +24,11 @@ def test_wide_feature_and_nothing_missing(spark):
     assert impute_predicted(df, "t", ["f"]) is df
     holes = df.withColumn("t", F.expr("if(f = '7', null, t)")).withColumn("f", F.expr("if(f = '9', null, f)"))
     assert impute_predicted(holes, "t", ["f"], num_trees=5).where("t is null").isEmpty()
+
+
+def test_codes_are_alphabetical_ranks(spark):
+    df = spark.range(5000).selectExpr("cast(id % 997 as string) as a", "concat('v', id % 3) as b")
+    found = alphabetical_codes(df, ["a", "b"]).collect()
+    for c, values in (("a", [str(i) for i in range(997)]), ("b", ["v0", "v1", "v2"])):
+        ranks = {r["value"]: r["code"] for r in found if r["feature"] == c}
+        assert ranks == {v: float(i) for i, v in enumerate(sorted(values))}
