@@ -489,20 +489,24 @@ SELECT ROUTE, CARRIER, PROFIT, MILEAGE_COST_PCT, AIRPORT_FEES_PCT, DELAY_COST_PC
 
 # --- joins --------------------------------------------------------------------------
 
+_SIDES = {
+    "raw": 'SELECT "NAME", IATA_CODE FROM rawa',
+    "known": 'SELECT IATA_CODE AS CODE, "TYPE", ELEVATION_FT FROM airports',
+    "named": "SELECT IATA_CODE AS CODE, count(*) AS NAMES FROM rawa GROUP BY IATA_CODE",
+}
 for _how in ("inner", "left", "right", "outer"):
     _join = "FULL OUTER" if _how == "outer" else _how.upper()
-    sql(f"j01_join_on_{_how}", "flown sold", f"""
-SELECT f.ROUTE_KEY, OP_CARRIER, TOTAL_FLIGHTS, t.ROUTE_KEY AS TICKET_ROUTE, REPORTING_CARRIER, PASSENGERS
-FROM (SELECT * FROM flown WHERE TOTAL_FLIGHTS > 2) f
-{_join} JOIN (SELECT * FROM sold WHERE PASSENGERS > 100) t
-ON f.ROUTE_KEY = t.ROUTE_KEY AND OP_CARRIER = REPORTING_CARRIER""")
-sql("j01_join_on_null_safe", "rawa airports", """
-SELECT r."NAME", r.IATA_CODE, a.IATA_CODE AS CODE, a."TYPE", a.ELEVATION_FT
-FROM rawa r LEFT JOIN airports a ON r.IATA_CODE IS NOT DISTINCT FROM a.IATA_CODE""")
-sql("j02_join_on_key", "flown sold", """
-SELECT ROUTE_KEY, FLIGHTS, SEATS_SOLD FROM
-  (SELECT ROUTE_KEY, sum(TOTAL_FLIGHTS)::BIGINT AS FLIGHTS FROM flown GROUP BY 1 HAVING FLIGHTS > 20)
-FULL OUTER JOIN (SELECT ROUTE_KEY, sum(PASSENGERS) AS SEATS_SOLD FROM sold GROUP BY 1) USING (ROUTE_KEY)""")
+    sql(f"j01_join_on_{_how}", "rawa airports",
+        f"SELECT * FROM raw {_join} JOIN known ON IATA_CODE = CODE", **_SIDES)
+sql("j01_join_on_null_safe", "rawa airports",
+    "SELECT * FROM raw LEFT JOIN known ON IATA_CODE IS NOT DISTINCT FROM CODE", **_SIDES)
+for _name, _on in (
+    ("j02_join_on_key", "n.CODE = k.CODE"),
+    ("j02_join_on_key_null_safe", "n.CODE IS NOT DISTINCT FROM k.CODE"),
+):
+    sql(_name, "rawa airports", f"""
+SELECT coalesce(n.CODE, k.CODE) AS CODE, NAMES, "TYPE", ELEVATION_FT
+FROM named n FULL OUTER JOIN known k ON {_on}""", **_SIDES)
 sql("j03_equi_join", "", """
 SELECT l_orderkey, l_quantity, o_orderkey, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 sql("j04_join_flights_tickets", "flown sold", """
@@ -615,13 +619,14 @@ sql("o03_outlier_summary_zscore", "flights", " UNION ALL ".join(
     _shape(c, f"abs(({c} - m) / s) > 2", "1 AS one") for c in _SHAPED))
 
 
-def _mad(source: str, columns: tuple[str, ...]) -> dict[str, str]:
+def _mad(source: str, columns: tuple[str, ...], suffix: str = "") -> dict[str, str]:
     """Medians, and absolute deviations around them."""
     med = ", ".join(f"quantile_cont({c}, 0.5) AS med_{c}" for c in columns)
     mad = ", ".join(f"quantile_cont(abs({c} - med_{c}), 0.5) AS mad_{c}" for c in columns)
     return {
-        "med": f"SELECT {med} FROM {source}",
-        "mad": f"SELECT {', '.join(f'any_value(med_{c}) AS med_{c}' for c in columns)}, {mad} FROM {source}, med",
+        f"med{suffix}": f"SELECT {med} FROM {source}",
+        f"mad{suffix}": f"SELECT {', '.join(f'any_value(med_{c}) AS med_{c}' for c in columns)}, "
+        f"{mad} FROM {source}, med{suffix}",
     }
 
 
@@ -798,51 +803,65 @@ def _filled(fills: dict[str, str], source: str, columns: tuple[str, ...]) -> str
     ) + f" FROM {source}"
 
 
-def _capped(k: int, source: str, capped: tuple[str, ...], columns: tuple[str, ...]) -> str:
+def _capped(k: int, source: str, capped: tuple[str, ...], columns: tuple[str, ...], mad: str) -> str:
     return "SELECT " + ", ".join(
         f"{_clip(c, k)} AS {c}" if c in capped else c for c in columns
-    ) + f" FROM {source}, mad"
+    ) + f" FROM {source}, {mad}"
 
 
 _AIRPORT_COLUMNS = (
     '"TYPE"', '"NAME"', "ELEVATION_FT", "ISO_COUNTRY", "MUNICIPALITY", "IATA_CODE", "COORDINATES",
 )
-sql("p01_clean_airports", "rawa", _capped(1, "whole", ("ELEVATION_FT",), _AIRPORT_COLUMNS),
-    kept="""
+_CLEAN_AIRPORTS = {
+    "kepta": """
 SELECT DISTINCT "TYPE", "NAME", CASE WHEN ELEVATION_FT = 'Nine Hundred' THEN 109
     WHEN regexp_full_match(ELEVATION_FT, '[0-9]+') THEN ELEVATION_FT::DOUBLE END AS ELEVATION_FT,
   ISO_COUNTRY, MUNICIPALITY, IATA_CODE, COORDINATES FROM rawa
 WHERE "TYPE" IN ('medium_airport', 'large_airport') AND ISO_COUNTRY = 'US'""",
-    whole=_filled({
-        "ELEVATION_FT": "coalesce(ELEVATION_FT, (SELECT avg(ELEVATION_FT) FROM kept))",
+    "wholea": _filled({
+        "ELEVATION_FT": "coalesce(ELEVATION_FT, (SELECT avg(ELEVATION_FT) FROM kepta))",
         "MUNICIPALITY": "coalesce(MUNICIPALITY, 'Unknown')",
-        "IATA_CODE": "coalesce(IATA_CODE, 'Unknown')"}, "kept", _AIRPORT_COLUMNS),
-    **_mad("whole", ("ELEVATION_FT",)))
+        "IATA_CODE": "coalesce(IATA_CODE, 'Unknown')"}, "kepta", _AIRPORT_COLUMNS),
+    **_mad("wholea", ("ELEVATION_FT",), "a"),
+    "cleana": _capped(1, "wholea", ("ELEVATION_FT",), _AIRPORT_COLUMNS, "mada"),
+}
 _CAPPED_FLIGHTS = ("DEP_DELAY", "ARR_DELAY", "AIR_TIME", "DISTANCE")
-sql("p02_clean_flights", "typedf", _capped(3, "whole", _CAPPED_FLIGHTS, _FLIGHT_COLUMNS),
-    kept="SELECT DISTINCT * FROM typedf WHERE CANCELLED = 0",
-    whole=_filled({
+_CLEAN_FLIGHTS = {
+    "keptf": "SELECT DISTINCT * FROM typedf WHERE CANCELLED = 0",
+    "wholef": _filled({
         "FL_DATE": "coalesce(FL_DATE || ' 00:00:00', 'Unknown')",
         "TAIL_NUM": "coalesce(TAIL_NUM, 'Unknown')",
-        "DEP_DELAY": "coalesce(DEP_DELAY, (SELECT avg(DEP_DELAY) FROM kept))",
-        "DISTANCE": "coalesce(DISTANCE, (SELECT avg(DISTANCE) FROM kept))",
-        "OCCUPANCY_RATE": "coalesce(OCCUPANCY_RATE::VARCHAR, 'Unknown')"}, "kept", _FLIGHT_COLUMNS),
-    **_mad("whole", _CAPPED_FLIGHTS))
+        "DEP_DELAY": "coalesce(DEP_DELAY, (SELECT avg(DEP_DELAY) FROM keptf))",
+        "DISTANCE": "coalesce(DISTANCE, (SELECT avg(DISTANCE) FROM keptf))",
+        "OCCUPANCY_RATE": "coalesce(OCCUPANCY_RATE::VARCHAR, 'Unknown')"}, "keptf", _FLIGHT_COLUMNS),
+    **_mad("wholef", _CAPPED_FLIGHTS, "f"),
+    "cleanf": _capped(3, "wholef", _CAPPED_FLIGHTS, _FLIGHT_COLUMNS, "madf"),
+}
 _TICKET_COLUMNS = (
     "ITIN_ID", '"YEAR"', '"QUARTER"', "ORIGIN", "ORIGIN_COUNTRY", "ORIGIN_STATE_ABR",
     "ORIGIN_STATE_NM", "ROUNDTRIP", "REPORTING_CARRIER", "PASSENGERS", "ITIN_FARE", "DESTINATION",
 )
 _CAPPED_TICKETS = ("PASSENGERS", "ITIN_FARE")
-sql("p03_clean_tickets", "rawt", _capped(3, "whole", _CAPPED_TICKETS, _TICKET_COLUMNS),
-    kept="""
+_CLEAN_TICKETS = {
+    "keptt": """
 SELECT DISTINCT * REPLACE (ROUNDTRIP::DOUBLE AS ROUNDTRIP,
   CASE WHEN PASSENGERS = 'Twenty' THEN 20 ELSE PASSENGERS::DOUBLE END AS PASSENGERS,
   TRY_CAST(nullif(ITIN_FARE, '1,200') AS DOUBLE) AS ITIN_FARE) FROM rawt WHERE ROUNDTRIP = '1.0'""",
-    whole=_filled({
+    "wholet": _filled({
         "ORIGIN_STATE_NM": "coalesce(ORIGIN_STATE_NM, 'Unknown')",
-        "ITIN_FARE": "coalesce(ITIN_FARE, (SELECT quantile_cont(ITIN_FARE, 0.5) FROM kept))"},
-        "kept", _TICKET_COLUMNS),
-    **_mad("whole", _CAPPED_TICKETS))
+        "ITIN_FARE": "coalesce(ITIN_FARE, (SELECT quantile_cont(ITIN_FARE, 0.5) FROM keptt))"},
+        "keptt", _TICKET_COLUMNS),
+    **_mad("wholet", _CAPPED_TICKETS, "t"),
+    "cleant": _capped(3, "wholet", _CAPPED_TICKETS, _TICKET_COLUMNS, "madt"),
+}
+sql("p01_clean_airports", "rawa", "SELECT * FROM cleana", **_CLEAN_AIRPORTS)
+sql("p02_clean_flights", "typedf", "SELECT * FROM cleanf", **_CLEAN_FLIGHTS)
+sql("p03_clean_tickets", "rawt", "SELECT * FROM cleant", **_CLEAN_TICKETS)
+sql("p04_route_kpis_from_raw", "typedf rawt airports", "SELECT * FROM kpi",
+    **_CLEAN_FLIGHTS, **_CLEAN_TICKETS,
+    flights="SELECT * REPLACE (TRY_CAST(OCCUPANCY_RATE AS DOUBLE) AS OCCUPANCY_RATE) FROM cleanf",
+    tickets="SELECT * FROM cleant",
+    **{n: BLOCKS[n] for n in ("dirs", "flown", "sold", "joined", "earned", "kpi")})
 sql("p04_route_kpis", "kpi", "SELECT * FROM kpi")
 sql("p05_route_kpis_extended", "ext", "SELECT * FROM ext")
 _LISTS = {

@@ -411,38 +411,38 @@ def _(spark, sf):
 # --- joins --------------------------------------------------------------------------
 
 
-def _joined(how: str) -> Query:
+def _airport_sides(spark, sf):
+    """Both sides hold a missing code and one the other lacks."""
+    raw = proxy.raw_airports(spark, sf).select("NAME", "IATA_CODE")
+    known = proxy.airports(spark, sf).select(
+        F.col("IATA_CODE").alias("CODE"), "TYPE", "ELEVATION_FT"
+    )
+    return raw, known
+
+
+def _joined(how: str, null_safe: bool = False) -> Query:
     def run(spark, sf):
-        flights = by_route(spark, sf).where("TOTAL_FLIGHTS > 2")
-        tickets = sold(spark, sf).where("PASSENGERS > 100").withColumnRenamed("ROUTE_KEY", "TICKET_ROUTE")
-        joined = joins.join_on(
-            flights, tickets, ["ROUTE_KEY", "OP_CARRIER"], ["TICKET_ROUTE", "REPORTING_CARRIER"], how
-        )
-        return joined.select(
-            "ROUTE_KEY", "OP_CARRIER", "TOTAL_FLIGHTS", "TICKET_ROUTE", "REPORTING_CARRIER", "PASSENGERS"
-        )
+        return joins.join_on(*_airport_sides(spark, sf), ["IATA_CODE"], ["CODE"], how, null_safe)
 
     return run
 
 
 for _how in ("inner", "left", "right", "outer"):
     QUERIES[f"j01_join_on_{_how}"] = _joined(_how)
+QUERIES["j01_join_on_null_safe"] = _joined("left", null_safe=True)
 
 
-@query("j01_join_on_null_safe")
-def _(spark, sf):
-    raw = proxy.raw_airports(spark, sf).select("NAME", "IATA_CODE")
-    known = proxy.airports(spark, sf).select(
-        F.col("IATA_CODE").alias("CODE"), "TYPE", "ELEVATION_FT"
-    )
-    return joins.join_on(raw, known, ["IATA_CODE"], ["CODE"], "left", null_safe=True)
+def _joined_on_key(null_safe: bool) -> Query:
+    def run(spark, sf):
+        raw, known = _airport_sides(spark, sf)
+        named = raw.groupBy(F.col("IATA_CODE").alias("CODE")).agg(F.count("*").alias("NAMES"))
+        return joins.join_on_key(named, known, "CODE", "outer", null_safe)
+
+    return run
 
 
-@query("j02_join_on_key")
-def _(spark, sf):
-    flown = by_route(spark, sf).groupBy("ROUTE_KEY").agg(F.sum("TOTAL_FLIGHTS").alias("FLIGHTS"))
-    paid = sold(spark, sf).groupBy("ROUTE_KEY").agg(F.sum("PASSENGERS").alias("SEATS_SOLD"))
-    return joins.join_on_key(flown.where("FLIGHTS > 20"), paid, "ROUTE_KEY", "outer")
+QUERIES["j02_join_on_key"] = _joined_on_key(False)
+QUERIES["j02_join_on_key_null_safe"] = _joined_on_key(True)
 
 
 @query("j03_equi_join")
@@ -776,6 +776,13 @@ def _(spark, sf):
     return kpi_table(spark, sf)
 
 
+@query("p04_route_kpis_from_raw")
+def _(spark, sf):
+    flights = qc.clean_flights(proxy.raw_flights(spark, sf)).cleaned
+    tickets = qc.clean_tickets(proxy.raw_tickets(spark, sf)).cleaned
+    return routes.route_kpis(flights, tickets, proxy.airports(spark, sf))
+
+
 @query("p05_route_kpis_extended")
 def _(spark, sf):
     return extended_table(spark, sf)

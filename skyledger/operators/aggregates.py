@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyledger.functions.text import symmetric_key
 from skyledger.operators.quantiles import exact_quantiles
@@ -23,13 +24,22 @@ def _known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(keys))
 
 
+def _number(df: DataFrame, c: str) -> Column:
+    """A measure; one that cleaning left as text counts where it is a number."""
+    text = isinstance(df.schema[c].dataType, T.StringType)
+    return F.col(c).try_cast("double") if text else F.col(c)
+
+
 def flights_by_direction(df: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
     """Means per carrier and direction; TOTAL_FLIGHTS counts known tail numbers."""
     keys = [*DIRECTION_KEYS, *extra_keys]
     return (
         _known(df, keys)
         .groupBy(*keys)
-        .agg(*[F.avg(c).alias(c) for c in FLIGHT_MEANS], F.count("TAIL_NUM").alias("TOTAL_FLIGHTS"))
+        .agg(
+            *[F.avg(_number(df, c)).alias(c) for c in FLIGHT_MEANS],
+            F.count("TAIL_NUM").alias("TOTAL_FLIGHTS"),
+        )
     )
 
 
@@ -71,7 +81,10 @@ def tickets_by_route(df: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame
     return (
         known.withColumn("ROUTE_KEY", symmetric_key(F.col("ORIGIN"), F.col("DESTINATION")))
         .groupBy(*keys)
-        .agg(F.sum("PASSENGERS").alias("PASSENGERS"), F.avg("ITIN_FARE").alias("ITIN_FARE"))
+        .agg(
+            F.sum(_number(df, "PASSENGERS")).alias("PASSENGERS"),
+            F.avg(_number(df, "ITIN_FARE")).alias("ITIN_FARE"),
+        )
     )
 
 

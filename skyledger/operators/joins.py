@@ -39,12 +39,18 @@ def join_on(
     return left.join(right, reduce(lambda x, y: x & y, equal), how)
 
 
-def join_on_key(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_on_key(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", null_safe: bool = False
+) -> DataFrame:
     """Join on one common key, given once; other names must differ."""
     overlap = sorted((set(left.columns) & set(right.columns)) - {key})
     if overlap:
         raise ValueError(f"columns overlap: {overlap}")
-    return left.join(right, key, how)
+    if not null_safe:
+        return left.join(right, key, how)
+    other = right.withColumnRenamed(key, "_right_key")
+    joined = join_on(left, other, [key], ["_right_key"], how, null_safe=True)
+    return joined.withColumn(key, F.coalesce(key, "_right_key")).drop("_right_key")
 
 
 def join_flights_tickets(

@@ -17,6 +17,7 @@ from skyledger.operators.cleaning import (
 from skyledger.operators.outliers import clip_columns, mad_bounds, mad_report, outlier_summary
 from skyledger.operators.quality import (
     classify_columns,
+    column_profile,
     columns_with_nulls,
     copies,
     filter_allowed,
@@ -95,6 +96,7 @@ def run_qc(
     numeric_mode: str = "text",
     number_ids: Sequence[str] = (),
     exact: bool = True,
+    profile: bool = False,
 ) -> QcResult:
     """Audit, convert, filter, impute, drop, deduplicate, impute again, cap.
 
@@ -103,7 +105,8 @@ def run_qc(
     aggregate over the columns it concerns.
 
     ``number_ids`` names declared-text columns to treat as numbers, capping included;
-    none by default, since capping an identifier destroys it.
+    none by default, since capping an identifier destroys it. ``profile`` adds a profile of
+    the converted columns, at the price of a few more passes.
     """
     kinds = {**plan.kinds, **{c: "float" for c in number_ids}}
     raw = raw.select(*kinds)
@@ -115,6 +118,8 @@ def run_qc(
     rest = {c: kind for c, kind in kinds.items() if c not in plan.worded}
     typed = stage(convert_columns(worded, rest), "typed")
 
+    if profile:
+        reports["profile"] = column_profile(typed, exact=exact)
     reports["nulls_before"] = null_profile(typed)
     unsure = columns_with_nulls(typed.select(*plan.allowed))
     chosen = filter_allowed(typed, plan.allowed, unsure, strict)

@@ -52,9 +52,26 @@ def read_raw_csv(
     return nulls_for_tokens(raw, na_tokens)
 
 
-def read_clean(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Typed Parquet with the named columns only; the projection reaches the scan."""
-    return spark.read.parquet(path).select(*columns)
+def read_clean(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    columns: Sequence[str],
+    fmt: str = "parquet",
+    schema: str | T.StructType | None = None,
+) -> DataFrame:
+    """A cleaned table with the named columns only; the projection reaches the scan.
+
+    CSV holds no types, so its ``schema`` (all columns of the file, in order) is required.
+    """
+    if fmt == "parquet":
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(*([path] if isinstance(path, str) else path)).select(*columns)
+    if fmt != "csv":
+        raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
+    if schema is None:
+        raise ValueError("a CSV file needs its schema")
+    options = {"header": True, "escape": '"'}
+    return spark.read.schema(schema).options(**options).csv(path).select(*columns)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -48,8 +48,9 @@ def test_filters_and_repeats(spark, sf):
 
 
 def test_number_ids_are_capped_only_when_named(spark, sf):
-    result = qc.clean_tickets(proxy.raw_tickets(spark, sf), number_ids=["ITIN_ID"])
+    result = qc.clean_tickets(proxy.raw_tickets(spark, sf), number_ids=["ITIN_ID"], profile=True)
     assert "ITIN_ID" in result.capped
+    assert result.reports["profile"].count() == len(qc.TICKET_KINDS)
 
 
 def test_filter_column_with_gaps_is_imputed_unless_strict(spark, sf):

@@ -77,6 +77,9 @@ def test_joins(spark):
     assert joins.join_on(left, right, ["k"], ["q"], "outer").count() == 3
     same = right.withColumnRenamed("q", "k")
     assert joins.join_on_key(left, same, "k", "left").columns == ["k", "v", "w"]
+    assert joins.join_on_key(left, same, "k", "outer").count() == 3
+    matched = joins.join_on_key(left, same, "k", "outer", null_safe=True)
+    assert sorted(map(tuple, matched.collect()), key=str) == [("a", 1, 3), (None, 2, 4)]
     with pytest.raises(ValueError):
         joins.join_on_key(left, left, "k")
     with pytest.raises(ValueError):

@@ -35,6 +35,16 @@ def test_parquet_prunes_and_stage_keeps_types(spark, tmp_path):
         tables.write_table(df, path, "xml")
 
 
+def test_read_clean_csv(spark, tmp_path):
+    path = str(tmp_path / "c")
+    tables.write_table(spark.range(3).selectExpr("id", "id * 0.5D as x"), path, "csv")
+    df = tables.read_clean(spark, path, ["x"], fmt="csv", schema="id long, x double")
+    assert sorted(r["x"] for r in df.collect()) == [0.0, 0.5, 1.0]
+    for wrong in ({"fmt": "csv"}, {"fmt": "xml"}):
+        with pytest.raises(ValueError):
+            tables.read_clean(spark, path, ["x"], **wrong)
+
+
 def test_nan_becomes_null(spark):
     df = spark.createDataFrame([(float("nan"), "x"), (1.0, "y"), (None, "z")], "x double, t string")
     assert [r["x"] for r in tables.nulls_for_nan(df).collect()] == [None, 1.0, None]
