@@ -330,9 +330,16 @@ def filter_allowed(
 
 def column_profile(df: DataFrame, cache: bool = False, exact: bool = True) -> DataFrame:
     """Rows, nulls, distinct values and most frequent value of every column, and for
-    numbers zeros, mean, standard deviation, ends and quartiles."""
+    numbers zeros, mean, standard deviation, ends and quartiles.
+
+    Exact distinct counts and most frequent values shuffle every distinct value. With
+    ``exact=False`` sketches estimate quartiles and distinct counts, and the most frequent
+    value is left out.
+    """
     numbers = numeric_columns(df)
-    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in numbers}, exact=exact, cache=cache)
+    quartiles = exact_quantiles(
+        df, {c: [0.25, 0.5, 0.75] for c in numbers}, exact=exact, cache=cache
+    )
     nothing = F.max(F.lit(None).cast("double"))
     measures = {}
     for c in df.columns:
@@ -346,11 +353,16 @@ def column_profile(df: DataFrame, cache: bool = False, exact: bool = True) -> Da
             "min": F.min(x) if c in numbers else nothing,
             "max": F.max(x) if c in numbers else nothing,
         }
+        if not exact:
+            measures[c]["distinct_count"] = F.approx_count_distinct(c)
     constants = {
         c: dict(zip(("p25", "p50", "p75"), quartiles.get(c, [None] * 3))) for c in df.columns
     }
     basics = one_row_per_column(df, measures, constants)
-    return basics.join(_value_counts(df), "column_name", "left")
+    if not exact:
+        return basics
+    counted = basics.join(_value_counts(df), "column_name", "left")
+    return counted.na.fill(0, ["distinct_count"])  # a column of nulls has no value to count
 
 
 def _value_counts(df: DataFrame) -> DataFrame:

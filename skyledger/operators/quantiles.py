@@ -40,14 +40,24 @@ class _Rank:
         return self.low == self.high
 
 
+def _number(column: str) -> Column:
+    """The column as a double; NaN is a missing value."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
 def _bin(value: Column, low: float, high: float, bins: int) -> Column:
-    """Monotone bin number; halves keep the subtraction from overflowing."""
+    """Number of the equal-width bin; ``low`` is in the first, ``high`` in the last one.
+
+    Halves keep the width from overflowing, and infinities count as the largest doubles.
+    """
     biggest = 1.7976931348623157e308
     low, high = max(low, -biggest), min(high, biggest)
-    share = (value / 2 - low / 2) / (high / 2 - low / 2)
-    return F.when(value >= high, bins - 1).otherwise(
-        F.greatest(F.lit(0), F.least(F.floor(share * bins).cast("int"), F.lit(bins - 1)))
-    )
+    width = high / 2 - low / 2
+    last = F.when(value >= high, bins - 1)
+    if width == 0:
+        return last.otherwise(0)
+    share = (F.greatest(value, F.lit(low)) / 2 - low / 2) / width
+    return last.otherwise(F.least(F.floor(share * bins), F.lit(bins - 1)))
 
 
 def _advance(values: DataFrame, ranks: list[_Rank], bins: int, finish_rows: int) -> None:
@@ -111,7 +121,7 @@ def extent_measures(columns: Sequence[str]) -> list[Column]:
     """Aggregates that ``read_extents`` picks up from the result row."""
     measures = []
     for c in columns:
-        x = F.col(c).cast("double")
+        x = _number(c)
         measures += [F.count(x).alias(f"{c}:n"), F.min(x).alias(f"{c}:low"), F.max(x).alias(f"{c}:high")]
     return measures
 
@@ -140,7 +150,7 @@ def exact_quantiles(
     if not wanted:
         return {}
     columns = list(wanted)
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    values = df.select(*[_number(c).alias(c) for c in columns])
     if not exact:
         row = values.agg(
             *[

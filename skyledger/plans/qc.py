@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.money import ratio
+from skyledger.functions.text import ISO_FORMATS
 from skyledger.operators.cleaning import (
     clean_numeric_columns,
     conversion_error_report,
@@ -95,6 +96,7 @@ def run_qc(
     strict: bool = False,
     numeric_mode: str = "text",
     number_ids: Sequence[str] = (),
+    formats: Sequence[str] = ISO_FORMATS,
     exact: bool = True,
     profile: bool = False,
 ) -> QcResult:
@@ -105,18 +107,19 @@ def run_qc(
     aggregate over the columns it concerns.
 
     ``number_ids`` names declared-text columns to treat as numbers, capping included;
-    none by default, since capping an identifier destroys it. ``profile`` adds a profile of
-    the converted columns, at the price of a few more passes.
+    none by default, since capping an identifier destroys it. ``formats`` are the date formats
+    tried in order. ``profile`` adds a profile of the converted columns, at the price of a
+    few more passes.
     """
     kinds = {**plan.kinds, **{c: "float" for c in number_ids}}
     raw = raw.select(*kinds)
     worded = clean_numeric_columns(raw, plan.worded)
     reports = {
-        "errors_before": conversion_error_report(raw, kinds),
-        "errors_after": conversion_error_report(worded, kinds),
+        "errors_before": conversion_error_report(raw, kinds, formats),
+        "errors_after": conversion_error_report(worded, kinds, formats),
     }
     rest = {c: kind for c, kind in kinds.items() if c not in plan.worded}
-    typed = stage(convert_columns(worded, rest), "typed")
+    typed = stage(convert_columns(worded, rest, formats), "typed")
 
     if profile:
         reports["profile"] = column_profile(typed, exact=exact)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,25 +31,22 @@ def nulls_for_nan(df: DataFrame) -> DataFrame:
 def read_raw_csv(
     spark: SparkSession,
     path: str | Sequence[str],
-    columns: Sequence[str],
+    columns: Sequence[str] | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
     multi_line: bool = False,
 ) -> DataFrame:
-    """All columns as text, missing-value tokens as null.
+    """Columns as text, by header name, missing-value tokens as null.
 
-    Conversion is a later, audited step, so nothing is inferred and no extra pass
-    over the file is made. ``multi_line`` allows line breaks inside quotes; a file
-    then can no longer be split between tasks, so it is off unless asked for.
+    Conversion is a later, audited step, so nothing is inferred: one header line is read,
+    and files whose header differs from it are refused. ``multi_line`` allows line breaks
+    inside quotes; a file then can no longer be split between tasks, so it is off unless
+    asked for.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    return nulls_for_tokens(raw, na_tokens)
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    raw = spark.read.schema(schema).options(enforceSchema=False, **options).csv(path)
+    return nulls_for_tokens(raw.select(*(columns or names)), na_tokens)
 
 
 def read_clean(
@@ -57,21 +54,20 @@ def read_clean(
     path: str | Sequence[str],
     columns: Sequence[str],
     fmt: str = "parquet",
-    schema: str | T.StructType | None = None,
+    types: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """A cleaned table with the named columns only; the projection reaches the scan.
 
-    CSV holds no types, so its ``schema`` (all columns of the file, in order) is required.
+    CSV holds no types: ``types`` names those of its columns that are not text. A cell that
+    does not convert is null.
     """
     if fmt == "parquet":
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(*([path] if isinstance(path, str) else path)).select(*columns)
+        return spark.read.parquet(*([path] if isinstance(path, str) else path)).select(*columns)
     if fmt != "csv":
         raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
-    if schema is None:
-        raise ValueError("a CSV file needs its schema")
-    options = {"header": True, "escape": '"'}
-    return spark.read.schema(schema).options(**options).csv(path).select(*columns)
+    wanted = {c: t for c, t in (types or {}).items() if c in columns}
+    text = read_raw_csv(spark, path, columns)
+    return text.withColumns({c: F.col(c).try_cast(t) for c, t in wanted.items()})
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

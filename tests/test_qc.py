@@ -63,3 +63,11 @@ def test_filter_column_with_gaps_is_imputed_unless_strict(spark, sf):
     assert loose.select("ROUNDTRIP").distinct().count() == 2
     assert strict.select("ROUNDTRIP").distinct().count() == 1
     assert loose.count() > strict.count()
+
+
+def test_date_formats_can_be_named(spark, sf):
+    raw = proxy.raw_flights(spark, sf).where("FL_DATE <> 'soon'")
+    dated = raw.selectExpr("*", "date_format(FL_DATE, 'M/d/yyyy') as d").drop("FL_DATE").withColumnRenamed("d", "FL_DATE")
+    cleaned = qc.clean_flights(dated, formats=["M/d/yyyy"]).cleaned
+    assert dict(cleaned.dtypes)["FL_DATE"] == "timestamp"
+    assert qc.clean_flights(dated).dropped == ["FL_DATE"]

@@ -121,7 +121,9 @@ def test_column_profile(gaps):
     rows = {r["column_name"]: r for r in quality.column_profile(gaps).collect()}
     assert (rows["d"]["mean"], rows["d"]["p50"], rows["d"]["distinct_count"]) == (2.0, 2.0, 3)
     assert (rows["t"]["top_value"], rows["t"]["top_count"], rows["t"]["mean"]) == ("b", 2, None)
-    assert rows["nothing"]["distinct_count"] is None and rows["nothing"]["null_count"] == 4
+    assert rows["nothing"]["distinct_count"] == 0 and rows["nothing"]["null_count"] == 4
+    rough = {r["column_name"]: r for r in quality.column_profile(gaps, exact=False).collect()}
+    assert (rough["d"]["p50"], rough["t"]["distinct_count"]) == (2.0, 2)
 
 
 def test_audit_and_report(spark):

@@ -54,3 +54,15 @@ def test_approximate(spark):
     df = spark.range(0, 10_001)
     found = exact_quantiles(df, {"id": [0.25, 0.5]}, exact=False)["id"]
     assert found == [pytest.approx(2500, abs=5), pytest.approx(5000, abs=5)]
+
+
+def test_infinities_nan_and_the_smallest_doubles(spark):
+    inf, nan, tiny = float("inf"), float("nan"), 5e-324
+    df = spark.createDataFrame([(v,) for v in (-inf, nan, 0.0, tiny, 1.0, None, inf)], "x double")
+    for options in ({}, {"bins": 2, "finish_rows": 0}):
+        found = exact_quantiles(df, {"x": POINTS}, **options)["x"]
+        assert found == [-inf, 0.0, tiny, 1.0, inf]
+
+
+def test_log_spread_values(spark):
+    check(spark, [10.0**e for e in range(-30, 31)], bins=64, finish_rows=5)

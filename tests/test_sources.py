@@ -37,12 +37,24 @@ def test_parquet_prunes_and_stage_keeps_types(spark, tmp_path):
 
 def test_read_clean_csv(spark, tmp_path):
     path = str(tmp_path / "c")
-    tables.write_table(spark.range(3).selectExpr("id", "id * 0.5D as x"), path, "csv")
-    df = tables.read_clean(spark, path, ["x"], fmt="csv", schema="id long, x double")
-    assert sorted(r["x"] for r in df.collect()) == [0.0, 0.5, 1.0]
-    for wrong in ({"fmt": "csv"}, {"fmt": "xml"}):
-        with pytest.raises(ValueError):
-            tables.read_clean(spark, path, ["x"], **wrong)
+    df = spark.range(3).selectExpr("id", "id * 0.5D as x", "timestamp'2019-03-02' as d")
+    tables.write_table(df, path, "csv")
+    back = tables.read_clean(spark, path, ["x", "d"], "csv", {"id": "long", "x": "double", "d": "timestamp"})
+    assert back.dtypes == [("x", "double"), ("d", "timestamp")]
+    assert sorted(r["x"] for r in back.collect()) == [0.0, 0.5, 1.0]
+    assert back.where("d = timestamp'2019-03-02'").count() == 3
+    with pytest.raises(ValueError):
+        tables.read_clean(spark, path, ["x"], "xml")
+
+
+def test_columns_go_by_header_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("b,a,c\n1,2,3\n")
+    one = tables.read_raw_csv(spark, str(tmp_path / "a.csv"), ["a", "b"])
+    assert [r.asDict() for r in one.collect()] == [{"a": "2", "b": "1"}]
+    (tmp_path / "b.csv").write_text("a,b,c\n2,1,3\n")
+    both = tables.read_raw_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    with pytest.raises(Exception, match="header"):
+        both.collect()
 
 
 def test_nan_becomes_null(spark):
