@@ -2,6 +2,7 @@
 
 ``BENCH_SF_DIR`` (default sf0.1) names the tables, ``BENCH_CPUS`` the local cores. Each query
 is run to its last row into the no-op sink; building it, driver decisions included, is timed too.
+Every query runs twice and the better time counts: the first run also loads and compiles code.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ HEADLINE = (
     "p02_clean_flights",
     "p03_clean_tickets",
 )
+RUNS = 2
 
 
 def main() -> None:
@@ -41,9 +43,12 @@ def main() -> None:
     spark.read.parquet(f"{sf_dir}/nation.parquet").count()  # start-up is not part of any query
     seconds = {}
     for name in HEADLINE:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        runs = []
+        for _ in range(RUNS):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+        seconds[name] = round(min(runs), 3)
     print(
         json.dumps(
             {

@@ -498,6 +498,8 @@ for _how in ("inner", "left", "right", "outer"):
     _join = "FULL OUTER" if _how == "outer" else _how.upper()
     sql(f"j01_join_on_{_how}", "rawa airports",
         f"SELECT * FROM raw {_join} JOIN known ON IATA_CODE = CODE", **_SIDES)
+sql("j01_join_on_outer_hot_keys", "rawa airports",
+    "SELECT * FROM raw FULL OUTER JOIN known ON IATA_CODE = CODE", **_SIDES)
 sql("j01_join_on_null_safe", "rawa airports",
     "SELECT * FROM raw LEFT JOIN known ON IATA_CODE IS NOT DISTINCT FROM CODE", **_SIDES)
 for _name, _on in (

@@ -420,9 +420,9 @@ def _airport_sides(spark, sf):
     return raw, known
 
 
-def _joined(how: str, null_safe: bool = False) -> Query:
+def _joined(how: str, **options) -> Query:
     def run(spark, sf):
-        return joins.join_on(*_airport_sides(spark, sf), ["IATA_CODE"], ["CODE"], how, null_safe)
+        return joins.join_on(*_airport_sides(spark, sf), ["IATA_CODE"], ["CODE"], how, **options)
 
     return run
 
@@ -430,6 +430,7 @@ def _joined(how: str, null_safe: bool = False) -> Query:
 for _how in ("inner", "left", "right", "outer"):
     QUERIES[f"j01_join_on_{_how}"] = _joined(_how)
 QUERIES["j01_join_on_null_safe"] = _joined("left", null_safe=True)
+QUERIES["j01_join_on_outer_hot_keys"] = _joined("outer", hot_keys=True)
 
 
 def _joined_on_key(null_safe: bool) -> Query:

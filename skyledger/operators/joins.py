@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.text import route_end
 
+HOWS = ("inner", "left", "right", "outer")
 AIRPORT_ATTRIBUTES = ("TYPE", "NAME", "ELEVATION_FT", "MUNICIPALITY", "COORDINATES")
 
 
@@ -25,18 +26,39 @@ def join_on(
     right_keys: Sequence[str],
     how: str = "inner",
     null_safe: bool = False,
+    hot_keys: bool = False,
 ) -> DataFrame:
     """Join on differently named keys; both key columns are kept.
 
-    ``null_safe`` lets missing keys match each other.
+    ``null_safe`` lets missing keys match each other. The adaptive skew join splits a hot key
+    on both sides of an inner join, but only on the kept side of a left or right join and not
+    at all in a full one; ``hot_keys`` runs those as an inner join plus the rows without a
+    partner, at the price of a second shuffle.
     """
     if len(left_keys) != len(right_keys) or not left_keys:
         raise ValueError("left_keys and right_keys must be non-empty and equally long")
+    if how not in HOWS:
+        raise ValueError(f"how must be one of {HOWS}, got {how!r}")
     pairs = zip(left_keys, right_keys)
-    equal = [
-        left[a].eqNullSafe(right[b]) if null_safe else left[a] == right[b] for a, b in pairs
-    ]
-    return left.join(right, reduce(lambda x, y: x & y, equal), how)
+    equal = reduce(
+        lambda x, y: x & y,
+        [left[a].eqNullSafe(right[b]) if null_safe else left[a] == right[b] for a, b in pairs],
+    )
+    if how == "inner" or not hot_keys:
+        return left.join(right, equal, how)
+    joined = left.join(right, equal, "inner")
+    if how in ("left", "outer"):
+        # Distinct keys: a key with many rows is one row here.
+        alone = left.join(right.select(*right_keys).distinct(), equal, "left_anti")
+        joined = joined.unionAll(alone.select("*", *_nothing(right)))
+    if how in ("right", "outer"):
+        alone = right.join(left.select(*left_keys).distinct(), equal, "left_anti")
+        joined = joined.unionAll(alone.select(*_nothing(left), "*"))
+    return joined
+
+
+def _nothing(side: DataFrame) -> list[Column]:
+    return [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema.fields]
 
 
 def join_on_key(

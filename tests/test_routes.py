@@ -86,6 +86,19 @@ def test_joins(spark):
         joins.join_on(left, right, ["k"], [])
 
 
+@pytest.mark.parametrize("null_safe", [False, True])
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_join_in_parts_gives_the_same_rows(spark, how, null_safe):
+    left = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), ("z", 5)], "k string, v int")
+    right = spark.createDataFrame([("a", 6), ("a", 7), ("c", 8), (None, 9), ("z", 10)], "q string, w int")
+    plain = joins.join_on(left, right, ["k"], ["q"], how, null_safe)
+    parts = joins.join_on(left, right, ["k"], ["q"], how, null_safe, hot_keys=True)
+    assert plain.dtypes == parts.dtypes
+    assert sorted(map(str, plain.collect())) == sorted(map(str, parts.collect()))
+    with pytest.raises(ValueError):
+        joins.join_on(left, right, ["k"], ["q"], "cross")
+
+
 def ranked(spark):
     rows = [("r1", "c", "x", 5.0), ("r2", "c", "x", 9.0), ("r3", "c", "y", None), ("r4", "c", "y", 9.0)]
     return spark.createDataFrame(rows, "ROUTE string, CARRIER string, ROUTE_NAME_CITY string, PROFIT double")
