@@ -436,6 +436,8 @@ SELECT OP_CARRIER, ORIGIN, coalesce(TAIL_NUM, 'Unknown') AS TAIL_NUM,
   coalesce(DEP_DELAY, (SELECT avg(DEP_DELAY) FROM typedf)) AS DEP_DELAY,
   coalesce(OCCUPANCY_RATE::VARCHAR, 'Unknown') AS OCCUPANCY_RATE,
   coalesce(DISTANCE, (SELECT avg(DISTANCE) FROM typedf)) AS DISTANCE FROM typedf""")
+sql("q09_impute_predicted_exactly", "rawt", """
+SELECT ITIN_ID, ORIGIN_STATE_ABR, 'State ' || substr(ORIGIN_STATE_ABR, 2) AS ORIGIN_STATE_NM FROM rawt""")
 
 
 def _profile(c: str, number: bool) -> str:

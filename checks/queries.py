@@ -321,6 +321,16 @@ def _(spark, sf):
     return prediction.impute_predicted(raw, "ORIGIN_STATE_NM", features, num_trees=20, max_depth=6)
 
 
+@query("q09_impute_predicted_exactly")
+def _(spark, sf):
+    """One feature that settles the target: the forest has to get every gap right."""
+    raw = staged(proxy.raw_tickets, spark, sf)
+    filled = prediction.impute_predicted(
+        raw, "ORIGIN_STATE_NM", ["ORIGIN_STATE_ABR"], num_trees=5, max_depth=25
+    )
+    return filled.select("ITIN_ID", "ORIGIN_STATE_ABR", "ORIGIN_STATE_NM")
+
+
 @query("q10_column_profile")
 def _(spark, sf):
     columns = ["TAIL_NUM", "ORIGIN", "DEP_DELAY", "ARR_DELAY", "DISTANCE", "OCCUPANCY_RATE"]
