@@ -60,3 +60,22 @@ def test_columns_go_by_header_name(spark, tmp_path):
 def test_nan_becomes_null(spark):
     df = spark.createDataFrame([(float("nan"), "x"), (1.0, "y"), (None, "z")], "x double, t string")
     assert [r["x"] for r in tables.nulls_for_nan(df).collect()] == [None, 1.0, None]
+
+
+def test_staging_goes_to_the_named_folder(spark):
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert tables.staging_path(spark, "t").startswith(root.rstrip("/") + "/t-")
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Nothing:
+        master = "yarn"
+        conf = {}
+
+        def getCheckpointDir(self):
+            return None
+
+    session = Nothing()
+    session.sparkContext = session
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.staging_root(session)
