@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import quality
+from skyledger.llm import quality, substring, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.substring_digest(docs).drop("text")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.suffix_digest(docs).drop("text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).drop("text", "gram_coverage")
 
 
-QUERIES: dict[str, Query] = {"op9_quality_rules": op9_quality_rules}
+QUERIES: dict[str, Query] = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op9_quality_rules": op9_quality_rules,
+}
 ORACLE: dict[str, str] = {}
