@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import quality, substring, suffixes
+from skyledger.llm import quality, simhash, substring, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_digest(docs).drop("text")
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).drop("text", "gram_coverage")
@@ -33,6 +37,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE: dict[str, str] = {}
