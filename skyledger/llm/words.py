@@ -55,11 +55,14 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts: ``start`` and ``end`` of each, ``first`` word of each text."""
+    """The words of some texts: ``start`` and ``end`` of each, ``first`` word of each text.
 
-    def __init__(self, texts: list[bytes]):
+    ``separators`` marks the bytes outside words, line feeds among them.
+    """
+
+    def __init__(self, texts: list[bytes], separators: np.ndarray = IS_SPACE):
         self.data, self.doc_start, self.doc_end = joined(texts)
-        inside = ~IS_SPACE[self.data]
+        inside = ~separators[self.data]
         inside[-PAD:] = False
         edges = np.flatnonzero(np.diff(inside, prepend=False))
         self.start, self.end = edges[::2], edges[1::2]
