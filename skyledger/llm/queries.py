@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import decontaminate, packing, quality, simhash, substring, suffixes
+from skyledger.llm import (
+    decontaminate,
+    extract,
+    materialise,
+    packing,
+    quality,
+    shards,
+    simhash,
+    substring,
+    suffixes,
+    tokens,
+)
+
+#: Vocabulary files of public tokenizers; set this to where they lie.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+TRAINING_KEY = 20240229
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +50,27 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = Path(TOKENIZERS, "byte_bpe_50k.tiktoken").read_bytes()
+    return materialise.training_order(
+        table(spark, sf_dir, "documents"), ranks, key=TRAINING_KEY
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokens.read_vocabulary(str(Path(TOKENIZERS, "piece_bpe_32k.model")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.token_counts(docs, vocabulary).drop("text")
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_text(table(spark, sf_dir, "pages")).drop("html")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).drop("text", "gram_coverage")
@@ -48,6 +86,10 @@ QUERIES: dict[str, Query] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_training_order": op6_training_order,
+    "op7_token_counts": op7_token_counts,
+    "op8_main_text": op8_main_text,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
