@@ -19,8 +19,7 @@ BLOCKS: dict[str, str] = {}
 
 BLOCKS["legs"] = """
 SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-WHERE c_nationkey <> s_nationkey"""
+JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"""
 
 _FLIGHT = """
   l_shipdate AS FL_DATE,
@@ -786,11 +785,14 @@ for _name, _columns in {
 }.items():
     sql(_name, "kpi", "SELECT ROUTE, CARRIER, "
         + ", ".join(f"{_RATIOS[c]} AS {c}" for c in _columns) + " FROM kpi")
-_PERIODS = 'OVER (PARTITION BY ROUTE, CARRIER, ROUTE_NAME_CITY ORDER BY "YEAR", "QUARTER")'
 sql("w01_passenger_growth", "kpiq", """
-SELECT ROUTE, CARRIER, "YEAR", "QUARTER", ESTIMATED_PASSENGERS,
-  (ESTIMATED_PASSENGERS - before) / nullif(before, 0) * 100 AS PASSENGER_GROWTH_PCT FROM lagged""",
-    lagged=f"SELECT *, lag(ESTIMATED_PASSENGERS) {_PERIODS} AS before FROM kpiq")
+SELECT n.ROUTE, n.CARRIER, n."YEAR", n."QUARTER", n.ESTIMATED_PASSENGERS,
+  (n.ESTIMATED_PASSENGERS - b.ESTIMATED_PASSENGERS) / nullif(b.ESTIMATED_PASSENGERS, 0) * 100
+    AS PASSENGER_GROWTH_PCT
+FROM kpiq n LEFT JOIN kpiq b ON b.ROUTE = n.ROUTE AND b.CARRIER = n.CARRIER
+  AND b.ROUTE_NAME_CITY = n.ROUTE_NAME_CITY
+  AND (b."YEAR" = n."YEAR" AND b."QUARTER" = n."QUARTER" - 1
+    OR n."QUARTER" = 1 AND b."QUARTER" = 4 AND b."YEAR" = n."YEAR" - 1)""")
 sql("w02_breakeven_tracker", "kpiq", f"""
 SELECT ROUTE, CARRIER, "YEAR", "QUARTER", PROFIT, {half_even('total')} AS CUMULATIVE_PROFIT,
   {half_even('total')} / 90000000 AS BREAKEVEN_PROGRESS FROM summed""",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
+def local_session(cpus: int = 8, partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """``shared`` is the folder for intermediate tables; a new one unless the session has one."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("skyledger")
@@ -18,4 +21,14 @@ def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    own_folder(spark, shared)
     return spark
+
+
+def own_folder(spark: SparkSession, shared: str | None = None) -> None:
+    """Gives a session on this machine alone a folder for intermediate tables, if it has none."""
+    context = spark.sparkContext
+    if context.master.startswith("local-cluster") or not context.master.startswith("local"):
+        return
+    if not (context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shared-"))

@@ -30,6 +30,11 @@ def _number(df: DataFrame, c: str) -> Column:
     return F.col(c).try_cast("double") if text else F.col(c)
 
 
+def _total(x: Column) -> Column:
+    """Sum of a measure; that of a group without a known value is zero."""
+    return F.coalesce(F.sum(x), F.lit(0))
+
+
 def flights_by_direction(df: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
     """Means per carrier and direction; TOTAL_FLIGHTS counts known tail numbers."""
     keys = [*DIRECTION_KEYS, *extra_keys]
@@ -82,7 +87,7 @@ def tickets_by_route(df: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame
         known.withColumn("ROUTE_KEY", symmetric_key(F.col("ORIGIN"), F.col("DESTINATION")))
         .groupBy(*keys)
         .agg(
-            F.sum(_number(df, "PASSENGERS")).alias("PASSENGERS"),
+            _total(_number(df, "PASSENGERS")).alias("PASSENGERS"),
             F.avg(_number(df, "ITIN_FARE")).alias("ITIN_FARE"),
         )
     )
@@ -95,9 +100,9 @@ def route_summary(routes: DataFrame) -> DataFrame:
         _known(routes, ["ROUTE_NAME_CITY"])
         .groupBy("ROUTE_NAME_CITY")
         .agg(
-            F.sum("PROFIT").alias("PROFIT"),
+            _total(F.col("PROFIT")).alias("PROFIT"),
             F.avg(delay).alias("AVG_TOTAL_DELAY_MINUTES"),
-            F.sum("ESTIMATED_PASSENGERS").alias("ESTIMATED_PASSENGERS"),
+            _total(F.col("ESTIMATED_PASSENGERS")).alias("ESTIMATED_PASSENGERS"),
             F.avg("ROUND_TRIP_DISTANCE_MILES").alias("ROUND_TRIP_DISTANCE_MILES"),
         )
     )
@@ -106,7 +111,7 @@ def route_summary(routes: DataFrame) -> DataFrame:
 def sum_by_route(routes: DataFrame, metric: str) -> DataFrame:
     """Sum of one metric per city pair."""
     known = _known(routes, ["ROUTE_NAME_CITY"])
-    return known.groupBy("ROUTE_NAME_CITY").agg(F.sum(metric).alias(metric))
+    return known.groupBy("ROUTE_NAME_CITY").agg(_total(F.col(metric)).alias(metric))
 
 
 def flights_per_route(routes: DataFrame) -> DataFrame:
@@ -121,7 +126,10 @@ def delay_metrics(routes: DataFrame) -> DataFrame:
     return (
         _known(routes, ["ROUTE_NAME_CITY"])
         .groupBy("ROUTE_NAME_CITY")
-        .agg(F.avg(delay).alias("AVG_TOTAL_DELAY_MINUTES"), F.sum("DELAY_COST").alias("DELAY_COST"))
+        .agg(
+            F.avg(delay).alias("AVG_TOTAL_DELAY_MINUTES"),
+            _total(F.col("DELAY_COST")).alias("DELAY_COST"),
+        )
     )
 
 

@@ -60,29 +60,32 @@ def audit_conversions(
     )
 
 
-def conversion_error_report(
+def failed_cells(
     df: DataFrame, kinds: Mapping[str, str], formats: Sequence[str] = ISO_FORMATS
-) -> DataFrame:
-    """Distinct failures per column with their number of rows, whole and shortened detail.
-
-    Only failed cells are classified, and equal failures are combined before the shuffle.
-    """
+) -> Column:
+    """The cells of a row that do not convert: column, text, and whether the column is text."""
     cells = []
     for c, kind in kinds.items():
-        failed = _converted(df, c, kind, formats).isNull()
         cell = F.struct(
             F.lit(c).alias("column_name"),
             F.col(c).cast("string").alias("raw"),
             F.lit(is_text(df, c)).alias("is_text"),
         )
-        cells.append(F.when(failed, cell))
+        cells.append(F.when(_converted(df, c, kind, formats).isNull(), cell))
+    return F.array_compact(F.array(*cells))
+
+
+def error_report(df: DataFrame, cells: Column) -> DataFrame:
+    """Distinct failures per column with their number of rows, whole and shortened detail.
+
+    Only failed cells are classified, and equal failures are combined before the shuffle.
+    """
     raw, nothing = F.col("raw"), F.lit(None)
     error = F.when(F.col("is_text"), conversion_error(raw, nothing)).otherwise(
         conversion_error(raw, nothing, raw_is_text=False)
     )
     return (
-        df.select(F.inline(F.array(*cells)))
-        .where("column_name is not null")
+        df.select(F.inline(cells))
         .select("column_name", error.alias("error"))
         .groupBy("column_name", "error.error_type", "error.detail")
         .agg(F.count("*").alias("row_count"))
@@ -90,6 +93,13 @@ def conversion_error_report(
     )
 
 
+def conversion_error_report(
+    df: DataFrame, kinds: Mapping[str, str], formats: Sequence[str] = ISO_FORMATS
+) -> DataFrame:
+    """``error_report`` of every cell of ``kinds`` that does not convert."""
+    return error_report(df, failed_cells(df, kinds, formats))
+
+
 def convert_columns(
     df: DataFrame, kinds: Mapping[str, str], formats: Sequence[str] = ISO_FORMATS
 ) -> DataFrame:

@@ -26,14 +26,15 @@ def join_on(
     right_keys: Sequence[str],
     how: str = "inner",
     null_safe: bool = False,
-    hot_keys: bool = False,
+    hot_keys: bool = True,
 ) -> DataFrame:
     """Join on differently named keys; both key columns are kept.
 
     ``null_safe`` lets missing keys match each other. The adaptive skew join splits a hot key
     on both sides of an inner join, but only on the kept side of a left or right join and not
-    at all in a full one; ``hot_keys`` runs those as an inner join plus the rows without a
-    partner, at the price of a second shuffle.
+    at all in a full one, so those run as an inner join plus the rows without a partner, and
+    rows with a missing key, which have none, are not shuffled. ``hot_keys=False`` spares the
+    second shuffle where no key holds a large share of the rows.
     """
     if len(left_keys) != len(right_keys) or not left_keys:
         raise ValueError("left_keys and right_keys must be non-empty and equally long")
@@ -48,31 +49,52 @@ def join_on(
         return left.join(right, equal, how)
     joined = left.join(right, equal, "inner")
     if how in ("left", "outer"):
-        # Distinct keys: a key with many rows is one row here.
-        alone = left.join(right.select(*right_keys).distinct(), equal, "left_anti")
+        alone = _without_partner(left, left_keys, right, right_keys, equal, null_safe)
         joined = joined.unionAll(alone.select("*", *_nothing(right)))
     if how in ("right", "outer"):
-        alone = right.join(left.select(*left_keys).distinct(), equal, "left_anti")
+        alone = _without_partner(right, right_keys, left, left_keys, equal, null_safe)
         joined = joined.unionAll(alone.select(*_nothing(left), "*"))
     return joined
 
 
+def _without_partner(
+    side: DataFrame,
+    keys: Sequence[str],
+    other: DataFrame,
+    other_keys: Sequence[str],
+    equal: Column,
+    null_safe: bool,
+) -> DataFrame:
+    """Rows of ``side`` that match none of ``other``, whose keys are reduced to distinct ones."""
+    partners = other.select(*other_keys).distinct()
+    if null_safe:
+        return side.join(partners, equal, "left_anti")
+    known = reduce(lambda x, y: x & y, [side[k].isNotNull() for k in keys])
+    return side.where(known).join(partners, equal, "left_anti").unionAll(side.where(~known))
+
+
 def _nothing(side: DataFrame) -> list[Column]:
     return [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema.fields]
 
 
 def join_on_key(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", null_safe: bool = False
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "inner",
+    null_safe: bool = False,
+    hot_keys: bool = True,
 ) -> DataFrame:
-    """Join on one common key, given once; other names must differ."""
+    """Join on one common key, given once; other names must differ. Options as in ``join_on``."""
     overlap = sorted((set(left.columns) & set(right.columns)) - {key})
     if overlap:
         raise ValueError(f"columns overlap: {overlap}")
-    if not null_safe:
-        return left.join(right, key, how)
+    if how == "inner" and not null_safe:
+        return left.join(right, key)
     other = right.withColumnRenamed(key, "_right_key")
-    joined = join_on(left, other, [key], ["_right_key"], how, null_safe=True)
-    return joined.withColumn(key, F.coalesce(key, "_right_key")).drop("_right_key")
+    joined = join_on(left, other, [key], ["_right_key"], how, null_safe, hot_keys)
+    rest = [c for c in joined.columns if c not in (key, "_right_key")]
+    return joined.select(F.coalesce(key, "_right_key").alias(key), *rest)
 
 
 def join_flights_tickets(

@@ -170,11 +170,19 @@ def add_ratio_kpis(df: DataFrame, rounded: bool = True) -> DataFrame:
 def passenger_growth(
     df: DataFrame,
     group: Sequence[str] = ("ROUTE", "CARRIER", "ROUTE_NAME_CITY"),
-    period: Sequence[str] = ("YEAR", "QUARTER"),
+    period: tuple[str, str] = ("YEAR", "QUARTER"),
+    periods_per_year: int = 4,
 ) -> DataFrame:
-    """Percent change of passengers against the previous period of the same route."""
+    """Percent change of passengers against the quarter before of the same route.
+
+    Null where that quarter is missing; the last one that is known does not stand in for it.
+    ``period`` names the year and the number, from 1, of the period in it.
+    """
     order = Window.partitionBy(*group).orderBy(*period)
-    before = F.lag("ESTIMATED_PASSENGERS").over(order)
+    year, part = (F.col(c).cast("long") for c in period)
+    number = year * periods_per_year + part
+    follows = F.lag(number).over(order) == number - 1
+    before = F.when(follows, F.lag("ESTIMATED_PASSENGERS").over(order))
     return df.withColumn("PREVIOUS_PASSENGERS", before).withColumn(
         "PASSENGER_GROWTH_PCT",
         ratio(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.money import ratio, round_half_even
 from skyledger.operators.aggregates import one_row_per_column
-from skyledger.operators.quantiles import exact_medians, exact_quantiles
+from skyledger.operators.quantiles import Extent, exact_medians, exact_quantiles
 
 METHODS = ("zscore", "iqr")
 
@@ -111,11 +111,13 @@ def mad_bounds(
     medians: Mapping[str, float | None] | None = None,
     exact: bool = True,
     cache: bool = False,
+    extents: Mapping[str, Extent] | None = None,
 ) -> dict[str, MadBounds]:
     """Median and unscaled median absolute deviation, of all columns together.
 
     Nulls are left out of both; a column of nulls gets no bounds. ``medians`` spares the
-    passes that find them.
+    passes that find them, ``extents`` of the columns the one that finds the ends of the
+    distances: the farther end bounds them.
     """
     if medians is None:
         medians = exact_medians(df, columns, exact=exact, cache=cache)
@@ -123,7 +125,14 @@ def mad_bounds(
     distances = df.select(
         *[F.abs(F.col(c).cast("double") - F.lit(medians[c])).alias(c) for c in known]
     )
-    mads = exact_medians(distances, known, exact=exact, cache=cache)
+    ends = None
+    if extents is not None:
+        ends = {
+            c: Extent(e.count, 0.0, max(e.high - medians[c], medians[c] - e.low))
+            for c, e in extents.items()
+            if c in known
+        }
+    mads = exact_medians(distances, known, exact=exact, cache=cache, extents=ends)
     return {c: MadBounds(medians[c], mads[c], k) for c in known}
 
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.functions.money import ratio
 from skyledger.operators.aggregates import one_row_per_column
 from skyledger.operators.quantiles import (
+    Extent,
     exact_medians,
     exact_quantiles,
     extent_measures,
@@ -130,17 +131,54 @@ def classify_columns(
     )
 
 
-def nulls_and_kinds(df: DataFrame, threshold: int = 20) -> tuple[list[str], ColumnKinds]:
-    """Columns with nulls and the kind of every column, from one pass over the whole table
-    and one over its narrow columns."""
-    numbers = numeric_columns(df)
+@dataclass(frozen=True)
+class TableFacts:
+    """What one pass over a table tells: rows, nulls, and the mean and ends of the numbers."""
+
+    rows: int
+    nulls: dict[str, int]
+    means: dict[str, float | None]
+    extents: dict[str, Extent]
+
+    @property
+    def gaps(self) -> list[str]:
+        return [c for c, n in self.nulls.items() if n]
+
+
+def table_facts(
+    df: DataFrame, numbers: Sequence[str], more: Sequence[Column] = ()
+) -> tuple[TableFacts, Row]:
+    """The facts of all columns, and the row that also holds ``more``, from one aggregate."""
     row = df.agg(
+        F.count(F.lit(1)).alias("*:rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"{c}:gaps") for c in df.columns],
-        *[F.approx_count_distinct(c).alias(f"{c}:values") for c in numbers],
+        *[F.avg(c).alias(f"{c}:mean") for c in numbers],
+        *extent_measures(numbers),
+        *more,
     ).first()
+    facts = TableFacts(
+        row["*:rows"],
+        {c: row[f"{c}:gaps"] for c in df.columns},
+        {c: row[f"{c}:mean"] for c in numbers},
+        read_extents(row, numbers),
+    )
+    return facts, row
+
+
+def facts_and_kinds(df: DataFrame, threshold: int = 20) -> tuple[TableFacts, ColumnKinds]:
+    """Facts and the kind of every column, from one pass over the whole table and one over
+    its narrow columns."""
+    numbers = numeric_columns(df)
+    sketches = [F.approx_count_distinct(c).alias(f"{c}:values") for c in numbers]
+    facts, row = table_facts(df, numbers, sketches)
     estimates = {c: row[f"{c}:values"] for c in numbers}
-    kinds = classify_columns(df, threshold, estimates=estimates)
-    return [c for c in df.columns if row[f"{c}:gaps"]], kinds
+    return facts, classify_columns(df, threshold, estimates=estimates)
+
+
+def nulls_and_kinds(df: DataFrame, threshold: int = 20) -> tuple[list[str], ColumnKinds]:
+    """Columns with nulls and the kind of every column."""
+    facts, kinds = facts_and_kinds(df, threshold)
+    return facts.gaps, kinds
 
 
 def column_kinds(df: DataFrame, threshold: int = 20, ordinal: Sequence[str] = ()) -> DataFrame:
@@ -248,6 +286,7 @@ def impute(
     constant: str | None = None,
     numeric_mode: str = "text",
     exact: bool = True,
+    facts: TableFacts | None = None,
 ) -> DataFrame:
     """Nulls replaced by median or mean, by mode, or by a constant; other columns stay.
 
@@ -255,7 +294,8 @@ def impute(
     (``numeric_mode="text"``) or keeps its type and its nulls (``"keep"``). A column that
     holds nothing but nulls has no median, mean or mode and keeps them.
 
-    One pass finds the columns with nulls, the means and the ends of the numbers.
+    One pass finds the columns with nulls, the means and the ends of the numbers; ``facts``
+    spares it.
     """
     if cat_strategy not in ("mode", "constant"):
         raise ValueError(f"cat_strategy must be 'mode' or 'constant', got {cat_strategy!r}")
@@ -264,18 +304,17 @@ def impute(
     num_cols, cat_cols = list(num_cols), list(cat_cols)
     if not num_cols and not cat_cols:
         return df
-    gaps = [F.count_if(F.col(c).isNull()).alias(f"{c}:gaps") for c in num_cols + cat_cols]
-    median = num_strategy == "median"
-    means = [F.avg(c).alias(f"{c}:mean") for c in num_cols if not median]
-    row = df.agg(*gaps, *means, *extent_measures(num_cols if median else ())).first()
-    num_cols = [c for c in num_cols if row[f"{c}:gaps"]]
-    cat_cols = [c for c in cat_cols if row[f"{c}:gaps"]]
+    if facts is None:
+        facts, _ = table_facts(df.select(*dict.fromkeys(num_cols + cat_cols)), num_cols)
+    num_cols = [c for c in num_cols if facts.nulls[c]]
+    cat_cols = [c for c in cat_cols if facts.nulls[c]]
 
     fills: dict[str, object] = {}
-    if median:
-        fills |= exact_medians(df, num_cols, extents=read_extents(row, num_cols), exact=exact)
+    if num_strategy == "median":
+        ends = {c: facts.extents[c] for c in num_cols}
+        fills |= exact_medians(df, num_cols, extents=ends, exact=exact)
     else:
-        fills |= {c: row[f"{c}:mean"] for c in num_cols}
+        fills |= {c: facts.means[c] for c in num_cols}
     if cat_strategy == "mode":
         fills |= _most_frequent(df, cat_cols)
     else:
@@ -334,7 +373,7 @@ def column_profile(df: DataFrame, cache: bool = False, exact: bool = True) -> Da
 
     Exact distinct counts and most frequent values shuffle every distinct value. With
     ``exact=False`` sketches estimate quartiles and distinct counts, and the most frequent
-    value is left out.
+    value is null.
     """
     numbers = numeric_columns(df)
     quartiles = exact_quantiles(
@@ -355,6 +394,8 @@ def column_profile(df: DataFrame, cache: bool = False, exact: bool = True) -> Da
         }
         if not exact:
             measures[c]["distinct_count"] = F.approx_count_distinct(c)
+            measures[c]["top_value"] = F.max(F.lit(None).cast("string"))
+            measures[c]["top_count"] = F.max(F.lit(None).cast("long"))
     constants = {
         c: dict(zip(("p25", "p50", "p75"), quartiles.get(c, [None] * 3))) for c in df.columns
     }

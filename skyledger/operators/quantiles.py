@@ -1,12 +1,14 @@
 """Exact quantiles of whole columns in bounded memory.
 
 The built-in exact percentile keeps every distinct value of a column in one
-aggregation buffer. Here the wanted ranks are narrowed down instead: a pass counts
-the values of the current interval into equal-width bins (combined on the map side,
-so a hot value costs nothing), the bin holding the rank becomes the next interval,
-and once few rows are left their distinct values are ranked. Only one row per wanted
-rank ever reaches the driver, and no task sees more than ``bins`` or ``finish_rows``
-groups of one interval.
+aggregation buffer. Here the wanted ranks are narrowed down instead. A sketch brackets
+each rank of a long column first, so that the number of passes does not depend on how
+the values are spread. A pass then counts the values below, inside and above the bracket,
+those inside into equal-width bins or, once few rows are left, value by value (combined
+on the map side, so a hot value costs nothing), and the cell that holds the rank becomes
+the next interval: a sketch that missed costs a pass, never the answer. Only one row per
+wanted rank ever reaches the driver, and no task sees more than about ``bins`` or
+``finish_rows`` groups of one interval.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -30,10 +33,11 @@ class _Rank:
     high: float
     below: int
     inside: int
+    bracket: tuple[float, float, int] | None = None  # its ends, and how many rows it may hold
 
     @property
-    def interval(self) -> tuple[str, float, float, int, int]:
-        return self.column, self.low, self.high, self.below, self.inside
+    def interval(self) -> tuple:
+        return self.column, self.low, self.high, self.below, self.inside, self.bracket
 
     @property
     def settled(self) -> bool:
@@ -60,52 +64,69 @@ def _bin(value: Column, low: float, high: float, bins: int) -> Column:
     return last.otherwise(F.least(F.floor(share * bins), F.lit(bins - 1)))
 
 
+def _cell(i: int, interval: tuple, bins: int, finish_rows: int) -> Column:
+    """Where a value of the interval is counted: below, inside (by bin or value) or above."""
+    column, low, high, _, inside, bracket = interval
+    value, none = F.col(column), F.lit(None).cast("double")
+    start, end, held = bracket or (low, high, inside)
+    by_value = held <= finish_rows
+    bin_ = F.lit(0) if by_value else _bin(value, start, end, bins)
+    point = value if by_value else none
+    if bracket:
+        within = value.between(start, end)
+        bin_ = F.when(value < start, -1).when(value > end, bins).otherwise(bin_)
+        point = F.when(within, point).otherwise(none)
+    return F.when(
+        value.between(low, high),
+        F.struct(
+            F.lit(i).alias("interval"),
+            bin_.cast("int").alias("bin"),
+            point.alias("point"),
+            value.alias("value"),
+        ),
+    )
+
+
 def _advance(values: DataFrame, ranks: list[_Rank], bins: int, finish_rows: int) -> None:
     """One pass over ``values``: shrink the interval of every unsettled rank."""
     open_ranks = [r for r in ranks if not r.settled]
-    intervals = sorted({r.interval for r in open_ranks})
+    intervals = list(dict.fromkeys(r.interval for r in open_ranks))
     number = {interval: i for i, interval in enumerate(intervals)}
-
-    cells = []
-    for i, (column, low, high, _, inside) in enumerate(intervals):
-        value = F.col(column)
-        # A short interval is ranked value by value, a long one bin by bin.
-        cell = F.lit(0) if inside <= finish_rows else _bin(value, low, high, bins)
-        point = value if inside <= finish_rows else F.lit(None).cast("double")
-        cells.append(
-            F.when(
-                value.between(low, high),
-                F.struct(
-                    F.lit(i).alias("interval"),
-                    cell.cast("int").alias("bin"),
-                    point.alias("point"),
-                    value.alias("value"),
-                ),
-            )
-        )
+    cells = [_cell(i, interval, bins, finish_rows) for i, interval in enumerate(intervals)]
     counted = (
-        values.select(F.inline(F.array(*cells)))
-        .where("interval is not null")
+        values.select(F.inline(F.array_compact(F.array(*cells))))
         .groupBy("interval", "bin", "point")
         .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     )
     running = F.sum("n").over(Window.partitionBy("interval").orderBy("bin", "point"))
-    # One row per wanted rank: its size is the number of quantiles asked for.
-    wanted = values.sparkSession.createDataFrame(
-        [(i, number[r.interval], r.rank - r.below) for i, r in enumerate(open_ranks)],
-        "wanted int, interval int, offset long",
-    )
-    hits = (
-        counted.withColumn("upto", running)
-        .join(F.broadcast(wanted), "interval")
-        .where("upto > offset and upto - n <= offset")
-        .select("wanted", "n", "low", "high", "upto")
-        .collect()
+    places = [(number[r.interval], r.rank - r.below) for r in open_ranks]
+    upto, n = F.col("upto"), F.col("n")
+    wanted = reduce(
+        lambda x, y: x | y,
+        [(F.col("interval") == i) & (upto > k) & (upto - n <= k) for i, k in set(places)],
     )
-    for hit in hits:
-        r = open_ranks[hit["wanted"]]
+    hits = counted.withColumn("upto", running).where(wanted).drop("bin", "point").collect()
+    for r, (i, k) in zip(open_ranks, places):
+        hit = next(h for h in hits if h["interval"] == i and h["upto"] - h["n"] <= k < h["upto"])
         r.below += hit["upto"] - hit["n"]
-        r.low, r.high, r.inside = hit["low"], hit["high"], hit["n"]
+        r.low, r.high, r.inside, r.bracket = hit["low"], hit["high"], hit["n"], None
+
+
+def _bracketed(values: DataFrame, ranks: list[_Rank], accuracy: int) -> None:
+    """Brackets for all ranks from one pass of a sketch, four of its errors wide."""
+    slack = 2 / accuracy
+    share = {id(r): r.rank / max(r.inside - 1, 1) for r in ranks}
+    asked: dict[str, list[float]] = {}
+    for r in ranks:
+        p = share[id(r)]
+        asked.setdefault(r.column, []).extend((max(0.0, p - slack), min(1.0, p + slack)))
+    row = values.agg(
+        *[F.percentile_approx(c, p, accuracy).alias(c) for c, p in asked.items()]
+    ).first()
+    ends = {c: iter(row[c]) for c in asked}
+    for r in ranks:
+        start, end = next(ends[r.column]), next(ends[r.column])
+        r.bracket = start, end, math.ceil(6 * r.inside / accuracy)
 
 
 @dataclass(frozen=True)
@@ -178,6 +199,9 @@ def exact_quantiles(
                 spots[c].append((lower, upper, position - lower))
                 for k in (lower, upper):
                     ranks.setdefault((c, k), _Rank(c, k, extent.low, extent.high, 0, n))
+        long = [r for r in ranks.values() if not r.settled and r.inside > finish_rows]
+        if long:
+            _bracketed(values, long, accuracy)
         while any(not r.settled for r in ranks.values()):
             _advance(values, list(ranks.values()), bins, finish_rows)
     finally:

@@ -12,8 +12,9 @@ from skyledger.functions.money import ratio
 from skyledger.functions.text import ISO_FORMATS
 from skyledger.operators.cleaning import (
     clean_numeric_columns,
-    conversion_error_report,
     convert_columns,
+    error_report,
+    failed_cells,
 )
 from skyledger.operators.outliers import clip_columns, mad_bounds, mad_report, outlier_summary
 from skyledger.operators.quality import (
@@ -21,14 +22,14 @@ from skyledger.operators.quality import (
     column_profile,
     columns_with_nulls,
     copies,
+    facts_and_kinds,
     filter_allowed,
     impute,
     null_counts,
     null_profile,
-    nulls_and_kinds,
     numeric_columns,
 )
-from skyledger.operators.quantiles import exact_quantiles
+from skyledger.operators.quantiles import Extent, exact_quantiles
 from skyledger.params import LARGE, MEDIUM
 from skyledger.sources.tables import stage
 
@@ -102,8 +103,8 @@ def run_qc(
 ) -> QcResult:
     """Audit, convert, filter, impute, drop, deduplicate, impute again, cap.
 
-    The table is staged as Parquet twice: after conversion, so the text is parsed once,
-    and after deduplication, so its shuffle runs once. Every decision in between is one
+    The table is staged as Parquet twice: after conversion, so the text is parsed once, with
+    the cells that failed next to it for the error reports, and after deduplication, so its shuffle runs once. Every decision in between is one
     aggregate over the columns it concerns.
 
     ``number_ids`` names declared-text columns to treat as numbers, capping included;
@@ -114,12 +115,16 @@ def run_qc(
     kinds = {**plan.kinds, **{c: "float" for c in number_ids}}
     raw = raw.select(*kinds)
     worded = clean_numeric_columns(raw, plan.worded)
+    rest = {c: kind for c, kind in kinds.items() if c not in plan.worded}
+    before = raw.withColumn("_before", failed_cells(raw, kinds, formats))
+    after = clean_numeric_columns(before, plan.worded)
+    after = after.withColumn("_after", failed_cells(worded, kinds, formats))
+    parsed = stage(convert_columns(after, rest, formats), "typed")
+    typed = parsed.drop("_before", "_after")
     reports = {
-        "errors_before": conversion_error_report(raw, kinds, formats),
-        "errors_after": conversion_error_report(worded, kinds, formats),
+        "errors_before": error_report(parsed, F.col("_before")),
+        "errors_after": error_report(parsed, F.col("_after")),
     }
-    rest = {c: kind for c, kind in kinds.items() if c not in plan.worded}
-    typed = stage(convert_columns(worded, rest, formats), "typed")
 
     if profile:
         reports["profile"] = column_profile(typed, exact=exact)
@@ -146,12 +151,12 @@ def run_qc(
     unique = distinct.drop("copy_count")
 
     reports["nulls_after"] = null_profile(unique)
-    gaps, kinds_now = nulls_and_kinds(unique)
+    facts, kinds_now = facts_and_kinds(unique)
     full = impute(
         unique,
-        [c for c in kinds_now.numerical if c in gaps],
-        [c for c in kinds_now.categorical if c in gaps],
-        plan.final_strategy, "constant", UNKNOWN, numeric_mode, exact,
+        [c for c in kinds_now.numerical if c in facts.gaps],
+        [c for c in kinds_now.categorical if c in facts.gaps],
+        plan.final_strategy, "constant", UNKNOWN, numeric_mode, exact, facts,
     )
 
     # Filling a numerical column cannot make it categorical, so its kind still holds.
@@ -160,12 +165,21 @@ def run_qc(
     outlier_cols = [c for c in wide if c in numbers]
     if not outlier_cols:
         return QcResult(full, reports, dropped, [])
-    quartiles = exact_quantiles(full, {c: [0.25, 0.5, 0.75] for c in outlier_cols}, exact=exact)
+    # A mean or median lies between the ends, so filling moves neither.
+    ends = {
+        c: Extent(facts.rows if c in kinds_now.numerical else e.count, e.low, e.high)
+        for c, e in facts.extents.items()
+        if c in outlier_cols
+    }
+    quartiles = exact_quantiles(
+        full, {c: [0.25, 0.5, 0.75] for c in outlier_cols}, exact=exact, extents=ends
+    )
     reports["outliers"] = outlier_summary(
         full, outlier_cols, "iqr", quartiles={c: (q[0], q[2]) for c, q in quartiles.items()}
     )
     bounds = mad_bounds(
-        full, outlier_cols, plan.k, medians={c: q[1] for c, q in quartiles.items()}, exact=exact
+        full, outlier_cols, plan.k, medians={c: q[1] for c, q in quartiles.items()}, exact=exact,
+        extents=ends,
     )
     reports["capping"] = mad_report(full, bounds)
     return QcResult(clip_columns(full, bounds), reports, dropped, outlier_cols)

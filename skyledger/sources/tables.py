@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,15 +60,16 @@ def read_clean(
     """A cleaned table with the named columns only; the projection reaches the scan.
 
     CSV holds no types: ``types`` names those of its columns that are not text. A cell that
-    does not convert is null.
+    does not convert is null, and so is NaN.
     """
     if fmt == "parquet":
-        return spark.read.parquet(*([path] if isinstance(path, str) else path)).select(*columns)
+        files = [path] if isinstance(path, str) else path
+        return nulls_for_nan(spark.read.parquet(*files).select(*columns))
     if fmt != "csv":
         raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
     wanted = {c: t for c, t in (types or {}).items() if c in columns}
     text = read_raw_csv(spark, path, columns)
-    return text.withColumns({c: F.col(c).try_cast(t) for c, t in wanted.items()})
+    return nulls_for_nan(text.withColumns({c: F.col(c).try_cast(t) for c, t in wanted.items()}))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -88,20 +90,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder the session names in ``spark.checkpoint.dir``.
+    """The shared folder that intermediate tables go to.
 
-    Only a local session may go without: it gets a temporary folder of its own.
+    A folder given to ``setCheckpointDir`` comes first, then the one the session names in
+    ``spark.checkpoint.dir``. Without either there is no folder all executors are known to share.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="skyledger-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return named.rstrip("/")
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -109,13 +106,42 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Staged tables of each open ``staging`` block, innermost last.
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables staged inside the block and removes them at its end.
+
+    Results have to be written or collected inside, as they read the staged tables. Tables
+    staged outside any block are left to whoever owns the shared folder.
+    """
+    paths: list[str] = []
+    _OWNERS.append(paths)
+    try:
+        yield
+    finally:
+        _OWNERS.remove(paths)
+        for path in paths:
+            drop_table(spark, path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Removes a written table, wherever Spark's file systems keep it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to the shared staging folder and read it back.
 
     Cuts the lineage, survives lost executors, and lets each later pass read only
-    the columns it needs.
+    the columns it needs. The innermost open ``staging`` block owns the table.
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)

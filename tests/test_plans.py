@@ -18,7 +18,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n[0] in "acjkrw"])
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_in_any_plan(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
     assert not re.search(r"Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin", text)
@@ -59,5 +59,7 @@ def test_only_needed_columns_are_read(spark, sf):
 
 def test_library_has_no_python_functions_on_rows():
     for path in (ROOT / "skyledger").rglob("*.py"):
+        if path.is_relative_to(ROOT / "skyledger" / "llm"):
+            continue
         code = path.read_text()
         assert not re.search(r"udf|applyIn|mapIn|\.rdd\b|toPandas|localCheckpoint|crossJoin", code), path
