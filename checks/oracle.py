@@ -435,6 +435,10 @@ SELECT OP_CARRIER, ORIGIN, coalesce(TAIL_NUM, 'Unknown') AS TAIL_NUM,
   coalesce(DEP_DELAY, (SELECT avg(DEP_DELAY) FROM typedf)) AS DEP_DELAY,
   coalesce(OCCUPANCY_RATE::VARCHAR, 'Unknown') AS OCCUPANCY_RATE,
   coalesce(DISTANCE, (SELECT avg(DISTANCE) FROM typedf)) AS DISTANCE FROM typedf""")
+sql("q09_impute_predicted", "", """
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ROW_KEY,
+  CASE WHEN l_partkey % 150 <> 149 THEN 'C' || (l_partkey % 150) END AS CODE, l_linestatus AS FLAG,
+  'G' || (l_partkey % 150 % 7) AS GROUP_NAME FROM lineitem""")
 sql("q09_impute_predicted_exactly", "rawt", """
 SELECT ITIN_ID, ORIGIN_STATE_ABR, 'State ' || substr(ORIGIN_STATE_ABR, 2) AS ORIGIN_STATE_NM FROM rawt""")
 
@@ -446,17 +450,22 @@ def _profile(c: str, number: bool) -> str:
     t = """0::BIGINT AS zero_count, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS "min",
   NULL::DOUBLE AS "max", NULL::DOUBLE AS p25, NULL::DOUBLE AS p50, NULL::DOUBLE AS p75"""
     top = f"FROM typedf WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c}::VARCHAR LIMIT 1"
+    text = f"{c} || ' 00:00:00'" if c == "FL_DATE" else f"{c}::VARCHAR"
     return f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) FILTER ({c} IS NULL) AS null_count,
   {n if number else t}, count(DISTINCT {c}) AS distinct_count,
-  (SELECT {c}::VARCHAR {top}) AS top_value, (SELECT count(*) {top}) AS top_count FROM typedf"""
+  (SELECT {text} {top}) AS top_value, (SELECT count(*) {top}) AS top_count FROM typedf"""
 
 
+_NUMBERS = ("DEP_DELAY", "ARR_DELAY", "CANCELLED", "AIR_TIME", "DISTANCE", "OCCUPANCY_RATE")
+_TEXTS = (
+    "FL_DATE", "OP_CARRIER", "TAIL_NUM", "OP_CARRIER_FL_NUM", "ORIGIN_AIRPORT_ID", "ORIGIN",
+    "ORIGIN_CITY_NAME", "DEST_AIRPORT_ID", "DESTINATION", "DEST_CITY_NAME",
+)
 sql("q10_column_profile", "typedf", " UNION ALL ".join(
-    _profile(c, c not in ("TAIL_NUM", "ORIGIN"))
-    for c in ("TAIL_NUM", "ORIGIN", "DEP_DELAY", "ARR_DELAY", "DISTANCE", "OCCUPANCY_RATE")))
+    [_profile(c, True) for c in _NUMBERS] + [_profile(c, False) for c in _TEXTS]))
 sql("q10_correlations", "flights", " UNION ALL ".join(
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, {half_even(f'corr({a}, {b})', 6)} AS corr FROM flights"
-    for a, b in (("DEP_DELAY", "ARR_DELAY"), ("DEP_DELAY", "DISTANCE"), ("ARR_DELAY", "DISTANCE"))))
+    for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1:]))
 
 # --- filters ------------------------------------------------------------------------
 

@@ -172,6 +172,19 @@ def edge_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def coded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group for each line item that its code settles, unknown for some; one code is missing."""
+    code = F.col("l_partkey") % 150
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ROW_KEY"),
+        F.when(code != 149, F.concat(F.lit("C"), code.cast("string"))).alias("CODE"),
+        F.col("l_linestatus").alias("FLAG"),
+        F.when(F.col("l_quantity") != 9, F.concat(F.lit("G"), (code % 7).cast("string"))).alias(
+            "GROUP_NAME"
+        ),
+    )
+
+
 def _with_repeats(df: DataFrame) -> DataFrame:
     """Every row, and the rows of line number 3 once more, from one pass over the joins."""
     again = F.when(F.col("l_linenumber") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))

@@ -15,6 +15,9 @@ from skyledger.sources.tables import stage
 MISSING_TEXTS = ("nan", "None", "NaN")
 FEATURE_FILL = "Missing"
 
+#: Training rows of one combination: enough that hardly a tree's random draw leaves it out.
+COPIES = 16
+
 
 def alphabetical_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(feature, value, code)``: the alphabetical rank of each value in its text column.
@@ -49,14 +52,25 @@ def impute_predicted(
     target: str,
     features: Sequence[str],
     num_trees: int = 100,
-    max_depth: int = 10,
+    max_depth: int = 30,
     seed: int = 42,
+    max_width: int = 10_000,
+    max_classes: int = 1_000,
+    max_cases: int | None = None,
 ) -> DataFrame:
     """``target`` filled where it is missing, by a forest trained on the other rows.
 
-    Features are label-encoded in alphabetical order and enter as plain numbers, any number
-    of distinct values each; the classes of the target have to be few enough for a forest.
-    A table without gaps comes back unchanged. Stage ``df`` when it is dear to compute.
+    Features are label-encoded in alphabetical order and enter as plain numbers, each value
+    told apart: a feature of more than ``max_width`` distinct values or a target of more than
+    ``max_classes`` classes is refused, never merged, since both set the size of the forest's
+    histograms. Trees grow until their leaves are pure or ``max_depth`` deep, which may be 30 at
+    most here.
+
+    The forest learns from distinct combinations of features and class, ``COPIES`` at most of
+    each with the weight of all its rows, so its input grows with the combinations and not with
+    the rows. ``max_cases`` bounds them by a sample when given. Guesses are made once for each
+    combination and joined back. A table without gaps comes back unchanged. Stage ``df`` when it
+    is dear to compute.
     """
     known = F.col(target).isNotNull() & ~F.col(target).cast("string").isin(*MISSING_TEXTS)
     gaps = df.where(~known)
@@ -70,9 +84,19 @@ def impute_predicted(
             t: F.coalesce(F.col(c).cast("string"), F.lit(FEATURE_FILL))
             for t, c in zip(text, features)
         }
-        return rows.withColumns({**filled, "_label": F.col(target).cast("string")})
+        return rows.withColumns(filled)
 
-    dictionary = stage(alphabetical_codes(as_text(df).select(*text), text), "dictionary")
+    label = F.when(known, F.col(target).cast("string")).alias("_label")
+    cases = as_text(df).groupBy(*text, label).agg(F.count("*").alias("_rows"))
+    cases = stage(cases, "cases")
+    dictionary = stage(alphabetical_codes(cases.select(*text), text), "dictionary")
+    widest = dictionary.groupBy("feature").count().orderBy(F.desc("count"), "feature").first()
+    if widest["count"] > max_width:
+        name = features[text.index(widest["feature"])]
+        raise ValueError(f"{name!r} has {widest['count']} distinct values, over {max_width}")
+    classes = cases.agg(F.count_distinct("_label")).first()[0]
+    if classes > max_classes:
+        raise ValueError(f"{target!r} has {classes} classes, over {max_classes}")
 
     def encode(rows: DataFrame) -> DataFrame:
         for t, c in zip(text, codes):
@@ -80,16 +104,27 @@ def impute_predicted(
             rows = rows.join(entries.select(F.col("value").alias(t), F.col("code").alias(c)), t)
         return VectorAssembler(inputCols=codes, outputCol="_features").transform(rows)
 
-    train = encode(as_text(df.where(known))).select("_features", "_label")
+    copies = F.least("_rows", F.lit(COPIES))
+    train = (
+        encode(cases.where("_label is not null"))
+        .withColumn("_weight", F.col("_rows") / copies)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+        .select("_features", "_label", "_weight")
+    )
+    if max_cases is not None:
+        train = train.sample(min(1.0, max_cases / max(train.count(), 1)), seed)
+    train = stage(train, "train")
     labels = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(
         train
     )
     forest = RandomForestClassifier(
-        featuresCol="_features", labelCol="_y", predictionCol="_guess",
-        numTrees=num_trees, maxDepth=max_depth, seed=seed,
+        featuresCol="_features", labelCol="_y", weightCol="_weight", predictionCol="_guess",
+        numTrees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max(32, widest["count"] + 1),
     ).fit(labels.transform(train))
     back = IndexToString(inputCol="_guess", outputCol="_value", labels=labels.labels)
-    filled = back.transform(forest.transform(encode(as_text(gaps))))
+    unknown = encode(cases.where("_label is null").select(*text))
+    guesses = stage(back.transform(forest.transform(unknown)).select(*text, "_value"), "guesses")
+    filled = as_text(gaps).join(guesses, text)
     return (
         df.where(known)
         .withColumn(target, F.col(target).cast("string"))
