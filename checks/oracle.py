@@ -312,6 +312,8 @@ sql("s01_read_raw_csv", "edge", f"""
 SELECT {', '.join(f'{c}::VARCHAR AS {c}' for c in _KEYS.split(', '))},
   nullif(RAW_NUM, '') AS RAW_NUM, RAW_WORD, RAW_DATE FROM edge""")
 sql("s02_read_clean", "", "SELECT l_orderkey, l_quantity FROM lineitem")
+sql("s02_read_clean_nan", "", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <> 7 THEN l_quantity END AS QUANTITY FROM lineitem""")
 sql("s03_write_parquet", "tickets", "SELECT * FROM tickets")
 sql("s03_write_csv", "rawa", "SELECT * FROM rawa")
 
@@ -403,7 +405,9 @@ sql("q03_classify_columns", "flights", " UNION ALL ".join(
     else f"SELECT '{c}' AS column_name, '{'ordinal' if c == 'CANCELLED' else 'categorical'}' AS kind"
     for c in _FLIGHT_COLUMNS))
 sql("q04_drop_all_null_columns", "rawa", "SELECT * EXCLUDE (CONTINENT) FROM rawa")
-sql("q05_drop_high_null_columns", "rawa", "SELECT * EXCLUDE (CONTINENT) FROM rawa")
+sql("q05_drop_high_null_columns", "", """
+SELECT 'Airport ' || c_name AS "NAME",
+  CASE WHEN c_custkey % 10 = 0 THEN 'City ' || chr(65 + c_nationkey) END AS MUNICIPALITY FROM customer""")
 
 
 def _duplicates(keys: str, label: str) -> str:
@@ -456,16 +460,16 @@ def _profile(c: str, number: bool) -> str:
   (SELECT {text} {top}) AS top_value, (SELECT count(*) {top}) AS top_count FROM typedf"""
 
 
-_NUMBERS = ("DEP_DELAY", "ARR_DELAY", "CANCELLED", "AIR_TIME", "DISTANCE", "OCCUPANCY_RATE")
-_TEXTS = (
+_FLIGHT_NUMBERS = ("DEP_DELAY", "ARR_DELAY", "CANCELLED", "AIR_TIME", "DISTANCE", "OCCUPANCY_RATE")
+_FLIGHT_TEXTS = (
     "FL_DATE", "OP_CARRIER", "TAIL_NUM", "OP_CARRIER_FL_NUM", "ORIGIN_AIRPORT_ID", "ORIGIN",
     "ORIGIN_CITY_NAME", "DEST_AIRPORT_ID", "DESTINATION", "DEST_CITY_NAME",
 )
 sql("q10_column_profile", "typedf", " UNION ALL ".join(
-    [_profile(c, True) for c in _NUMBERS] + [_profile(c, False) for c in _TEXTS]))
+    [_profile(c, True) for c in _FLIGHT_NUMBERS] + [_profile(c, False) for c in _FLIGHT_TEXTS]))
 sql("q10_correlations", "flights", " UNION ALL ".join(
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, {half_even(f'corr({a}, {b})', 6)} AS corr FROM flights"
-    for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1:]))
+    for i, a in enumerate(_FLIGHT_NUMBERS) for b in _FLIGHT_NUMBERS[i + 1:]))
 
 # --- filters ------------------------------------------------------------------------
 
@@ -508,8 +512,18 @@ for _how in ("inner", "left", "right", "outer"):
     _join = "FULL OUTER" if _how == "outer" else _how.upper()
     sql(f"j01_join_on_{_how}", "rawa airports",
         f"SELECT * FROM raw {_join} JOIN known ON IATA_CODE = CODE", **_SIDES)
-sql("j01_join_on_outer_hot_keys", "rawa airports",
-    "SELECT * FROM raw FULL OUTER JOIN known ON IATA_CODE = CODE", **_SIDES)
+_HOT = {
+    "lines": """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 THEN NULL
+  WHEN l_linenumber <= 2 THEN 1 ELSE l_orderkey END AS ORDER_KEY FROM lineitem""",
+    "placed": """SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS PLACED_KEY, o_orderstatus
+  FROM orders""",
+}
+for _how, _join in (("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL OUTER")):
+    sql(f"j01_join_on_{_how}_hot_keys", "",
+        f"SELECT * FROM lines {_join} JOIN placed ON ORDER_KEY = PLACED_KEY", **_HOT)
+sql("j02_join_on_key_hot_keys", "", """
+SELECT coalesce(ORDER_KEY, PLACED_KEY) AS ORDER_KEY, l_orderkey, l_linenumber, l_partkey, o_orderstatus
+FROM lines FULL OUTER JOIN placed ON ORDER_KEY = PLACED_KEY""", **_HOT)
 sql("j01_join_on_null_safe", "rawa airports",
     "SELECT * FROM raw LEFT JOIN known ON IATA_CODE IS NOT DISTINCT FROM CODE", **_SIDES)
 for _name, _on in (
@@ -560,6 +574,29 @@ sql("a03_tickets_by_route", "sold", "SELECT * FROM sold")
 sql("a04_route_summary", "summary", "SELECT * FROM summary")
 sql("a05_sum_by_route", "ml", f"""
 SELECT ROUTE_NAME_CITY, {half_even('sum(PROFIT)')} AS PROFIT FROM ml GROUP BY 1""")
+_QUIET = {
+    "flights": f"""SELECT * REPLACE (CASE WHEN 'City A' NOT IN (ORIGIN_CITY_NAME, DEST_CITY_NAME)
+  THEN DEP_DELAY END AS DEP_DELAY) FROM (SELECT {_FLIGHT} FROM legs)""",
+    "tickets": f"""SELECT * REPLACE (CASE WHEN 'AAA' NOT IN (ORIGIN, DESTINATION) THEN PASSENGERS END
+  AS PASSENGERS) FROM (SELECT {_TICKET} FROM legs)""",
+    **{n: BLOCKS[n] for n in ("dirs", "flown", "sold", "joined", "earned", "kpi")},
+}
+sql("a03_tickets_by_route_unknown", "legs", """
+SELECT ROUTE_KEY, REPORTING_CARRIER, coalesce(PASSENGERS, 0) AS PASSENGERS, ITIN_FARE FROM sold""", **_QUIET)
+sql("a04_route_summary_unknown", "legs airports", f"""
+SELECT ROUTE_NAME_CITY, {half_even('coalesce(sum(PROFIT), 0)')} AS PROFIT,
+  {half_even('avg(AVG_DEP_DELAY_MINUTES + AVG_ARR_DELAY_MINUTES)', 6)} AS AVG_TOTAL_DELAY_MINUTES,
+  {half_even('coalesce(sum(ESTIMATED_PASSENGERS), 0)', 6)} AS ESTIMATED_PASSENGERS,
+  {half_even('avg(ROUND_TRIP_DISTANCE_MILES)', 6)} AS ROUND_TRIP_DISTANCE_MILES
+FROM kpi GROUP BY ROUTE_NAME_CITY""", **_QUIET)
+sql("a05_sum_by_route_unknown", "legs airports", f"""
+SELECT ROUTE_NAME_CITY, {half_even('coalesce(sum(PROFIT), 0)')} AS PROFIT FROM kpi GROUP BY 1""", **_QUIET)
+sql("a07_delay_metrics_unknown", "legs airports", f"""
+SELECT ROUTE_NAME_CITY,
+  {half_even('avg(AVG_DEP_DELAY_MINUTES + AVG_ARR_DELAY_MINUTES)', 6)} AS AVG_TOTAL_DELAY_MINUTES,
+  {half_even('coalesce(sum(DELAY_COST), 0)')} AS DELAY_COST FROM kpi GROUP BY ROUTE_NAME_CITY""", **_QUIET)
+sql("k07_delay_cost_unknown", "legs airports", """
+SELECT ROUTE, CARRIER, AVG_DEP_DELAY_MINUTES, DELAY_COST, TOTAL_COST, PROFIT FROM kpi""", **_QUIET)
 sql("a06_flights_per_route", "ml", """
 SELECT ROUTE_NAME_CITY, AIRPORT_CODE_A, AIRPORT_CODE_B, sum(TOTAL_FLIGHTS)::BIGINT AS TOTAL_FLIGHTS
 FROM ml GROUP BY 1, 2, 3""")
@@ -877,6 +914,7 @@ sql("p04_route_kpis_from_raw", "typedf rawt airports", "SELECT * FROM kpi",
     flights="SELECT * REPLACE (TRY_CAST(OCCUPANCY_RATE AS DOUBLE) AS OCCUPANCY_RATE) FROM cleanf",
     tickets="SELECT * FROM cleant",
     **{n: BLOCKS[n] for n in ("dirs", "flown", "sold", "joined", "earned", "kpi")})
+ORACLE["p07_files_to_kpis"] = ORACLE["p04_route_kpis_from_raw"]
 sql("p04_route_kpis", "kpi", "SELECT * FROM kpi")
 sql("p05_route_kpis_extended", "ext", "SELECT * FROM ext")
 _LISTS = {

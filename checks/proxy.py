@@ -172,6 +172,41 @@ def edge_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sparse_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that 98 of 100 rows lack, and one that 90 of 100 lack."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("Airport "), "c_name").alias("NAME"),
+        F.when(key % 50 == 0, F.col("c_acctbal")).alias("ELEVATION_FT"),
+        F.when(key % 10 == 0, _city("c_nationkey")).alias("MUNICIPALITY"),
+    )
+
+
+def hot_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line items of which a third share one order and some have none; orders, some without key."""
+    line = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        F.when(line <= 2, 1).when(line != 7, F.col("l_orderkey")).cast("long").alias("ORDER_KEY"),
+    )
+    orders = table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")).alias("PLACED_KEY"), "o_orderstatus"
+    )
+    return lines, orders
+
+
+def quiet_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flights whose departure delays to and from one city are all unknown."""
+    known = (F.col("ORIGIN_CITY_NAME") != "City A") & (F.col("DEST_CITY_NAME") != "City A")
+    return flights(spark, sf_dir).withColumn("DEP_DELAY", F.when(known, F.col("DEP_DELAY")))
+
+
+def quiet_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets whose passengers to and from one airport are all unknown."""
+    known = (F.col("ORIGIN") != "AAA") & (F.col("DESTINATION") != "AAA")
+    return tickets(spark, sf_dir).withColumn("PASSENGERS", F.when(known, F.col("PASSENGERS")))
+
+
 def coded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A group for each line item that its code settles, unknown for some; one code is missing."""
     code = F.col("l_partkey") % 150

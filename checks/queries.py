@@ -17,7 +17,7 @@ from skyledger.functions.money import round_half_even
 from skyledger.operators import aggregates as agg
 from skyledger.operators import cleaning, joins, kpis, outliers, prediction, quality, ranking
 from skyledger.params import SweetSpot
-from skyledger.plans import answers, explore, qc, routes
+from skyledger.plans import answers, explore, files, qc, routes
 from skyledger.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,16 @@ def _(spark, sf):
     return tables.read_clean(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_quantity"])
 
 
+@query("s02_read_clean_nan")
+def _(spark, sf):
+    """NaN in a file is a missing value once read."""
+    quantity = F.when(F.col("l_quantity") == 7, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
+    lines = proxy.table(spark, sf, "lineitem")
+    path = tables.staging_path(spark, "nan")
+    tables.write_table(lines.select("l_orderkey", "l_linenumber", quantity.alias("QUANTITY")), path)
+    return tables.read_clean(spark, path, ["l_orderkey", "l_linenumber", "QUANTITY"])
+
+
 @query("s03_write_parquet")
 def _(spark, sf):
     return tables.stage(proxy.tickets(spark, sf), "tickets")
@@ -268,7 +278,7 @@ def _(spark, sf):
 
 @query("q05_drop_high_null_columns")
 def _(spark, sf):
-    return quality.drop_high_null_columns(proxy.raw_airports(spark, sf), threshold=99)[0]
+    return quality.drop_high_null_columns(proxy.sparse_airports(spark, sf), threshold=95)[0]
 
 
 @query("q06_duplicate_stats")
@@ -436,7 +446,26 @@ def _joined(how: str, **options) -> Query:
 for _how in ("inner", "left", "right", "outer"):
     QUERIES[f"j01_join_on_{_how}"] = _joined(_how)
 QUERIES["j01_join_on_null_safe"] = _joined("left", null_safe=True)
-QUERIES["j01_join_on_outer_hot_keys"] = _joined("outer", hot_keys=True)
+
+
+def _hot_joined(how: str) -> Query:
+    def run(spark, sf):
+        lines, orders = proxy.hot_lines(spark, sf)
+        return joins.join_on(lines, orders, ["ORDER_KEY"], ["PLACED_KEY"], how)
+
+    return run
+
+
+for _how in ("left", "right", "outer"):
+    QUERIES[f"j01_join_on_{_how}_hot_keys"] = _hot_joined(_how)
+
+
+@query("j02_join_on_key_hot_keys")
+def _(spark, sf):
+    lines, orders = proxy.hot_lines(spark, sf)
+    return joins.join_on_key(
+        lines, orders.withColumnRenamed("PLACED_KEY", "ORDER_KEY"), "ORDER_KEY", "outer"
+    )
 
 
 def _joined_on_key(null_safe: bool) -> Query:
@@ -509,6 +538,44 @@ def _(spark, sf):
     return sums.withColumn("PROFIT", round_half_even(F.col("PROFIT")))
 
 
+def quiet_table(spark: SparkSession, sf: str) -> DataFrame:
+    """KPIs of which those of one city's routes cannot be known."""
+    return routes.route_kpis(
+        proxy.quiet_flights(spark, sf), proxy.quiet_tickets(spark, sf), proxy.airports(spark, sf)
+    )
+
+
+@query("a03_tickets_by_route_unknown")
+def _(spark, sf):
+    return agg.tickets_by_route(proxy.quiet_tickets(spark, sf))
+
+
+@query("a04_route_summary_unknown")
+def _(spark, sf):
+    return _money_summary(agg.route_summary(quiet_table(spark, sf)))
+
+
+@query("a05_sum_by_route_unknown")
+def _(spark, sf):
+    sums = agg.sum_by_route(quiet_table(spark, sf), "PROFIT")
+    return sums.withColumn("PROFIT", round_half_even(F.col("PROFIT")))
+
+
+@query("a07_delay_metrics_unknown")
+def _(spark, sf):
+    delays = agg.delay_metrics(quiet_table(spark, sf))
+    return six(
+        delays.withColumn("DELAY_COST", round_half_even(F.col("DELAY_COST"))), "AVG_TOTAL_DELAY_MINUTES"
+    )
+
+
+@query("k07_delay_cost_unknown")
+def _(spark, sf):
+    return quiet_table(spark, sf).select(
+        "ROUTE", "CARRIER", "AVG_DEP_DELAY_MINUTES", "DELAY_COST", "TOTAL_COST", "PROFIT"
+    )
+
+
 @query("a06_flights_per_route")
 def _(spark, sf):
     return agg.flights_per_route(medium_large_table(spark, sf))
@@ -790,6 +857,19 @@ def _(spark, sf):
     return routes.route_kpis(flights, tickets, proxy.airports(spark, sf))
 
 
+@query("p07_files_to_kpis")
+def _(spark, sf):
+    """Raw CSV files to cleaned tables to the KPI table, each written and read back."""
+    raw = {"flights": proxy.raw_flights, "tickets": proxy.raw_tickets}
+    paths = {name: tables.staging_path(spark, f"{name}_csv") for name in raw}
+    for name, build in raw.items():
+        tables.write_table(build(spark, sf), paths[name], "csv")
+    kept = files.Tables(tables.staging_path(spark, "files"))
+    files.clean_files(spark, paths, kept)
+    tables.write_table(proxy.airports(spark, sf), kept.path("airports"))
+    return files.kpi_file(spark, kept)
+
+
 @query("p05_route_kpis_extended")
 def _(spark, sf):
     return extended_table(spark, sf)

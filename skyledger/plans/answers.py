@@ -24,6 +24,8 @@ from skyledger.operators.ranking import (
 )
 from skyledger.params import DEFAULT_PARAMS, RouteParams
 
+# How an answer names a route; the columns of each answer, in the order shown, are
+# fixed values too.
 PLACE = ("ROUTE_NAME_CITY", "AIRPORT_CODE_A", "AIRPORT_CODE_B")
 
 # The city pairs recommended for a first fleet.
