@@ -103,6 +103,16 @@ def test_growth_and_tracker(spark):
     assert [r["BREAKEVEN_PROGRESS"] for r in tracked] == [0.5, 1.0, 1.5]
 
 
+def test_growth_is_null_across_a_missing_quarter(spark):
+    quarters = [(2019, 1), (2019, 3), (2019, 4), (2020, 1), (2021, 1)]
+    rows = [("r", "c", "x", y, q, 100.0 + i) for i, (y, q) in enumerate(quarters)]
+    df = spark.createDataFrame(
+        rows, "ROUTE string, CARRIER string, ROUTE_NAME_CITY string, YEAR int, QUARTER int, "
+        "ESTIMATED_PASSENGERS double")
+    grown = kpis.passenger_growth(df).orderBy("YEAR", "QUARTER").collect()
+    assert [r["PREVIOUS_PASSENGERS"] for r in grown] == [None, None, 101.0, 102.0, None]
+
+
 def test_cost_per_mile():
     assert DEFAULT_PARAMS.cost_per_mile == 9.18
     assert DEFAULT_PARAMS.bag_fee_round_trip == 70.0

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from skyledger.operators.prediction import alphabetical_codes, impute_predicted
@@ -26,6 +27,27 @@ def test_wide_feature_and_nothing_missing(spark):
     assert impute_predicted(holes, "t", ["f"], num_trees=5).where("t is null").isEmpty()
 
 
+@pytest.mark.parametrize("width, classes", [(60, 60), (120, 2)])
+def test_wide_features_are_told_apart(spark, width, classes):
+    base = spark.range(3000).select("id", (F.col("id") * 7919 % width).cast("string").alias("f"))
+    truth = base.withColumn(
+        "truth", F.concat(F.lit("c"), F.pmod(F.xxhash64("f"), F.lit(classes)).cast("string"))
+    )
+    holes = truth.withColumn("t", F.when(F.col("id") % 11 != 0, F.col("truth")))
+    filled = impute_predicted(holes, "t", ["f"], num_trees=40)
+    assert filled.where("t <> truth or t is null").isEmpty()
+
+
+def test_too_wide_is_refused_by_name(spark):
+    df = spark.range(50).selectExpr(
+        "cast(id as string) f", "if(id = 3, null, cast(id % 9 as string)) t"
+    )
+    with pytest.raises(ValueError, match="'f' has 50 distinct values"):
+        impute_predicted(df, "t", ["f"], max_width=49)
+    with pytest.raises(ValueError, match="'t' has 9 classes"):
+        impute_predicted(df, "t", ["f"], max_classes=8)
+
+
 def test_codes_are_alphabetical_ranks(spark):
     df = spark.range(5000).selectExpr("cast(id % 997 as string) as a", "concat('v', id % 3) as b")
     found = alphabetical_codes(df, ["a", "b"]).collect()

@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from skyledger.operators import quantiles
 from skyledger.operators.quantiles import exact_medians, exact_quantiles
 
 POINTS = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -29,6 +30,22 @@ def test_hot_value_and_heavy_tail(spark, options):
     check(spark, values, **options)
 
 
+def test_a_sketch_brackets_and_may_miss(spark):
+    rng = np.random.default_rng(5)
+    values = np.exp(rng.normal(0, 40, 20_000)).tolist() + [3.0] * 9_000
+    check(spark, values, finish_rows=500, accuracy=1000)
+    check(spark, values, finish_rows=10, bins=16, accuracy=3)  # brackets hardly narrow anything
+
+
+def test_wrong_brackets_cost_passes_not_answers(spark, monkeypatch):
+    def wrong(values, ranks, accuracy):
+        for i, r in enumerate(ranks):
+            r.bracket = (90.0, 95.0, 5) if i % 2 else (1.0, 2.0, 5)
+
+    monkeypatch.setattr(quantiles, "_bracketed", wrong)
+    check(spark, [float(i) for i in range(100)], finish_rows=20)
+
+
 def test_constant_empty_and_null_columns(spark):
     check(spark, [3.0, 3.0, 3.0])
     check(spark, [None, None])

@@ -91,7 +91,7 @@ def test_joins(spark):
 def test_join_in_parts_gives_the_same_rows(spark, how, null_safe):
     left = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), ("z", 5)], "k string, v int")
     right = spark.createDataFrame([("a", 6), ("a", 7), ("c", 8), (None, 9), ("z", 10)], "q string, w int")
-    plain = joins.join_on(left, right, ["k"], ["q"], how, null_safe)
+    plain = joins.join_on(left, right, ["k"], ["q"], how, null_safe, hot_keys=False)
     parts = joins.join_on(left, right, ["k"], ["q"], how, null_safe, hot_keys=True)
     assert plain.dtypes == parts.dtypes
     assert sorted(map(str, plain.collect())) == sorted(map(str, parts.collect()))
@@ -99,6 +99,49 @@ def test_join_in_parts_gives_the_same_rows(spark, how, null_safe):
         joins.join_on(left, right, ["k"], ["q"], "cross")
 
 
+def test_a_hot_key_of_an_outer_join_is_split(spark):
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    old = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(0, 60_000, 1, 6).selectExpr("if(id % 3 = 0, 1, id) as k", "uuid() as v")
+        right = spark.range(0, 5_000, 1, 6).selectExpr("id as q", "uuid() as w")
+        joined = joins.join_on(left, right, ["k"], ["q"], "outer")
+        assert joined.count() == 20_000 + 40_000 + sum(1 for i in range(5000) if i % 3 == 0 and i != 1)
+        whole = left.join(right, left["k"] == right["q"], "outer")
+        rows = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in text
+        assert rows(whole) > 20_000  # the plain join leaves the hot key in one task
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_sums_of_unknown_groups_are_zero(spark):
+    rows = [("x", None, None, None), ("x", None, None, None), ("y", 2.0, 3.0, 4.0)]
+    df = spark.createDataFrame(
+        [(*r, 1.0, 1.0, 1.0) for r in rows],
+        "ROUTE_NAME_CITY string, PROFIT double, DELAY_COST double, ESTIMATED_PASSENGERS double,"
+        " AVG_DEP_DELAY_MINUTES double, AVG_ARR_DELAY_MINUTES double, ROUND_TRIP_DISTANCE_MILES double",
+    )
+    for found, column in (
+        (aggregates.sum_by_route(df, "PROFIT"), "PROFIT"),
+        (aggregates.delay_metrics(df), "DELAY_COST"),
+        (aggregates.route_summary(df), "ESTIMATED_PASSENGERS"),
+    ):
+        assert {r["ROUTE_NAME_CITY"]: r[column] for r in found.collect()}["x"] == 0.0
+
+
 def ranked(spark):
     rows = [("r1", "c", "x", 5.0), ("r2", "c", "x", 9.0), ("r3", "c", "y", None), ("r4", "c", "y", 9.0)]
     return spark.createDataFrame(rows, "ROUTE string, CARRIER string, ROUTE_NAME_CITY string, PROFIT double")

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from skyledger.sources import tables
@@ -62,20 +64,50 @@ def test_nan_becomes_null(spark):
     assert [r["x"] for r in tables.nulls_for_nan(df).collect()] == [None, 1.0, None]
 
 
-def test_staging_goes_to_the_named_folder(spark):
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    assert tables.staging_path(spark, "t").startswith(root.rstrip("/") + "/t-")
+class Session:
+    """A stand-in for a session with the folders it names."""
 
+    def __init__(self, master, conf=None, explicit=None):
+        self.master, self.conf, self.explicit = master, conf or {}, explicit
+        self.sparkContext = self
 
-def test_a_cluster_must_name_its_shared_folder():
-    class Nothing:
-        master = "yarn"
-        conf = {}
+    def getCheckpointDir(self):
+        return self.explicit
 
-        def getCheckpointDir(self):
-            return None
 
-    session = Nothing()
-    session.sparkContext = session
+@pytest.mark.parametrize("master", ["yarn", "local[8]", "local-cluster[2,1,1024]"])
+def test_an_unset_folder_is_an_error_everywhere(master):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        tables.staging_root(session)
+        tables.staging_root(Session(master))
+
+
+def test_the_explicit_folder_comes_first():
+    conf = {"spark.checkpoint.dir": "hdfs://a/conf"}
+    assert tables.staging_root(Session("yarn", conf)) == "hdfs://a/conf"
+    assert tables.staging_root(Session("yarn", conf, "hdfs://a/own/")) == "hdfs://a/own"
+
+
+def _folder(df):
+    return df.inputFiles()[0].removeprefix("file://").removeprefix("file:").rsplit("/", 1)[0]
+
+
+def test_staging_goes_there_and_its_owner_removes_it(spark):
+    root = tables.staging_root(spark).removeprefix("file:")
+    df = spark.range(5)
+    with tables.staging(spark):
+        outer = tables.stage(df, "outer")
+        with tables.staging(spark):
+            folder = _folder(tables.stage(df, "inner"))
+            assert folder.startswith(f"{root}/inner-")
+        assert not os.path.exists(folder)
+        assert outer.count() == 5
+    assert tables.stage(df, "kept").count() == 5
+
+
+def test_nan_of_both_formats_is_missing_once_read(spark, tmp_path):
+    df = spark.createDataFrame([(1, float("nan")), (2, 2.0), (3, 4.0)], "id int, x double")
+    for fmt in ("parquet", "csv"):
+        path = str(tmp_path / fmt)
+        tables.write_table(df, path, fmt)
+        back = tables.read_clean(spark, path, ["id", "x"], fmt, {"id": "int", "x": "double"})
+        assert tuple(back.selectExpr("count(x)", "avg(x)").first()) == (2, 3.0)
