@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parent.parent
+
 
 def local_session(cpus: int = 8, partitions: int = 8, shared: str | None = None) -> SparkSession:
     """``shared`` is the folder for intermediate tables; a new one unless the session has one."""
+    paths = [str(ROOT), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(paths))  # for the workers
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("skyledger")
