@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm.decontaminate import decontaminate
+from skyledger.llm.frames import shipped
 from skyledger.llm.packing import best_fit_packing
 from skyledger.llm.quality import quality_rules
 from skyledger.llm.simhash import simhash_dedup
@@ -23,7 +24,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules reject go."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    return quality_rules(docs).filter("kept").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long"))
     new = {"n_chars": F.coalesce(size, F.col("n_chars")), "text": text}
-    return got.select([new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return got.select([new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = shipped(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES:
         docs = stage(apply(spark, docs, sf_dir), name)
     return docs

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -14,6 +18,24 @@ from skyledger.llm.words import CHUNK, chunks
 Compute = Callable[[pa.RecordBatch, list[bytes]], dict[str, list]]
 
 
+_shipped: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Sends this package to the workers of a session started without it on their path."""
+    root = Path(__file__).resolve().parents[2]
+    there = [Path.cwd(), *map(Path, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    name = spark.sparkContext.applicationId
+    if root not in there and name not in _shipped:
+        path = Path(tempfile.mkdtemp(prefix="skyledger-"), "skyledger.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for file in sorted((root / "skyledger").rglob("*.py")):
+                out.write(file, file.relative_to(root))
+        spark.sparkContext.addPyFile(str(path))  # Spark serves it to the executors
+        _shipped.add(name)
+    return spark
+
+
 def struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
@@ -23,21 +45,29 @@ def add_columns(
 ) -> DataFrame:
     """``df`` with the columns of ``ddl`` worked out from whole texts, some MB at a time.
 
-    Input columns named like a new one are replaced; the text is read before that.
+    Input columns named like a new one, in any case, are replaced; the text is read before that.
+    Names that begin with two underscores are kept for the operators' own use.
     """
     new = struct(ddl)
     arrow = to_arrow_schema(new)
-    kept = [f for f in df.schema.fields if f.name not in new.names]
+    names = df.columns
+    replaced = {n.lower() for n in new.names}
+    kept = [i for i, n in enumerate(names) if n.lower() not in replaced]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, text, limit):
+        named = (b.rename_columns(names) for b in batches)
+        for batch, texts in chunks(named, text, limit):
             got = compute(batch, texts)
-            arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            arrays = [batch.column(i) for i in kept]
             arrays += [pa.array(got[f.name], f.type) for f in arrow]
-            names = [f.name for f in kept] + arrow.names
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return df.mapInArrow(run, T.StructType(kept + new.fields))
+            yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+
+    # Positions stand in for names on the way: names may hold dots.
+    fields = [T.StructField(f"c{i}", df.schema.fields[i].dataType) for i in kept]
+    fields += [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(new.fields)]
+    out = T.StructType(fields)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(run, out).toDF(*[names[i] for i in kept], *new.names)
 
 
 def map_texts(
