@@ -62,7 +62,10 @@ SIBLINGS = {
     "th": {"td", "th"},
     "option": {"option"},
 }
-#: An end tag or an implied one never reaches beyond these.
+#: The end tag of a block never reaches out of a table cell, that of a table's part not out of it.
+CELLS = frozenset("table td th caption".split())
+TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
+#: An implied end tag, or that of a paragraph or inline element, never reaches beyond these.
 SCOPES = frozenset(
     "html body article main section nav header footer aside div form table ul ol dl blockquote"
     " td th li figure dialog menu fieldset".split()
@@ -87,9 +90,10 @@ IN_CONTENT = 3.0
 IN_GOOD_NAME = 1.0
 IN_BOILERPLATE = -8.0
 IN_BAD_NAME = -7.0
-IN_PAGE_HEADER = -5.0
+IN_HEADER = -7.0
 PARAGRAPH = 1.0
 HEADING = 0.6
+TITLE = 7.0
 LINKS = -3.0
 WORDS = 0.5
 #: Weight of smoothness edges: neighbours, children of one parent, and the loss for each step apart.
@@ -100,7 +104,7 @@ SCALE = 1000
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "odds", "silent", "content", "link")
+    __slots__ = ("tag", "parent", "depth", "odds", "silent", "content", "link", "title")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent = tag, parent
@@ -109,13 +113,15 @@ class Element:
         self.silent = tag in SILENT or bool(parent and parent.silent)
         self.content = tag in CONTENT or bool(parent and parent.content)
         self.link = tag == "a" or bool(parent and parent.link)
+        self.title = bool(parent and parent.title)  # in the header of an article
         if tag in CONTENT:
             if not (parent and parent.content):
                 odds += IN_CONTENT
         elif tag in BOILERPLATE:
             odds += IN_BOILERPLATE
-        elif tag == "header" and not self.content:
-            odds += IN_PAGE_HEADER
+        elif tag == "header":
+            odds += IN_HEADER
+            self.title = self.content
         if attributes and tag not in ("html", "body"):
             odds += self.named(attributes)
         self.odds = odds
@@ -157,7 +163,7 @@ class Block:
         if parent.tag == "p":
             odds += PARAGRAPH
         elif parent.tag in HEADINGS:
-            odds += HEADING
+            odds += HEADING + (TITLE if parent.title else 0.0)
         self.odds = odds
 
 
@@ -225,9 +231,12 @@ def blocks(html: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if ends:
-            close({tag}, SCOPES - {tag} if tag not in INLINE else SCOPES)
-            if tag in SCOPES and here is not root:
-                pass
+            if tag in INLINE:
+                close({tag}, SCOPES | {"p"})
+            elif tag == "p" or tag in HEADINGS:
+                close(HEADINGS if tag in HEADINGS else {"p"})
+            else:
+                close({tag}, CELLS - {tag} if tag not in TABLE_PARTS else {"table"} - {tag})
             continue
         if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag not in SCOPES:
             continue

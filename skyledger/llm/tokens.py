@@ -55,7 +55,8 @@ class Counter:
         self.as_bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         crossing = re.compile(f"[^{MARK}]{MARK}")
-        self.by_words = not any(crossing.search(p) for p in names)
+        known = MARK in self.single or self.as_bytes  # else an unknown mark may join others
+        self.by_words = known and not any(crossing.search(p) for p in names)
         self.cache: dict[str, tuple[int, float]] = {}
 
     def segment(self, text: str) -> tuple[int, float]:
