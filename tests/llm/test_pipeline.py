@@ -7,7 +7,8 @@ import pytest
 import corpus_pipeline
 from skyledger.llm import decontaminate as dc
 from tests.llm import test_decontaminate as tiles
-from tests.llm import test_packing, test_quality, test_repeats, test_simhash
+from tests.llm import test_packing, test_repeats, test_simhash
+from tests.llm.test_quality import brute as quality_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,7 +39,7 @@ def test_the_stages_are_five_and_keep_the_columns(stages, spark):
 
 
 def test_quality(stages):
-    want = [r for r in stages[0] if test_quality.brute(r.text)[-1]]
+    want = [r for r in stages[0] if quality_of(r.text)[-1]]
     assert Counter(stages[1]) == Counter(want)
 
 
