@@ -56,20 +56,23 @@ def read_clean(
     columns: Sequence[str],
     fmt: str = "parquet",
     types: Mapping[str, str] | None = None,
+    nan_as_null: bool = True,
 ) -> DataFrame:
     """A cleaned table with the named columns only; the projection reaches the scan.
 
     CSV holds no types: ``types`` names those of its columns that are not text. A cell that
-    does not convert is null, and so is NaN.
+    does not convert is null, and so is NaN. Filters on floating columns reach a Parquet scan
+    only with ``nan_as_null=False``, for tables known to hold no NaN.
     """
+    clean = nulls_for_nan if nan_as_null else lambda df: df
     if fmt == "parquet":
         files = [path] if isinstance(path, str) else path
-        return nulls_for_nan(spark.read.parquet(*files).select(*columns))
+        return clean(spark.read.parquet(*files).select(*columns))
     if fmt != "csv":
         raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
     wanted = {c: t for c, t in (types or {}).items() if c in columns}
     text = read_raw_csv(spark, path, columns)
-    return nulls_for_nan(text.withColumns({c: F.col(c).try_cast(t) for c, t in wanted.items()}))
+    return clean(text.withColumns({c: F.col(c).try_cast(t) for c, t in wanted.items()}))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

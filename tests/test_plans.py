@@ -52,7 +52,10 @@ def test_aggregates_combine_before_the_shuffle(spark, sf):
 
 
 def test_only_needed_columns_are_read(spark, sf):
-    text = plan(tables.read_clean(spark, f"{sf}/lineitem.parquet", ["l_quantity"]).where("l_quantity > 3"))
+    path, columns = f"{sf}/lineitem.parquet", ["l_quantity"]
+    text = plan(tables.read_clean(spark, path, columns).where("l_quantity > 3"))
+    assert "ReadSchema: struct<l_quantity:double>" in text
+    text = plan(tables.read_clean(spark, path, columns, nan_as_null=False).where("l_quantity > 3"))
     assert "ReadSchema: struct<l_quantity:double>" in text
     assert "GreaterThan(l_quantity,3.0)" in text
 
