@@ -21,6 +21,7 @@ from skyledger.llm import (
     tokens,
 )
 from skyledger.llm.frames import shipped
+from skyledger.llm.oracle import ORACLE  # noqa: F401  next to the queries it checks
 
 #: Vocabulary files of public tokenizers; set this to where they lie.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -94,4 +95,3 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE: dict[str, str] = {}
