@@ -41,10 +41,17 @@ def struct(ddl: str) -> T.StructType:
 
 
 def add_columns(
-    df: DataFrame, text: str, ddl: str, compute: Compute, limit: int = CHUNK
+    df: DataFrame,
+    text: str,
+    ddl: str,
+    compute: Compute,
+    limit: int = CHUNK,
+    packed: bool = False,
 ) -> DataFrame:
     """``df`` with the columns of ``ddl`` worked out from whole texts, some MB at a time.
 
+    With ``packed`` the column ``text`` holds zstd frames, and texts are unpacked on the way.
+
     Input columns named like a new one, in any case, are replaced; the text is read before that.
     Names that begin with two underscores are kept for the operators' own use.
     """
@@ -56,7 +63,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = (b.rename_columns(names) for b in batches)
-        for batch, texts in chunks(named, text, limit):
+        for batch, texts in chunks(named, text, limit, packed):
             got = compute(batch, texts)
             arrays = [batch.column(i) for i in kept]
             arrays += [pa.array(got[f.name], f.type) for f in arrow]

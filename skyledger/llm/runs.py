@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from skyledger.llm.frames import struct
+from skyledger.llm.frames import Compute, add_columns, struct
 from skyledger.llm.words import PAD, Words, chunks, hash_slices, joined, mix, rolled
 from skyledger.sources.tables import stage
 
@@ -277,7 +277,7 @@ def leading(body: np.ndarray, at: np.ndarray) -> np.ndarray:
 def pack(strings: list[bytes], *columns: np.ndarray) -> bytes:
     size = np.array([len(strings), *map(len, strings)], np.int32)
     numbers = b"".join(c.astype(np.int64).tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=3).compress(
+    return zstandard.ZstdCompressor(level=6).compress(
         size.tobytes() + numbers + b"".join(strings)
     )
 
@@ -538,18 +538,36 @@ def spans(
     return hits.groupBy("__id", "__hash").agg(F.collect_list(span).alias("__spans"))
 
 
-def with_spans(docs: DataFrame, found: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``docs`` with the spans of each text; both sides meet by id and hash of the text."""
+def with_spans(
+    docs: DataFrame, found: DataFrame, id_col: str, text: str, ddl: str, compute: Compute
+) -> DataFrame:
+    """``docs`` with the columns of ``ddl``, worked out from each text and its ``__spans``.
+
+    Both sides meet by id and hash of the text. Texts cross the shuffle compressed.
+    """
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keyed = docs.withColumns(
-        {
-            "__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)),
-            "__hash": F.xxhash64(body),
-        }
-    )
-    return keyed.join(found.hint("shuffle_hash"), ["__id", "__hash"], "left").drop(
-        "__id", "__hash"
-    )
+    keyed = docs.withColumns({"__id": key, "__hash": F.xxhash64(body)})
+    keyed = keyed.withColumn("__known", F.col(f"`{text}`").isNotNull())
+
+    def shrink(_: pa.RecordBatch, texts: list[bytes]) -> dict[str, list]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        return {"__body": [compress(t) if t else t for t in texts]}
+
+    packed = add_columns(keyed, text, "__body binary", shrink).drop(text)
+    joined = packed.join(found.hint("shuffle_hash"), ["__id", "__hash"], "left")
+
+    def results(batch: pa.RecordBatch, texts: list[bytes]) -> dict[str, list]:
+        known = batch.column(batch.schema.get_field_index("__known")).to_pylist()
+        out = compute(batch, texts)
+        out[text] = [t.decode("utf-8", "replace") if k else None for t, k in zip(texts, known)]
+        return out
+
+    full = add_columns(joined, "__body", f"`{text}` string, {ddl}", results, packed=True)
+    new = [f.name for f in struct(ddl)]
+    lowered = {n.lower() for n in new}
+    kept = [c for c in docs.columns if c.lower() not in lowered]
+    return full.select(*[f"`{c}`" for c in (*kept, *new)])
 
 
 def union_of(spans_: list | None) -> list[tuple[int, int]]:

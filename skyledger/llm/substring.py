@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyledger.llm.frames import add_columns
+from skyledger.llm.frames import Compute
 from skyledger.llm.runs import Windows, spans, union_of, with_spans
 
 SIZE = 50
@@ -32,11 +32,11 @@ def windows(size: int = SIZE, gram: int = GRAM) -> Windows:
     return Windows(size=size, gram=min(gram, size), by_words=True)
 
 
-def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SIZE
+def _with_passages(
+    docs: DataFrame, id_col: str, text: str, size: int, ddl: str, compute: Compute
 ) -> DataFrame:
-    """``docs`` with ``__spans``: stretches of words that an earlier document holds."""
-    return with_spans(docs, spans(docs, windows(size), True, id_col, text), id_col, text)
+    found = spans(docs, windows(size), True, id_col, text)
+    return with_spans(docs, found, id_col, text, ddl, compute)
 
 
 def _kept(batch: pa.RecordBatch, texts: list[bytes]) -> tuple[list, list, list[list[bytes]]]:
@@ -64,10 +64,12 @@ def substring_digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         return {"n_words": total, "n_removed": removed, "kept_sha256": digest}
 
     ddl = "n_words long, n_removed long, kept_sha256 string"
-    return add_columns(repeated_passages(docs, id_col, text), text, ddl, figures).drop("__spans")
+    return _with_passages(docs, id_col, text, SIZE, ddl, figures)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SIZE
+) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_removed`` and the removed stretches of words."""
 
     def results(batch: pa.RecordBatch, texts: list[bytes]) -> dict[str, list]:
@@ -85,4 +87,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         }
 
     ddl = "kept_text string, n_removed long, removed_spans array<struct<begin:long,stop:long>>"
-    return add_columns(repeated_passages(docs, id_col, text), text, ddl, results).drop("__spans")
+    return _with_passages(docs, id_col, text, size, ddl, results)

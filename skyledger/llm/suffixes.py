@@ -2,8 +2,9 @@
 
 Every place where such a string may begin is a suffix. Suffixes travel in runs: those whose first
 ``size`` bytes share a minimiser n-gram are one packed string, so a bucket gets about three bytes
-for each. Splitters, taken from a sample of leading bytes spread over the whole input, range-partition the runs by
-the leading bytes of their n-gram; a bucket sorts its suffixes by multikey quicksort, character
+for each. Splitters, taken from a sample of leading
+bytes spread over the whole input, range-partition the runs by the leading bytes of their n-gram
+(and a hash of the n-gram deals each range to several buckets); a bucket sorts its suffixes by multikey quicksort, character
 by character, where only ties go on, and compares neighbours. Equal strings hold the same n-gram
 at the same place, and a splitter never parts equal leading bytes, so no pair of equal suffixes
 lies on two sides of a boundary and neighbours across it need no second look.
@@ -23,7 +24,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyledger.llm.frames import add_columns
+from skyledger.llm.frames import Compute
 from skyledger.llm.runs import Windows, spans, union_of, with_spans
 
 SIZE = 400
@@ -37,12 +38,11 @@ def windows(size: int = SIZE, gram: int = GRAM) -> Windows:
     )
 
 
-def repeated_strings(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SIZE
+def _with_strings(
+    docs: DataFrame, id_col: str, text: str, size: int, ddl: str, compute: Compute
 ) -> DataFrame:
-    """``docs`` with ``__spans``: stretches of bytes that occur elsewhere."""
     found = spans(docs, windows(size), False, id_col, text, RANGES)
-    return with_spans(docs, found, id_col, text)
+    return with_spans(docs, found, id_col, text, ddl, compute)
 
 
 def _cut(batch: pa.RecordBatch, texts: list[bytes]) -> tuple[list, list[bytes]]:
@@ -69,10 +69,12 @@ def suffix_digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
         }
 
     ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return add_columns(repeated_strings(docs, id_col, text), text, ddl, figures).drop("__spans")
+    return _with_strings(docs, id_col, text, SIZE, ddl, figures)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def suffix_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SIZE
+) -> DataFrame:
     """``docs`` with ``kept_bytes`` and the removed stretches of bytes."""
 
     def results(batch: pa.RecordBatch, texts: list[bytes]) -> dict[str, list]:
@@ -81,4 +83,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         return {"kept_bytes": kept, "removed_spans": spans_}
 
     ddl = "kept_bytes binary, removed_spans array<struct<begin:long,stop:long>>"
-    return add_columns(repeated_strings(docs, id_col, text), text, ddl, results).drop("__spans")
+    return _with_strings(docs, id_col, text, size, ddl, results)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 CHUNK = 4 << 20
 PAD = 8
@@ -31,19 +32,26 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def chunks(
-    batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK
+    batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK, packed: bool = False
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches whose texts hold about ``limit`` bytes, one row at least."""
+    """Slices of the batches whose texts hold about ``limit`` bytes, one row at least.
+
+    ``packed`` texts are zstd frames, counted at their full size and unpacked slice by slice.
+    """
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         texts = texts_of(batch.column(batch.schema.get_field_index(column)))
+        sizes = [zstandard.frame_content_size(t) if packed and t else len(t) for t in texts]
         begin, held = 0, 0
-        for i, text in enumerate(texts):
-            if held and held + len(text) > limit:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, held = i, 0
-            held += len(text) + 1
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        for end, size in enumerate([*sizes, None]):
+            if end > begin and (size is None or held + size > limit):
+                part = texts[begin:end]
+                yield (
+                    batch.slice(begin, end - begin),
+                    [unpack(t) if t else t for t in part] if packed else part,
+                )
+                begin, held = end, 0
+            held += (size or 0) + 1
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
