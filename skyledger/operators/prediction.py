@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.sources.tables import stage
@@ -20,18 +20,27 @@ COPIES = 16
 
 
 def alphabetical_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(feature, value, code)``: the alphabetical rank of each value in its text column.
+    """``(feature, value, code)``: the alphabetical rank of each value in its text column."""
+    return ordered_codes(_cells(df, columns, F.lit("").alias("key")).distinct())
+
+
+def _cells(df: DataFrame, columns: Sequence[str], *more: Column) -> DataFrame:
+    """A row for each cell of the columns."""
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), *more) for c in columns]
+    return df.select(F.inline(F.array(*cells)))
+
+
+def ordered_codes(values: DataFrame) -> DataFrame:
+    """``(feature, value, code)``: the rank of each value of ``(feature, value, key)`` by key, value.
 
     Values are sorted across the cluster in ranges; a value's rank is the number of values in
     the ranges before it plus its place in its own range. The ranges are written down before
     they are counted, so both steps see the same ones, and no dictionary visits the driver.
     """
-    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]
     ranges = stage(
-        df.select(F.inline(F.array(*cells)))
-        .distinct()
-        .repartitionByRange("feature", "value")
-        .withColumn("part", F.spark_partition_id()),
+        values.repartitionByRange("feature", "key", "value").withColumn(
+            "part", F.spark_partition_id()
+        ),
         "codes",
     )
     before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,7 +48,7 @@ def alphabetical_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     offsets = sizes.select(
         "feature", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    place = F.row_number().over(Window.partitionBy("feature", "part").orderBy("value"))
+    place = F.row_number().over(Window.partitionBy("feature", "part").orderBy("key", "value"))
     return (
         ranges.withColumn("place", place)
         .join(offsets, ["feature", "part"])
@@ -47,6 +56,17 @@ def alphabetical_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _by_class(cases: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each feature's values with their most frequent class, the smallest on ties, as key."""
+    cells = _cells(cases, columns, F.col("_label").alias("key"), F.col("_rows"))
+    counted = cells.groupBy("feature", "value", "key").agg(F.sum("_rows").alias("n"))
+    first = Window.partitionBy("feature", "value").orderBy(
+        F.col("key").isNull(), F.desc("n"), "key"
+    )
+    top = counted.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return top.select("feature", "value", F.coalesce("key", F.lit("")).alias("key"))
+
+
 def impute_predicted(
     df: DataFrame,
     target: str,
@@ -60,11 +80,11 @@ def impute_predicted(
 ) -> DataFrame:
     """``target`` filled where it is missing, by a forest trained on the other rows.
 
-    Features are label-encoded in alphabetical order and enter as plain numbers, each value
-    told apart: a feature of more than ``max_width`` distinct values or a target of more than
-    ``max_classes`` classes is refused, never merged, since both set the size of the forest's
-    histograms. Trees grow until their leaves are pure or ``max_depth`` deep, which may be 30 at
-    most here.
+    Features are label-encoded and enter as plain numbers, each value told apart. Values are
+    numbered by their most frequent class, then alphabetically: purely alphabetical numbers may
+    need trees as deep as a feature is wide, and Spark's are 30 deep at most. A feature of more
+    than ``max_width`` distinct values or a target of more than ``max_classes`` classes is
+    refused, never merged, since both set the size of the forest's histograms. Trees grow until their leaves are pure or ``max_depth`` deep.
 
     The forest learns from distinct combinations of features and class, ``COPIES`` at most of
     each with the weight of all its rows, so its input grows with the combinations and not with
@@ -89,7 +109,7 @@ def impute_predicted(
     label = F.when(known, F.col(target).cast("string")).alias("_label")
     cases = as_text(df).groupBy(*text, label).agg(F.count("*").alias("_rows"))
     cases = stage(cases, "cases")
-    dictionary = stage(alphabetical_codes(cases.select(*text), text), "dictionary")
+    dictionary = stage(ordered_codes(_by_class(cases, text)), "dictionary")
     widest = dictionary.groupBy("feature").count().orderBy(F.desc("count"), "feature").first()
     if widest["count"] > max_width:
         name = features[text.index(widest["feature"])]
