@@ -145,34 +145,49 @@ class TableFacts:
         return [c for c, n in self.nulls.items() if n]
 
 
-def table_facts(
-    df: DataFrame, numbers: Sequence[str], more: Sequence[Column] = ()
-) -> tuple[TableFacts, Row]:
-    """The facts of all columns, and the row that also holds ``more``, from one aggregate."""
-    row = df.agg(
+def fact_measures(df: DataFrame, numbers: Sequence[str]) -> list[Column]:
+    """Aggregates that ``read_facts`` picks up from the result."""
+    return [
         F.count(F.lit(1)).alias("*:rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"{c}:gaps") for c in df.columns],
         *[F.avg(c).alias(f"{c}:mean") for c in numbers],
         *extent_measures(numbers),
-        *more,
-    ).first()
-    facts = TableFacts(
+    ]
+
+
+def read_facts(
+    row: Mapping[str, object] | Row, columns: Sequence[str], numbers: Sequence[str]
+) -> TableFacts:
+    return TableFacts(
         row["*:rows"],
-        {c: row[f"{c}:gaps"] for c in df.columns},
+        {c: row[f"{c}:gaps"] for c in columns},
         {c: row[f"{c}:mean"] for c in numbers},
         read_extents(row, numbers),
     )
-    return facts, row
 
 
-def facts_and_kinds(df: DataFrame, threshold: int = 20) -> tuple[TableFacts, ColumnKinds]:
-    """Facts and the kind of every column, from one pass over the whole table and one over
-    its narrow columns."""
+def table_facts(df: DataFrame, numbers: Sequence[str]) -> TableFacts:
+    """The facts of all columns from one aggregate."""
+    return read_facts(df.agg(*fact_measures(df, numbers)).first(), df.columns, numbers)
+
+
+def kind_measures(df: DataFrame) -> list[Column]:
+    """Facts and a sketch of the distinct values of every number column."""
     numbers = numeric_columns(df)
     sketches = [F.approx_count_distinct(c).alias(f"{c}:values") for c in numbers]
-    facts, row = table_facts(df, numbers, sketches)
+    return [*fact_measures(df, numbers), *sketches]
+
+
+def facts_and_kinds(
+    df: DataFrame, threshold: int = 20, measured: Mapping[str, object] | None = None
+) -> tuple[TableFacts, ColumnKinds]:
+    """Facts and the kind of every column, from one pass over the whole table and one over
+    its narrow columns. ``measured`` holds ``kind_measures`` taken already."""
+    numbers = numeric_columns(df)
+    row = measured or df.agg(*kind_measures(df)).first()
     estimates = {c: row[f"{c}:values"] for c in numbers}
-    return facts, classify_columns(df, threshold, estimates=estimates)
+    kinds = classify_columns(df, threshold, estimates=estimates)
+    return read_facts(row, df.columns, numbers), kinds
 
 
 def nulls_and_kinds(df: DataFrame, threshold: int = 20) -> tuple[list[str], ColumnKinds]:
@@ -305,7 +320,7 @@ def impute(
     if not num_cols and not cat_cols:
         return df
     if facts is None:
-        facts, _ = table_facts(df.select(*dict.fromkeys(num_cols + cat_cols)), num_cols)
+        facts = table_facts(df.select(*dict.fromkeys(num_cols + cat_cols)), num_cols)
     num_cols = [c for c in num_cols if facts.nulls[c]]
     cat_cols = [c for c in cat_cols if facts.nulls[c]]
 

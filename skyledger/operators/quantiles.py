@@ -147,7 +147,7 @@ def extent_measures(columns: Sequence[str]) -> list[Column]:
     return measures
 
 
-def read_extents(row: Row, columns: Sequence[str]) -> dict[str, Extent]:
+def read_extents(row: Mapping[str, object] | Row, columns: Sequence[str]) -> dict[str, Extent]:
     return {c: Extent(row[f"{c}:n"], row[f"{c}:low"], row[f"{c}:high"]) for c in columns}
 
 

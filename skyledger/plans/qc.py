@@ -20,18 +20,18 @@ from skyledger.operators.outliers import clip_columns, mad_bounds, mad_report, o
 from skyledger.operators.quality import (
     classify_columns,
     column_profile,
-    columns_with_nulls,
     copies,
     facts_and_kinds,
     filter_allowed,
     impute,
+    kind_measures,
     null_counts,
     null_profile,
     numeric_columns,
 )
 from skyledger.operators.quantiles import Extent, exact_quantiles
 from skyledger.params import LARGE, MEDIUM
-from skyledger.sources.tables import stage
+from skyledger.sources.tables import stage_measured
 
 UNKNOWN = "Unknown"
 
@@ -104,8 +104,8 @@ def run_qc(
     """Audit, convert, filter, impute, drop, deduplicate, impute again, cap.
 
     The table is staged as Parquet twice: after conversion, so the text is parsed once, with
-    the cells that failed next to it for the error reports, and after deduplication, so its shuffle runs once. Every decision in between is one
-    aggregate over the columns it concerns.
+    the cells that failed next to it for the error reports, and after deduplication, so its shuffle runs once. What the next decisions need is measured
+    while the tables are written.
 
     ``number_ids`` names declared-text columns to treat as numbers, capping included;
     none by default, since capping an identifier destroys it. ``formats`` are the date formats
@@ -119,7 +119,11 @@ def run_qc(
     before = raw.withColumn("_before", failed_cells(raw, kinds, formats))
     after = clean_numeric_columns(before, plan.worded)
     after = after.withColumn("_after", failed_cells(worded, kinds, formats))
-    parsed = stage(convert_columns(after, rest, formats), "typed")
+    parsed, gaps = stage_measured(
+        convert_columns(after, rest, formats),
+        "typed",
+        [F.count_if(F.col(c).isNull()).alias(c) for c in plan.allowed],
+    )
     typed = parsed.drop("_before", "_after")
     reports = {
         "errors_before": error_report(parsed, F.col("_before")),
@@ -129,7 +133,7 @@ def run_qc(
     if profile:
         reports["profile"] = column_profile(typed, exact=exact)
     reports["nulls_before"] = null_profile(typed)
-    unsure = columns_with_nulls(typed.select(*plan.allowed))
+    unsure = [c for c in plan.allowed if gaps[c]]
     chosen = filter_allowed(typed, plan.allowed, unsure, strict)
     filtered = impute(
         chosen.rows, chosen.numerical, chosen.categorical, "median", "constant", UNKNOWN,
@@ -142,7 +146,9 @@ def run_qc(
     dropped = [r["column_name"] for r in empty.collect()]
     kept = filtered.drop(*dropped)
 
-    distinct = stage(copies(kept, "copy_count"), "distinct")
+    distinct, measured = stage_measured(
+        copies(kept, "copy_count"), "distinct", kind_measures(kept)
+    )
     n = F.col("copy_count")
     reports["duplicates"] = distinct.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("total_count"),
@@ -151,7 +157,7 @@ def run_qc(
     unique = distinct.drop("copy_count")
 
     reports["nulls_after"] = null_profile(unique)
-    facts, kinds_now = facts_and_kinds(unique)
+    facts, kinds_now = facts_and_kinds(unique, measured=measured)
     full = impute(
         unique,
         [c for c in kinds_now.numerical if c in facts.gaps],

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,9 +142,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     Cuts the lineage, survives lost executors, and lets each later pass read only
     the columns it needs. The innermost open ``staging`` block owns the table.
     """
+    return stage_measured(df, name)[0]
+
+
+def stage_measured(
+    df: DataFrame, name: str, measures: Sequence[Column] = ()
+) -> tuple[DataFrame, dict[str, object]]:
+    """``stage``, and named aggregates of the rows taken while they are written."""
     spark = df.sparkSession
     path = staging_path(spark, name)
     if _OWNERS:
         _OWNERS[-1].append(path)
-    write_table(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation() if measures else None
+    write_table(df.observe(seen, *measures) if seen else df, path)
+    return spark.read.schema(df.schema).parquet(path), seen.get if seen else {}
