@@ -17,7 +17,7 @@ from skyledger.llm.packing import best_fit_packing
 from skyledger.llm.quality import quality_rules
 from skyledger.llm.simhash import simhash_dedup
 from skyledger.llm.substring import substring_dedup
-from skyledger.sources.tables import stage
+from skyledger.sources.tables import drop_table, staging, staging_path, write_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -64,7 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shipped(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order; what a stage wrote on the way, and its input, go once it is written."""
+    docs, before = shipped(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), name)
+        path = staging_path(spark, name)
+        with staging(spark):
+            write_table(apply(spark, docs, sf_dir), path)
+        if before:
+            drop_table(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

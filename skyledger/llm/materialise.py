@@ -61,6 +61,8 @@ class Encoder:
             "own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}
         )
         self.end = max(table.values()) + 1
+        if self.end > 0xFFFF:
+            raise ValueError("ids of more than 16 bits do not fit the records")
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def ids(self, text: str) -> list[int]:
