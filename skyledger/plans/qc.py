@@ -140,7 +140,7 @@ def run_qc(
         numeric_mode, exact,
     )
 
-    empty = null_counts(filtered).where(
+    empty = null_counts(filtered).where("total_count > 0").where(
         (F.col("null_count") == F.col("total_count")) | (F.col("null_pct") > plan.null_threshold)
     )
     dropped = [r["column_name"] for r in empty.collect()]

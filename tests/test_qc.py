@@ -71,3 +71,10 @@ def test_date_formats_can_be_named(spark, sf):
     cleaned = qc.clean_flights(dated, formats=["M/d/yyyy"]).cleaned
     assert dict(cleaned.dtypes)["FL_DATE"] == "timestamp"
     assert qc.clean_flights(dated).dropped == ["FL_DATE"]
+
+
+def test_an_empty_table_keeps_its_columns(spark, sf):
+    raw = proxy.raw_flights(spark, sf)
+    result = qc.clean_flights(spark.createDataFrame([], raw.schema))
+    assert result.cleaned.columns == raw.columns and result.cleaned.count() == 0
+    assert (result.dropped, result.capped) == ([], [])
