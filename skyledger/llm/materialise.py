@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +44,31 @@ CACHED = 400_000
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-#: A space beside other white space, or at an end; such texts are encoded in one piece.
-CROWDED = re.compile(r" \s|\s |^ | $")
+#: White space other than the space and line feed, in any version of the pattern's engine.
+ODD_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+CROWDED = re.compile(r" \s|\s ")
 
 
-class Encoder:
-    """Ids of whole texts; words seen before are not encoded again.
+def crowded(text: str) -> bool:
+    """Whether a space stands beside other white space or at an end."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+        return True
+    return bool(ODD_SPACE.search(text) and CROWDED.search(text))
+
+
+#: Letters below are letters in every version of Unicode that a pattern may know.
+PLAIN_LETTERS = "\u0530"
+
+
+def little_endian(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class Encoder(dict):
+    """Packed ids of whole texts; maps words seen before, each with a space in front, to theirs.
 
     A lone space always begins a new piece of the split pattern, so words before and after it are
     independent.
@@ -57,28 +78,36 @@ class Encoder:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.plain = tiktoken.Encoding(
+        self.own = tiktoken.Encoding(
             "own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}
         )
         self.end = max(table.values()) + 1
         if self.end > 0xFFFF:
             raise ValueError("ids of more than 16 bits do not fit the records")
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, text: str) -> list[int]:
-        if CROWDED.search(text):
-            return self.plain.encode_ordinary(text)
-        cache, out = self.cache, []
-        if len(cache) > CACHED:
-            cache.clear()
-        words = text.split(" ")
-        out += self.plain.encode_ordinary(words[0])
-        for word in words[1:]:
-            got = cache.get(word)
-            if got is None:
-                got = cache[word] = tuple(self.plain.encode_ordinary(" " + word))
-            out += got
-        return out
+        self.marks = {c: self.whole(c) for c in ".,"}
+
+    def whole(self, text: str) -> bytes:
+        return little_endian(self.own.encode_ordinary(text))
+
+    def __missing__(self, word: str) -> bytes:
+        """Ids of ``word`` after a space; the split pattern is run only where it could matter."""
+        if word.isalpha() and (word.isascii() or max(word) < PLAIN_LETTERS):  # one piece
+            got = little_endian(self.own._encode_single_piece(" " + word))
+        elif word[-1:] in self.marks and word[-2:-1].isalpha() and word[-2] < PLAIN_LETTERS:
+            got = self[word[:-1]] + self.marks[word[-1]]  # the mark is a piece of its own
+        else:
+            got = self.whole(" " + word)
+        self[word] = got
+        return got
+
+    def packed(self, text: str) -> bytes:
+        """Little-endian ids of 16 bits."""
+        if crowded(text):
+            return self.whole(text)
+        if len(self) > CACHED:
+            self.clear()
+        first, *rest = text.split(" ")
+        return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
 
 _encoders: dict[int, Encoder] = {}
@@ -103,6 +132,7 @@ def sequences(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, place = _encoder(held), TaskContext.get().partitionId(), 0
+        end, stride = encoder.end.to_bytes(2, "little"), 2 * length
         for batch, texts in chunks(batches, "text"):
             names: list = []
             seq_no: list[int] = []
@@ -111,15 +141,14 @@ def sequences(
             for name, body in zip(batch.column(0).to_pylist(), texts):
                 if not body:
                     continue
-                ids = encoder.ids(body.decode("utf-8", "replace"))
-                ids.append(encoder.end)
-                count = -(-len(ids) // length)
-                flat = np.full(count * length, encoder.end, "<u2")
-                flat[: len(ids)] = ids
+                ids = encoder.packed(body.decode("utf-8", "replace")) + end
+                count = -(-len(ids) // stride)
+                last = len(ids) - (count - 1) * stride
                 names += [name] * count
                 seq_no += range(count)
-                sizes += [length] * (count - 1) + [len(ids) - (count - 1) * length]
-                bodies += [row.tobytes() for row in flat.reshape(count, length)]
+                sizes += [length] * (count - 1) + [last // 2]
+                ids += end * ((stride - last) // 2)
+                bodies += [ids[at : at + stride] for at in range(0, len(ids), stride)]
             places = range(place, place + len(names))
             place += len(names)
             columns = (names, seq_no, sizes, bodies, [part] * len(names), places)
