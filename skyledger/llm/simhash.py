@@ -195,7 +195,8 @@ def simhash_groups(
     shingle: int = SHINGLE,
     distance: int = DISTANCE,
 ) -> DataFrame:
-    """``__id, __hash, fp, component``: the least id reachable over links, for each row."""
+    """``__id, __hash, fp, root, component`` of each row: ``component`` is the least id reachable
+    over links, which components may share; ``root``, the least fingerprint, tells them apart."""
     table = stage(fingerprint_table(docs, id_col, text, shingle), "fingerprints")
     points = stage(table.groupBy("fp").agg(F.min("__id").alias("low")), "points")
     links = grid_links(points.select("fp"), points.count(), distance)
@@ -204,7 +205,7 @@ def simhash_groups(
         "root", F.coalesce("root", "fp")
     )
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    classes = rooted.join(lowest, "root").select("fp", "component")
+    classes = rooted.join(lowest, "root").select("fp", "root", "component")
     return table.join(classes, "fp")
 
 
@@ -226,11 +227,15 @@ def simhash_dedup(
     shingle: int = SHINGLE,
     distance: int = DISTANCE,
 ) -> DataFrame:
-    """One row of each component: that of the least id, and one of those that repeat it."""
+    """One row of each component: that of the least id, and one of those that repeat it.
+
+    Components stay apart where they share their least id, null included.
+    """
     got = simhash_groups(docs, id_col, text, shingle, distance)
     hashes = got.filter(F.col("__id") == F.col("component"))
-    keep = hashes.groupBy("component").agg(F.min("__hash").alias("__hash"))
-    keep = keep.withColumnRenamed("component", "__id")
+    keep = hashes.groupBy("root").agg(
+        F.min("__id").alias("__id"), F.min("__hash").alias("__hash")
+    )
     keyed = docs.withColumns(
         {
             "__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)),

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -6,7 +7,7 @@ import xxhash
 
 from skyledger.llm import simhash
 from skyledger.llm.components import components
-from tests.llm.conftest import odd_rows
+from tests.llm.conftest import odd_rows, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,3 +104,17 @@ def test_one_of_each_group_stays(odd, nothing):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(ids)
     assert simhash.simhash_digest(nothing).count() == 0
     assert simhash.simhash_dedup(nothing).count() == 0
+
+
+def test_unlinked_texts_that_share_an_id_all_stay(spark):
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, 40, 5000)) for _ in range(9)]
+    label = classes([brute(t) for t in texts])
+    assert label == list(range(9))
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0])]  # only null ids
+    rows += [(5, texts[4]), (5, texts[5]), (6, texts[5]), (7, texts[6]), (7, texts[6])]
+    rows += [(3, texts[7]), (None, texts[7]), (3, texts[8])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in simhash.simhash_dedup(df).collect()]
+    ids = [None] * 4 + [5, 5, 7, 3, 3]
+    assert sorted(kept, key=str) == sorted(zip(ids, texts), key=str)
