@@ -4,13 +4,14 @@ Tokens are lower-cased runs of letters, digits and bytes beyond ASCII. Documents
 meet on seeds, rolling hashes of ``MATCH`` tokens (running Karp-Rabin). For each document and item
 with seeds that could cover enough of the item, the longest match of unmarked tokens is marked
 again and again, so passages in another order still count. The share of an item's tokens inside
-tiles is its coverage; a document is contaminated if any item reaches ``COVERAGE``.
+tiles is its coverage; a document is contaminated if any item reaches ``COVERAGE`` by ``EVIDENCE``
+tokens or more. A shorter item has to be there whole; one of fewer than ``MATCH`` tokens, such as
+a common word, must also make up ``COVERAGE`` of the document. ``short_items`` lists those.
 
 The items are read in blocks of bounded size (``BLOCK_BYTES``): one block is broadcast to a pass over
 all documents, and more blocks mean more passes. Documents are never shuffled.
 
-Items of fewer than ``MATCH`` tokens count only as a whole; null and empty items match nothing.
-Null and empty documents hold nothing. Repeated items and rows each get rows of their own. Further
+Null and empty items match nothing; null and empty documents hold nothing. Repeated items and rows each get rows of their own. Further
 columns pass through; those named like a result are replaced.
 """
 
@@ -29,6 +30,7 @@ from skyledger.llm.words import IS_SPACE, Words, inside_doc, rolled
 
 MATCH = 5
 COVERAGE = 0.5
+EVIDENCE = 8
 BLOCK_BYTES = 32 << 20
 
 SEPARATORS = IS_SPACE.copy()
@@ -70,8 +72,14 @@ class Items:
             at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
             yield n, np.repeat(begin, size), item[at], place[at]
 
-    def tilings(self, texts: list[bytes], least: float) -> list[list[dict]]:
-        """Items covered to ``least`` or more, for each text."""
+    def tilings(
+        self, texts: list[bytes], least: float, evidence: int = 0
+    ) -> list[list[dict]]:
+        """Items covered to ``least`` or more, for each text.
+
+        Of items of ``match`` tokens or more, ``evidence`` tokens count at least, or all; shorter
+        ones count in texts of which they are a share of ``least``.
+        """
         hashes, first = tokens(texts)
         out: list[list[dict]] = [[] for _ in texts]
         if not len(hashes):
@@ -87,11 +95,14 @@ class Items:
             for a, b in zip(edges[:-1], edges[1:]):
                 d, i = int(doc[a]), int(item[a])
                 size = len(self.tokens[i])
-                if _reach(place[a:b], n, size) < least * size:
+                need = max(least * size, min(size, evidence))
+                if size < self.match:
+                    need = max(need, least * int(first[d + 1] - first[d]))
+                if size < need or _reach(place[a:b], n, size) < need:
                     continue
                 tiles = tile(begin[a:b] - first[d], place[a:b], n)
                 matched = sum(t[2] for t in tiles)
-                if matched >= least * size:
+                if matched >= need:
                     out[d].append(
                         {
                             "item_id": self.ids[i],
@@ -177,6 +188,7 @@ def with_tilings(
     least: float = COVERAGE,
     match: int = MATCH,
     block_bytes: int = BLOCK_BYTES,
+    evidence: int = EVIDENCE,
 ) -> DataFrame:
     """``docs`` with ``tilings``: the items each covers to ``least``, in order of their ids."""
     spark, out = docs.sparkSession, docs
@@ -185,7 +197,7 @@ def with_tilings(
         held = spark.sparkContext.broadcast(Items(ids, texts, match))
 
         def compute(_: pa.RecordBatch, bodies: list[bytes], held=held, name=f"__tilings{n}"):
-            return {name: held.value.tilings(bodies, least)}
+            return {name: held.value.tilings(bodies, least, evidence)}
 
         parts.append(f"__tilings{n}")
         out = add_columns(out, text, f"{parts[-1]} {TILING}", compute)
@@ -193,6 +205,18 @@ def with_tilings(
     return out.withColumn("tilings", every).drop(*parts)
 
 
+def short_items(
+    items: DataFrame, id_col: str = "item_id", text: str = "text", match: int = MATCH
+) -> DataFrame:
+    """Id and ``item_tokens`` of the items too short to be evidence inside a longer document."""
+
+    def compute(_: pa.RecordBatch, texts: list[bytes]) -> dict[str, list]:
+        return {"item_tokens": np.diff(tokens(texts)[1])}
+
+    sized = add_columns(items, text, "item_tokens long", compute)
+    return sized.filter(F.col("item_tokens") < match).select(f"`{id_col}`", "item_tokens")
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A row for each document and item that it covers enough of."""
     found = with_tilings(docs, items).filter(F.size("tilings") > 0)

@@ -126,3 +126,45 @@ def test_repeated_passages_cost_little():
     got = items.tilings([(" ".join([item] * 2000)).encode()], 0.5)[0]
     assert got == [{"item_id": 1, "item_tokens": 40, "matched": 40, "tiles": 1, "longest": 40}]
     assert np.array_equal(dc.tokens([b"", b"x"])[1], [0, 0, 1])
+
+
+def test_short_items_leave_clean_documents(spark):
+    rng = random.Random(5)
+    around = lambda t: " ".join([*words(rng, 40), t, *words(rng, 40)])
+    items = [
+        (1, "Paris"),
+        (2, "TRUE"),
+        (3, "What is the capital of France?"),
+        (4, "in the middle of the road they met someone"),
+        (5, "one of the most"),
+        (6, None),
+        (7, ""),
+        (8, "a b c d e f g h i j k l m n o p"),
+    ]
+    clean = [
+        around("we saw Paris in spring and it is true"),
+        around("So what is the capital of Spain?"),
+        around("a fire in the middle of the night"),
+        around("one of the most important"),
+        around("a b c d e f g"),
+        "Paris is one of the most beautiful cities and that is true",
+    ]
+    dirty = [
+        (around("what is the capital of france"), 3),
+        (around("In the middle of the road, they met"), 4),
+        (around(items[3][1]), 4),
+        (around("a b c d e f g h"), 8),
+        ("Paris!", 1),
+        ("One of the most", 5),
+    ]
+    docs = [(i, t) for i, t in enumerate(clean)]
+    docs += [(100 + i, t) for i, (t, _) in enumerate(dirty)]
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in dc.contamination(a, b).collect())
+    want = [(100 + i, item) for i, (_, item) in enumerate(dirty)]
+    assert got == want
+    left = [r.doc_id for r in dc.decontaminate(a, b).collect()]
+    assert sorted(left) == list(range(len(clean)))
+    short = {r.item_id: r.item_tokens for r in dc.short_items(b).collect()}
+    assert short == {1: 1, 2: 1, 5: 4, 6: 0, 7: 0}
