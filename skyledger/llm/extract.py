@@ -6,6 +6,11 @@ it boilerplate, which become capacities to source and sink; blocks next to each
 of one parent are joined by smoothness edges, weaker the further apart they are in the DOM. The
 minimum cut gives the labelling of least total cost, and the content blocks are the text.
 
+A class or id with a bad name costs a block all but everything, so names that say nothing of an
+element's own text are passed over: those after a word like ``has`` or ``tag``, those of an article
+that don't make it an aside, and those on or around the element that holds the page's main text
+(``shelter``).
+
 Blocks whose own costs outweigh all their edges are settled first, which no minimum cut contradicts;
 augmenting paths run on the rest. Capacities are integers, so the cut is exact.
 
@@ -78,6 +83,16 @@ BAD_NAMES = frozenset(
     " recommended related replies reply respond search share sharing shoutbox sidebar signup skip"
     " social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: What follows these within a class or id names a layout or a topic.
+MODIFIERS = frozenset("has no with without tag category".split())
+COMMENT_NAMES = frozenset(
+    "comment comments commentlist discuss disqus replies reply respond".split()
+)
+#: The bad names that an article or main element itself may bear in earnest.
+ASIDE_NAMES = COMMENT_NAMES | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense promo promoted promotion"
+    " recommended related sponsor sponsored widget widgets".split()
+)
 GOOD_NAMES = frozenset("article body content entry main post story text".split())
 BAD_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar"
@@ -101,10 +116,15 @@ NEIGHBOUR = 0.6
 SIBLING = 0.4
 FALL = 0.5
 SCALE = 1000
+#: Share of a page's words that makes an element more than an aside.
+BULK = 0.8
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "odds", "silent", "content", "link", "title")
+    __slots__ = (
+        "tag", "parent", "depth", "odds", "silent", "content", "link", "title",
+        "core", "bad", "junk", "comment", "aside", "words", "plain", "relief",
+    )
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent = tag, parent
@@ -114,13 +134,21 @@ class Element:
         self.content = tag in CONTENT or bool(parent and parent.content)
         self.link = tag == "a" or bool(parent and parent.link)
         self.title = bool(parent and parent.title)  # in the header of an article
+        self.core = tag if tag in CONTENT else ""
+        self.bad = False  # by its own name
+        self.junk = bool(parent and parent.junk)  # by its tag or role, or one around it
+        self.comment = bool(parent and parent.comment)
+        self.aside = bool(parent and parent.aside)  # in comments, cards, advertisements
+        self.words = self.plain = self.relief = 0.0
         if tag in CONTENT:
             if not (parent and parent.content):
                 odds += IN_CONTENT
         elif tag in BOILERPLATE:
             odds += IN_BOILERPLATE
+            self.junk = True
         elif tag == "header":
             odds += IN_HEADER
+            self.junk = True
             self.title = self.content
         if attributes and tag not in ("html", "body"):
             odds += self.named(attributes)
@@ -139,19 +167,38 @@ class Element:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value, name = a or b or c, name.lower()
             if name in ("class", "id"):
-                names += NAME.findall(CAMEL.sub(" ", value).lower())
+                names += _names(value)
             elif name == "role":
                 if value.lower() in BAD_ROLES:
                     odds += IN_BOILERPLATE
+                    self.junk = True
                 elif value.lower() in ("main", "article"):
                     odds += IN_CONTENT
-        if not BAD_NAMES.isdisjoint(names):
+                    self.core = value.lower()
+        if not (ASIDE_NAMES if self.core else BAD_NAMES).isdisjoint(names):
             odds += IN_BAD_NAME
+            self.bad = True
+            self.comment = self.comment or not COMMENT_NAMES.isdisjoint(names)
+            self.aside = self.aside or not ASIDE_NAMES.isdisjoint(names)
         elif not GOOD_NAMES.isdisjoint(names):
             odds += IN_GOOD_NAME
         return odds
 
 
+def _names(value: str) -> list[str]:
+    """Words of a class or id, without those behind a modifier."""
+    names = NAME.findall(CAMEL.sub(" ", value).lower())
+    if MODIFIERS.isdisjoint(names):
+        return names
+    out = []
+    for token in value.split():
+        for name in NAME.findall(CAMEL.sub(" ", token).lower()):
+            if name in MODIFIERS:
+                break
+            out.append(name)
+    return out
+
+
 class Block:
     __slots__ = ("parent", "text", "odds")
 
@@ -165,12 +212,62 @@ class Block:
         elif parent.tag in HEADINGS:
             odds += HEADING + (TITLE if parent.title else 0.0)
         self.odds = odds
+        parent.words += words * (1 - linked / len(text))
+
+
+def shelter(made: list[Element], found: list[Block]) -> None:
+    """Takes the cost of bad names off the page's main text and what is around it.
+
+    ``made`` holds the elements in order. The main text is that of the ``main`` element of most
+    words outside links; of the largest article, if it holds more than all blocks free of bad names
+    and tags; and of any element that holds ``BULK`` of the page's words, or of those outside asides
+    if that is half of all. Articles in asides, and whatever lies in comments, are never it.
+    """
+    if not any(e.bad for e in made):
+        return
+    own = [e.words for e in made]
+    for e, words in zip(reversed(made), reversed(own)):
+        if not (e.aside or e.junk):
+            e.plain += words
+        if e.parent is not None:
+            e.parent.words += e.words
+            e.parent.plain += e.plain
+    sheltered: set[Element] = set()
+
+    def keep(found: list[Element]) -> None:
+        e = max(found, key=lambda e: e.words, default=None)
+        while e is not None:
+            if e.bad:
+                sheltered.add(e)
+            e = e.parent
+
+    cores = [e for e in made if e.core and not e.junk]
+    keep([e for e in cores if e.core == "main" and not e.comment])
+    total, plain = made[0].words, made[0].plain
+    for e in made:
+        if e.bad and e.words and not e.junk and not (e.parent if e.core else e).comment:
+            if e.words >= BULK * total or 2 * e.plain >= total and e.plain >= BULK * plain:
+                sheltered.add(e)
+    spoilt: set[Element] = set()
+    for e in made:
+        if e.junk or e.bad and e not in sheltered or e.parent in spoilt:
+            spoilt.add(e)
+    free = sum(words for e, words in zip(made, own) if e not in spoilt)
+    articles = [e for e in cores if e.core == "article" and not e.aside]
+    keep([e for e in articles if e in spoilt and e.words > free])
+    if not sheltered:
+        return
+    for e in made:
+        e.relief = (e.parent.relief if e.parent else 0.0) - IN_BAD_NAME * (e in sheltered)
+    for block in found:
+        block.odds += block.parent.relief
 
 
 def blocks(html: str) -> list[Block]:
     """Blocks of a page in order; text of scripts, styles and hidden elements is left out."""
     out: list[Block] = []
     here = root = Element("#root", "", None)
+    made = [root]
     pieces: list[str] = []
     linked = 0
 
@@ -254,7 +351,9 @@ def blocks(html: str) -> list[Block]:
         elif tag == "a":
             close({"a"})
         here = Element(tag, attributes, here)
+        made.append(here)
     flush()
+    shelter(made, out)
     return out
 
 

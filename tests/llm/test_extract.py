@@ -111,3 +111,41 @@ def test_odd_tables(spark):
     found = {(r.page_id, r.url, r.text, r.n_chars) for r in got.collect()}
     assert found == {(1, "u", TEXT, len(TEXT)), (2, None, "", 0), (3, "u", "", 0), (None, "v", TEXT, len(TEXT))}
     assert got.count() == 5 and extract_text(df.filter("false")).count() == 0
+
+
+STORY = " ".join(f"Sentence {i} of a story that has no link in it at all." for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<div class='site has-sidebar'><article><p>{STORY}</p></article></div>",
+        f"<div class='site no-sidebar'><div><p>{STORY}</p></div></div>",
+        f"<div class='layout sidebar-left'><article><p>{STORY}</p></article></div>",
+        f"<div class='layout sidebar-left'><div><p>{STORY}</p></div></div>",
+        f"<div id='page-nav-menu'><div class='widget'><main><p>{STORY}</p></main></div></div>",
+        f"<article class='post tag-privacy category-search'><p>{STORY}</p></article>",
+        f"<article class='post privacy search'><p>{STORY}</p></article>",
+        f"<article class='post comments-closed'><p>{STORY}</p></article>",
+        f"<main class='sidebar-right'><article class='social'><p>{STORY}</p></article></main>",
+    ],
+)
+def test_names_around_the_main_text_do_no_harm(html):
+    junk = (
+        f"<section class=comments><article class=comment><p>{LONG}</p></article></section>"
+        f"<div class='related-posts'><article class=post><p>{LONG}</p></article></div>"
+        "<div class='sidebar'><a href=/>Home</a></div>"
+    )
+    assert main_text(f"<body>{html}</body>") == STORY
+    if "comments-closed" not in html:
+        assert main_text(f"<body>{html}{junk}</body>") == STORY
+        inside = html.replace("</p>", "</p>" + junk)
+        assert main_text(f"<body>{inside}</body>") == STORY
+
+
+def test_asides_that_hold_articles_go():
+    card = f"<div class='related'><article><p>{LONG}</p></article></div>"
+    thread = f"<ol class=comments><li><article><p>{LONG * 9}</p></article></li></ol>"
+    story = f"<div id=page><p>{STORY}</p></div>"
+    assert main_text(f"<body>{story}{card}{thread}</body>") == STORY
+    assert main_text(f"<body><main><p>{STORY}</p>{card}{thread}</main></body>") == STORY
