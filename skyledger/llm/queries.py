@@ -16,9 +16,12 @@ from skyledger.llm import (
     quality,
     shards,
     simhash,
+    spelling,
     substring,
     suffixes,
     tokens,
+    tries,
+    warc,
 )
 from skyledger.llm.frames import shipped
 from skyledger.llm.oracle import ORACLE  # noqa: F401  next to the queries it checks
@@ -83,6 +86,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(docs, noise=97)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archived(spark, table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -94,4 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_main_text": op8_main_text,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_warc": op13_warc,
 }

@@ -22,7 +22,7 @@ def test_registered():
 
     names = set(contract.queries())
     assert {*QUERIES, "pipeline"} <= names and set(contract.oracle_sql()) <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_nothing_else_imports_the_package():
