@@ -436,9 +436,9 @@ SELECT OP_CARRIER, ORIGIN, coalesce(TAIL_NUM, (SELECT TAIL_NUM FROM typedf WHERE
   coalesce(DISTANCE, (SELECT quantile_cont(DISTANCE, 0.5) FROM typedf)) AS DISTANCE FROM typedf""")
 sql("q08_impute_mean_constant", "typedf", """
 SELECT OP_CARRIER, ORIGIN, coalesce(TAIL_NUM, 'Unknown') AS TAIL_NUM,
-  coalesce(DEP_DELAY, (SELECT avg(DEP_DELAY) FROM typedf)) AS DEP_DELAY,
+  coalesce(DEP_DELAY, avg(DEP_DELAY) OVER ()) AS DEP_DELAY,
   coalesce(OCCUPANCY_RATE::VARCHAR, 'Unknown') AS OCCUPANCY_RATE,
-  coalesce(DISTANCE, (SELECT avg(DISTANCE) FROM typedf)) AS DISTANCE FROM typedf""")
+  coalesce(DISTANCE, avg(DISTANCE) OVER ()) AS DISTANCE FROM typedf""")
 sql("q09_impute_predicted", "", """
 SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ROW_KEY,
   CASE WHEN l_partkey % 150 <> 149 THEN 'C' || (l_partkey % 150) END AS CODE, l_linestatus AS FLAG,

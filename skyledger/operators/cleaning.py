@@ -75,6 +75,63 @@ def failed_cells(
     return F.array_compact(F.array(*cells))
 
 
+FAILED = "array<struct<column_name:string,raw:string,is_text:boolean>>"
+
+
+def all_failed(*columns: str) -> Column:
+    """The failed cells of several columns of ``convert_audited`` as one array."""
+    return F.concat(*[F.coalesce(F.col(c), F.array().cast(FAILED)) for c in columns])
+
+
+def convert_audited(
+    df: DataFrame,
+    kinds: Mapping[str, str],
+    worded: Sequence[str] = (),
+    formats: Sequence[str] = ISO_FORMATS,
+) -> DataFrame:
+    """Columns of ``kinds`` converted, those of ``worded`` by ``clean_numeric``, and the cells
+    that failed: ``_failed`` in the other columns, ``_before`` in ``worded`` ones as plain
+    numbers, and ``_after`` in them as number words.
+
+    Every cell is parsed once in each way; failures are told from the parsed values.
+    """
+    parsed = df.select(
+        *[F.col(c).alias(f"_raw_{c}") for c in kinds],
+        *[_converted(df, c, kind, formats).alias(f"_plain_{c}") for c, kind in kinds.items()],
+        *[
+            (clean_numeric(F.col(c)) if is_text(df, c) else F.col(c).cast("double")).alias(
+                f"_words_{c}"
+            )
+            for c in worded
+        ],
+    )
+
+    def failed(columns: Sequence[str], way: str, raw: bool) -> Column:
+        """The failed cells; null in a row without any, for which nothing is put together."""
+        cells, missing = [], F.lit(False)
+        for c in columns:
+            text = F.col(f"_raw_{c}").cast("string") if raw else F.lit(None).cast("string")
+            cell = F.struct(
+                F.lit(c).alias("column_name"),
+                text.alias("raw"),
+                F.lit(raw and is_text(df, c)).alias("is_text"),
+            )
+            gone = F.col(f"_{way}_{c}").isNull()
+            missing = missing | gone
+            cells.append(F.when(gone, cell))
+        if not cells:
+            return F.lit(None).cast(FAILED)
+        return F.when(missing, F.array_compact(F.array(*cells)))
+
+    rest = [c for c in kinds if c not in worded]
+    return parsed.select(
+        *[F.col(f"_words_{c}" if c in worded else f"_plain_{c}").alias(c) for c in kinds],
+        failed(rest, "plain", True).alias("_failed"),
+        failed(worded, "plain", True).alias("_before"),
+        failed(worded, "words", False).alias("_after"),
+    )
+
+
 def error_report(df: DataFrame, cells: Column) -> DataFrame:
     """Distinct failures per column with their number of rows, whole and shortened detail.
 

@@ -127,11 +127,7 @@ def mad_bounds(
     )
     ends = None
     if extents is not None:
-        ends = {
-            c: Extent(e.count, 0.0, max(e.high - medians[c], medians[c] - e.low))
-            for c, e in extents.items()
-            if c in known
-        }
+        ends = {c: e.distances(medians[c]) for c, e in extents.items() if c in known}
     mads = exact_medians(distances, known, exact=exact, cache=cache, extents=ends)
     return {c: MadBounds(medians[c], mads[c], k) for c in known}
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.sources.tables import stage
+from skyledger.sources.tables import owned_path, stage
 
 # Texts that mark a missing category, and the fill for missing features.
 MISSING_TEXTS = ("nan", "None", "NaN")
@@ -67,6 +68,23 @@ def _by_class(cases: DataFrame, columns: Sequence[str]) -> DataFrame:
     return top.select("feature", "value", F.coalesce("key", F.lit("")).alias("key"))
 
 
+def digits(code: Column, width: int, base: int) -> list[Column]:
+    """A code below ``width`` as one number if ``base`` allows, else as digits of equal size.
+
+    Digits are the fewest that stay below ``base`` each, the highest first: a threshold on the
+    first sets blocks of neighbouring codes apart, and the next ones part a block, so trees can
+    cut between any two codes although no digit has more than ``base`` values.
+    """
+    levels = 1
+    while base**levels < width:
+        levels += 1
+    size = width if levels == 1 else math.ceil(width ** (1 / levels) - 1e-9)
+    size += size**levels < width
+    return [
+        F.floor(code / float(size**i)).cast("double") % float(size) for i in reversed(range(levels))
+    ]
+
+
 def impute_predicted(
     df: DataFrame,
     target: str,
@@ -74,7 +92,7 @@ def impute_predicted(
     num_trees: int = 100,
     max_depth: int = 30,
     seed: int = 42,
-    max_width: int = 10_000,
+    max_width: int = 1_000,
     max_classes: int = 1_000,
     max_cases: int | None = None,
 ) -> DataFrame:
@@ -83,8 +101,10 @@ def impute_predicted(
     Features are label-encoded and enter as plain numbers, each value told apart. Values are
     numbered by their most frequent class, then alphabetically: purely alphabetical numbers may
     need trees as deep as a feature is wide, and Spark's are 30 deep at most. A feature of more
-    than ``max_width`` distinct values or a target of more than ``max_classes`` classes is
-    refused, never merged, since both set the size of the forest's histograms. Trees grow until their leaves are pure or ``max_depth`` deep.
+    than ``max_width`` distinct values enters as the digits of its number, no value merged with
+    another, since the widest number sets the size of the forest's histograms. A target of more
+    than ``max_classes`` classes is refused for the same reason. Trees grow until their leaves
+    are pure or ``max_depth`` deep.
 
     The forest learns from distinct combinations of features and class, ``COPIES`` at most of
     each with the weight of all its rows, so its input grows with the combinations and not with
@@ -110,10 +130,10 @@ def impute_predicted(
     cases = as_text(df).groupBy(*text, label).agg(F.count("*").alias("_rows"))
     cases = stage(cases, "cases")
     dictionary = stage(ordered_codes(_by_class(cases, text)), "dictionary")
-    widest = dictionary.groupBy("feature").count().orderBy(F.desc("count"), "feature").first()
-    if widest["count"] > max_width:
-        name = features[text.index(widest["feature"])]
-        raise ValueError(f"{name!r} has {widest['count']} distinct values, over {max_width}")
+    counted = dictionary.groupBy("feature").count().collect()
+    widths = {r["feature"]: r["count"] for r in counted}
+    numbers = [x for t, c in zip(text, codes) for x in digits(F.col(c), widths[t], max_width)]
+    bins = max(min(w, max_width) for w in widths.values()) + 1
     classes = cases.agg(F.count_distinct("_label")).first()[0]
     if classes > max_classes:
         raise ValueError(f"{target!r} has {classes} classes, over {max_classes}")
@@ -122,7 +142,9 @@ def impute_predicted(
         for t, c in zip(text, codes):
             entries = dictionary.where(F.col("feature") == t)
             rows = rows.join(entries.select(F.col("value").alias(t), F.col("code").alias(c)), t)
-        return VectorAssembler(inputCols=codes, outputCol="_features").transform(rows)
+        parts = [f"_digit_{i}" for i in range(len(numbers))]
+        rows = rows.withColumns(dict(zip(parts, numbers)))
+        return VectorAssembler(inputCols=parts, outputCol="_features").transform(rows)
 
     copies = F.least("_rows", F.lit(COPIES))
     train = (
@@ -139,8 +161,14 @@ def impute_predicted(
     )
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="_y", weightCol="_weight", predictionCol="_guess",
-        numTrees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max(32, widest["count"] + 1),
+        numTrees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max(32, bins),
     ).fit(labels.transform(train))
+    # A model of two classes keeps the summary of its training, and with it the session, which
+    # cannot be sent to the executors once the session has observed a query. A model that was
+    # read has none.
+    path = owned_path(df.sparkSession, "forest")
+    forest.write().overwrite().save(path)
+    forest = RandomForestClassificationModel.load(path)
     back = IndexToString(inputCol="_guess", outputCol="_value", labels=labels.labels)
     unknown = encode(cases.where("_label is null").select(*text))
     guesses = stage(back.transform(forest.transform(unknown)).select(*text, "_value"), "guesses")

@@ -21,6 +21,7 @@ from skyledger.operators.quantiles import (
     exact_quantiles,
     extent_measures,
     read_extents,
+    some_rows,
 )
 
 
@@ -151,7 +152,7 @@ def fact_measures(df: DataFrame, numbers: Sequence[str]) -> list[Column]:
         F.count(F.lit(1)).alias("*:rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"{c}:gaps") for c in df.columns],
         *[F.avg(c).alias(f"{c}:mean") for c in numbers],
-        *extent_measures(numbers),
+        *extent_measures(numbers, some_rows(df)),
     ]
 
 
@@ -292,38 +293,24 @@ def _most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str | Non
     return {r["column_name"]: r["value"] for r in top.collect()}
 
 
-def impute(
+def fill_values(
     df: DataFrame,
     num_cols: Sequence[str] = (),
     cat_cols: Sequence[str] = (),
     num_strategy: str = "median",
     cat_strategy: str = "mode",
     constant: str | None = None,
-    numeric_mode: str = "text",
     exact: bool = True,
     facts: TableFacts | None = None,
-) -> DataFrame:
-    """Nulls replaced by median or mean, by mode, or by a constant; other columns stay.
-
-    A number column among ``cat_cols`` filled with a text constant becomes text
-    (``numeric_mode="text"``) or keeps its type and its nulls (``"keep"``). A column that
-    holds nothing but nulls has no median, mean or mode and keeps them.
-
-    One pass finds the columns with nulls, the means and the ends of the numbers; ``facts``
-    spares it.
-    """
-    if cat_strategy not in ("mode", "constant"):
-        raise ValueError(f"cat_strategy must be 'mode' or 'constant', got {cat_strategy!r}")
-    if numeric_mode not in ("text", "keep"):
-        raise ValueError(f"numeric_mode must be 'text' or 'keep', got {numeric_mode!r}")
+) -> dict[str, object]:
+    """What ``impute`` puts into the columns that hold nulls."""
     num_cols, cat_cols = list(num_cols), list(cat_cols)
     if not num_cols and not cat_cols:
-        return df
+        return {}
     if facts is None:
         facts = table_facts(df.select(*dict.fromkeys(num_cols + cat_cols)), num_cols)
     num_cols = [c for c in num_cols if facts.nulls[c]]
     cat_cols = [c for c in cat_cols if facts.nulls[c]]
-
     fills: dict[str, object] = {}
     if num_strategy == "median":
         ends = {c: facts.extents[c] for c in num_cols}
@@ -334,7 +321,18 @@ def impute(
         fills |= _most_frequent(df, cat_cols)
     else:
         fills |= {c: constant for c in cat_cols}
+    return fills
+
 
+def fill(
+    df: DataFrame,
+    fills: Mapping[str, object],
+    num_cols: Sequence[str],
+    cat_cols: Sequence[str],
+    cat_strategy: str = "mode",
+    numeric_mode: str = "text",
+) -> DataFrame:
+    """Nulls replaced by ``fills``; a fill of None leaves its column alone."""
     numbers = set(numeric_columns(df))
     filled: dict[str, Column] = {}
     for c, value in fills.items():
@@ -349,6 +347,36 @@ def impute(
     return df.withColumns(filled) if filled else df
 
 
+def impute(
+    df: DataFrame,
+    num_cols: Sequence[str] = (),
+    cat_cols: Sequence[str] = (),
+    num_strategy: str = "median",
+    cat_strategy: str = "mode",
+    constant: str | None = None,
+    numeric_mode: str = "text",
+    exact: bool = True,
+    facts: TableFacts | None = None,
+) -> DataFrame:
+    """Nulls replaced by median or mean, by mode, or by a constant; other columns stay.
+
+    A number column among ``cat_cols`` filled with a text constant becomes text
+    (``numeric_mode="text"``) or keeps its type and its nulls (``"keep"``). A column that
+    holds nothing but nulls has no median, mean or mode and keeps them.
+
+    One pass finds the columns with nulls, the means and the ends of the numbers; ``facts``
+    spares it.
+    """
+    if cat_strategy not in ("mode", "constant"):
+        raise ValueError(f"cat_strategy must be 'mode' or 'constant', got {cat_strategy!r}")
+    if numeric_mode not in ("text", "keep"):
+        raise ValueError(f"numeric_mode must be 'text' or 'keep', got {numeric_mode!r}")
+    fills = fill_values(
+        df, num_cols, cat_cols, num_strategy, cat_strategy, constant, exact, facts
+    )
+    return fill(df, fills, num_cols, cat_cols, cat_strategy, numeric_mode)
+
+
 # --- filter -----------------------------------------------------------------------
 
 

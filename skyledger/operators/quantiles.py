@@ -1,19 +1,29 @@
 """Exact quantiles of whole columns in bounded memory.
 
 The built-in exact percentile keeps every distinct value of a column in one
-aggregation buffer. Here the wanted ranks are narrowed down instead. A sketch brackets
-each rank of a long column first, so that the number of passes does not depend on how
-the values are spread. A pass then counts the values below, inside and above the bracket,
-those inside into equal-width bins or, once few rows are left, value by value (combined
-on the map side, so a hot value costs nothing), and the cell that holds the rank becomes
-the next interval: a sketch that missed costs a pass, never the answer. Only one row per
-wanted rank ever reaches the driver, and no task sees more than about ``bins`` or
+aggregation buffer. Here the wanted ranks are narrowed down instead. The pass that finds
+the ends of a column also takes an equal-depth summary of it: ``STEPS`` points between
+which about equally many values lie, from a sketch of one row in ``SAMPLE``. It brackets
+each rank, so that the number of passes does not depend on how the values are spread, and
+it is planned with as follows:
+
+* a column of at most ``finish_rows`` values is counted value by value;
+* in a longer one, a rank is looked for between the points around it, value by value if
+  they are one point or few rows lie there, in equal-width bins else;
+* without a summary (ends that someone else found) the whole column goes into bins. Only
+  if the bin of a rank still holds more than ``finish_rows`` rows is that column sketched.
+
+A pass counts the values below, inside and above the bracket, those inside into cells
+(combined on the map side, so a hot value costs nothing), and the cell that holds the rank
+becomes the next interval: a summary that missed costs a pass, never the answer. Only one
+row per wanted rank ever reaches the driver, and no task sees more than about ``bins`` or
 ``finish_rows`` groups of one interval.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -23,6 +33,10 @@ from pyspark.sql import functions as F
 
 BINS = 4096
 FINISH_ROWS = 250_000
+#: Cells of the equal-depth summary, and one in how many rows it is taken from.
+STEPS = 64
+SAMPLE = 16
+ACCURACY = 1_000
 
 
 @dataclass
@@ -37,7 +51,7 @@ class _Rank:
 
     @property
     def interval(self) -> tuple:
-        return self.column, self.low, self.high, self.below, self.inside, self.bracket
+        return self.column, self.low, self.high, self.below, self.inside
 
     @property
     def settled(self) -> bool:
@@ -64,23 +78,35 @@ def _bin(value: Column, low: float, high: float, bins: int) -> Column:
     return last.otherwise(F.least(F.floor(share * bins), F.lit(bins - 1)))
 
 
-def _cell(i: int, interval: tuple, bins: int, finish_rows: int) -> Column:
-    """Where a value of the interval is counted: below, inside (by bin or value) or above."""
-    column, low, high, _, inside, bracket = interval
-    value, none = F.col(column), F.lit(None).cast("double")
-    start, end, held = bracket or (low, high, inside)
-    by_value = held <= finish_rows
-    bin_ = F.lit(0) if by_value else _bin(value, start, end, bins)
-    point = value if by_value else none
-    if bracket:
-        within = value.between(start, end)
-        bin_ = F.when(value < start, -1).when(value > end, bins).otherwise(bin_)
-        point = F.when(within, point).otherwise(none)
+def _stretches(ranks: list[_Rank]) -> list[tuple[float, float, int]]:
+    """The brackets of an interval's ranks in order, those that overlap as one."""
+    out: list[tuple[float, float, int]] = []
+    for start, end, held in sorted({r.bracket or (r.low, r.high, r.inside) for r in ranks}):
+        if out and start <= out[-1][1]:
+            first, last, so_far = out.pop()
+            start, end, held = first, max(last, end), so_far + held
+        out.append((start, end, held))
+    return out
+
+
+def _cell(i: int, ranks: list[_Rank], bins: int, finish_rows: int) -> Column:
+    """Where a value of the ranks' interval is counted: in which stretch, by bin or by value, or
+    between which two. Cells are in the order of their values."""
+    value, none = F.col(ranks[0].column), F.lit(None).cast("double")
+    stretches = _stretches(ranks)
+    after = 2 * len(stretches) * bins
+    cell, point = F.lit(after), none
+    for n, (start, end, held) in reversed(list(enumerate(stretches))):
+        by_value = held * len(stretches) <= finish_rows or start == end
+        inside, before = value <= end, value < start
+        bin_ = F.lit(0) if by_value else _bin(value, start, end, bins)
+        cell = F.when(before, 2 * n * bins).when(inside, bin_ + (2 * n + 1) * bins).otherwise(cell)
+        point = F.when(before, none).when(inside, value if by_value else none).otherwise(point)
     return F.when(
-        value.between(low, high),
+        value.between(ranks[0].low, ranks[0].high),
         F.struct(
             F.lit(i).alias("interval"),
-            bin_.cast("int").alias("bin"),
+            cell.cast("long").alias("bin"),
             point.alias("point"),
             value.alias("value"),
         ),
@@ -88,13 +114,19 @@ def _cell(i: int, interval: tuple, bins: int, finish_rows: int) -> Column:
 
 
 def _advance(values: DataFrame, ranks: list[_Rank], bins: int, finish_rows: int) -> None:
-    """One pass over ``values``: shrink the interval of every unsettled rank."""
+    """One pass over ``values``: shrink the interval of every unsettled rank.
+
+    A value is counted once for its column, however many ranks are looked for there.
+    """
     open_ranks = [r for r in ranks if not r.settled]
-    intervals = list(dict.fromkeys(r.interval for r in open_ranks))
+    intervals: dict[tuple, list[_Rank]] = {}
+    for r in open_ranks:
+        intervals.setdefault(r.interval, []).append(r)
     number = {interval: i for i, interval in enumerate(intervals)}
-    cells = [_cell(i, interval, bins, finish_rows) for i, interval in enumerate(intervals)]
+    cells = [_cell(i, held, bins, finish_rows) for i, held in enumerate(intervals.values())]
     counted = (
-        values.select(F.inline(F.array_compact(F.array(*cells))))
+        values.select(F.inline(F.array(*cells)))
+        .where("interval is not null")
         .groupBy("interval", "bin", "point")
         .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     )
@@ -113,42 +145,106 @@ def _advance(values: DataFrame, ranks: list[_Rank], bins: int, finish_rows: int)
 
 
 def _bracketed(values: DataFrame, ranks: list[_Rank], accuracy: int) -> None:
-    """Brackets for all ranks from one pass of a sketch, four of its errors wide."""
+    """Brackets for all ranks from one pass of a sketch, four of its errors wide.
+
+    Ranks that passes have narrowed down are looked for among the values left to them.
+    """
     slack = 2 / accuracy
-    share = {id(r): r.rank / max(r.inside - 1, 1) for r in ranks}
-    asked: dict[str, list[float]] = {}
+    asked: dict[tuple, list[float]] = {}
     for r in ranks:
-        p = share[id(r)]
-        asked.setdefault(r.column, []).extend((max(0.0, p - slack), min(1.0, p + slack)))
-    row = values.agg(
-        *[F.percentile_approx(c, p, accuracy).alias(c) for c, p in asked.items()]
-    ).first()
-    ends = {c: iter(row[c]) for c in asked}
+        p = (r.rank - r.below) / max(r.inside - 1, 1)
+        asked.setdefault((r.column, r.low, r.high), []).extend(
+            (max(0.0, p - slack), min(1.0, p + slack))
+        )
+    sketches = [
+        F.percentile_approx(F.when(F.col(c).between(low, high), F.col(c)), p, accuracy).alias(str(i))
+        for i, ((c, low, high), p) in enumerate(asked.items())
+    ]
+    row = values.agg(*sketches).first()
+    ends = {place: iter(row[i]) for i, place in enumerate(asked)}
     for r in ranks:
-        start, end = next(ends[r.column]), next(ends[r.column])
-        r.bracket = start, end, math.ceil(6 * r.inside / accuracy)
+        place = ends[r.column, r.low, r.high]
+        r.bracket = next(place), next(place), math.ceil(6 * r.inside / accuracy)
 
 
 @dataclass(frozen=True)
 class Extent:
-    """Known values of a column and its ends."""
+    """Known values of a column, its ends, and points of equal depth between them."""
 
     count: int
     low: float | None
     high: float | None
-
-
-def extent_measures(columns: Sequence[str]) -> list[Column]:
-    """Aggregates that ``read_extents`` picks up from the result row."""
+    depth: tuple[float, ...] | None = None
+
+    def bracket(self, rank: int) -> tuple[float, float, int] | None:
+        """Where a rank probably lies, and how many rows that may hold: a step on either side."""
+        if not self.depth or len(self.depth) < 4:
+            return None
+        steps = len(self.depth) - 1
+        at = rank / max(self.count - 1, 1) * steps
+        first, last = max(0, math.floor(at) - 1), min(steps, math.ceil(at) + 1)
+        start = self.low if first == 0 else self.depth[first]
+        end = self.high if last == steps else self.depth[last]
+        return start, end, math.ceil(self.count * (last - first + 1) / steps)
+
+    def filled(self, value: float | None, times: int) -> Extent:
+        """The extent once ``times`` more rows hold ``value``, which lies between the ends."""
+        if not times or value is None or self.low is None:
+            return self
+        count = self.count + times
+        if not self.depth:
+            return Extent(count, self.low, self.high)
+        steps = len(self.depth) - 1
+        at = bisect_left(self.depth, value)
+        size, extra = self.count / steps, times
+        depth = []
+        for i in range(steps + 1):  # rank i / steps of the values and the fills between them
+            place = i * count / steps
+            if place <= at * size:
+                depth.append(self.depth[min(round(place / size), steps)])
+            elif place <= at * size + extra:
+                depth.append(value)
+            else:
+                depth.append(self.depth[min(round((place - extra) / size), steps)])
+        return Extent(count, self.low, self.high, tuple(depth))
+
+    def distances(self, center: float) -> Extent:
+        """Of the distances from ``center``: the farther end bounds them."""
+        far = max(self.high - center, center - self.low)
+        depth = tuple(sorted(abs(x - center) for x in self.depth)) if self.depth else None
+        return Extent(self.count, 0.0, far, depth)
+
+
+def extent_measures(columns: Sequence[str], chosen: Column) -> list[Column]:
+    """Aggregates that ``read_extents`` picks up from the result row.
+
+    ``chosen`` tells the rows, one in ``SAMPLE``, that the summaries are taken from.
+    """
     measures = []
+    points = [i / STEPS for i in range(STEPS + 1)]
     for c in columns:
         x = _number(c)
-        measures += [F.count(x).alias(f"{c}:n"), F.min(x).alias(f"{c}:low"), F.max(x).alias(f"{c}:high")]
+        measures += [
+            F.count(x).alias(f"{c}:n"),
+            F.min(x).alias(f"{c}:low"),
+            F.max(x).alias(f"{c}:high"),
+            F.percentile_approx(F.when(chosen, x), points, ACCURACY).alias(f"{c}:depth"),
+        ]
     return measures
 
 
+def some_rows(df: DataFrame) -> Column:
+    """About one row in ``SAMPLE``, by its values: what a deterministic measure can choose by."""
+    return F.pmod(F.xxhash64(*df.columns), F.lit(SAMPLE)) == 0
+
+
 def read_extents(row: Mapping[str, object] | Row, columns: Sequence[str]) -> dict[str, Extent]:
-    return {c: Extent(row[f"{c}:n"], row[f"{c}:low"], row[f"{c}:high"]) for c in columns}
+    return {
+        c: Extent(
+            row[f"{c}:n"], row[f"{c}:low"], row[f"{c}:high"], tuple(row[f"{c}:depth"] or ()) or None
+        )
+        for c in columns
+    }
 
 
 def exact_quantiles(
@@ -185,7 +281,9 @@ def exact_quantiles(
         values = values.persist()
     try:
         if extents is None:
-            extents = read_extents(values.agg(*extent_measures(columns)).first(), columns)
+            drawn = values.withColumn("__draw", F.rand(SAMPLE))
+            measures = extent_measures(columns, F.col("__draw") * SAMPLE < 1)
+            extents = read_extents(drawn.agg(*measures).first(), columns)
         ranks: dict[tuple[str, int], _Rank] = {}
         spots: dict[str, list[tuple[int, int, float]]] = {}
         for c in columns:
@@ -198,12 +296,20 @@ def exact_quantiles(
                 upper = math.ceil(position)
                 spots[c].append((lower, upper, position - lower))
                 for k in (lower, upper):
-                    ranks.setdefault((c, k), _Rank(c, k, extent.low, extent.high, 0, n))
-        long = [r for r in ranks.values() if not r.settled and r.inside > finish_rows]
-        if long:
-            _bracketed(values, long, accuracy)
+                    rank = _Rank(c, k, extent.low, extent.high, 0, n)
+                    if n > finish_rows:
+                        rank.bracket = extent.bracket(k)
+                    ranks.setdefault((c, k), rank)
+        sketched: set[str] = set()
         while any(not r.settled for r in ranks.values()):
             _advance(values, list(ranks.values()), bins, finish_rows)
+            wide = [
+                r for r in ranks.values()
+                if not r.settled and r.inside > finish_rows and r.column not in sketched
+            ]
+            if wide:
+                _bracketed(values, wide, accuracy)
+                sketched |= {r.column for r in wide}
     finally:
         if cache:
             values.unpersist()

@@ -10,18 +10,15 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.money import ratio
 from skyledger.functions.text import ISO_FORMATS
-from skyledger.operators.cleaning import (
-    clean_numeric_columns,
-    convert_columns,
-    error_report,
-    failed_cells,
-)
+from skyledger.operators.cleaning import all_failed, convert_audited, error_report
 from skyledger.operators.outliers import clip_columns, mad_bounds, mad_report, outlier_summary
 from skyledger.operators.quality import (
     classify_columns,
     column_profile,
     copies,
     facts_and_kinds,
+    fill,
+    fill_values,
     filter_allowed,
     impute,
     kind_measures,
@@ -29,7 +26,7 @@ from skyledger.operators.quality import (
     null_profile,
     numeric_columns,
 )
-from skyledger.operators.quantiles import Extent, exact_quantiles
+from skyledger.operators.quantiles import exact_quantiles
 from skyledger.params import LARGE, MEDIUM
 from skyledger.sources.tables import stage_measured
 
@@ -114,20 +111,15 @@ def run_qc(
     """
     kinds = {**plan.kinds, **{c: "float" for c in number_ids}}
     raw = raw.select(*kinds)
-    worded = clean_numeric_columns(raw, plan.worded)
-    rest = {c: kind for c, kind in kinds.items() if c not in plan.worded}
-    before = raw.withColumn("_before", failed_cells(raw, kinds, formats))
-    after = clean_numeric_columns(before, plan.worded)
-    after = after.withColumn("_after", failed_cells(worded, kinds, formats))
     parsed, gaps = stage_measured(
-        convert_columns(after, rest, formats),
+        convert_audited(raw, kinds, plan.worded, formats),
         "typed",
         [F.count_if(F.col(c).isNull()).alias(c) for c in plan.allowed],
     )
-    typed = parsed.drop("_before", "_after")
+    typed = parsed.select(*kinds)
     reports = {
-        "errors_before": error_report(parsed, F.col("_before")),
-        "errors_after": error_report(parsed, F.col("_after")),
+        "errors_before": error_report(parsed, all_failed("_failed", "_before")),
+        "errors_after": error_report(parsed, all_failed("_failed", "_after")),
     }
 
     if profile:
@@ -158,12 +150,9 @@ def run_qc(
 
     reports["nulls_after"] = null_profile(unique)
     facts, kinds_now = facts_and_kinds(unique, measured=measured)
-    full = impute(
-        unique,
-        [c for c in kinds_now.numerical if c in facts.gaps],
-        [c for c in kinds_now.categorical if c in facts.gaps],
-        plan.final_strategy, "constant", UNKNOWN, numeric_mode, exact, facts,
-    )
+    gappy = [[c for c in kind if c in facts.gaps] for kind in (kinds_now.numerical, kinds_now.categorical)]
+    fills = fill_values(unique, *gappy, plan.final_strategy, "constant", UNKNOWN, exact, facts)
+    full = fill(unique, fills, *gappy, "constant", numeric_mode)
 
     # Filling a numerical column cannot make it categorical, so its kind still holds.
     wide = classify_columns(typed).numerical if plan.classify_raw else kinds_now.numerical
@@ -173,7 +162,7 @@ def run_qc(
         return QcResult(full, reports, dropped, [])
     # A mean or median lies between the ends, so filling moves neither.
     ends = {
-        c: Extent(facts.rows if c in kinds_now.numerical else e.count, e.low, e.high)
+        c: e.filled(fills.get(c), facts.nulls[c]) if c in kinds_now.numerical else e
         for c, e in facts.extents.items()
         if c in outlier_cols
     }

@@ -136,6 +136,14 @@ def drop_table(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def owned_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the staging root, owned by the innermost open ``staging`` block."""
+    path = staging_path(spark, name)
+    if _OWNERS:
+        _OWNERS[-1].append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to the shared staging folder and read it back.
 
@@ -150,9 +158,7 @@ def stage_measured(
 ) -> tuple[DataFrame, dict[str, object]]:
     """``stage``, and named aggregates of the rows taken while they are written."""
     spark = df.sparkSession
-    path = staging_path(spark, name)
-    if _OWNERS:
-        _OWNERS[-1].append(path)
+    path = owned_path(spark, name)
     seen = Observation() if measures else None
     write_table(df.observe(seen, *measures) if seen else df, path)
     return spark.read.schema(df.schema).parquet(path), seen.get if seen else {}

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.operators.prediction import alphabetical_codes, impute_predicted
+from skyledger.operators.prediction import alphabetical_codes, digits, impute_predicted
+from skyledger.sources.tables import stage_measured
 
 
 def test_predicts_what_the_features_say(spark):
@@ -38,12 +39,39 @@ def test_wide_features_are_told_apart(spark, width, classes):
     assert filled.where("t <> truth or t is null").isEmpty()
 
 
-def test_too_wide_is_refused_by_name(spark):
+@pytest.mark.parametrize("width, base", [(1, 10), (10, 10), (11, 10), (1000, 10), (1001, 10), (50_000, 1000)])
+def test_digits_tell_all_codes_apart(spark, width, base):
+    codes = spark.range(width).select(F.col("id").cast("double").alias("code"))
+    parts = digits(F.col("code"), width, base)
+    rows = codes.select("code", *[p.alias(f"d{i}") for i, p in enumerate(parts)]).orderBy("code").collect()
+    found = [tuple(r)[1:] for r in rows]
+    assert len(set(found)) == width and found == sorted(found)
+    assert all(0 <= x < base and x == int(x) for r in found for x in r)
+
+
+@pytest.mark.parametrize("width, most, classes", [(300, 20, 2), (300, 7, 5), (50_000, 1000, 3)])
+def test_wider_than_the_histograms(spark, width, most, classes):
+    """A feature in digits is answered as exactly as one that fits."""
+    base = spark.range(4 * width).select("id", (F.col("id") * 7919 % width).cast("string").alias("f"))
+    truth = base.withColumn(
+        "truth", F.concat(F.lit("c"), F.pmod(F.xxhash64("f"), F.lit(classes)).cast("string"))
+    )
+    holes = truth.withColumn("t", F.when(F.col("id") % 11 != 0, F.col("truth")))
+    filled = impute_predicted(holes, "t", ["f"], num_trees=10, max_width=most)
+    assert filled.count() == 4 * width and filled.where("t <> truth or t is null").isEmpty()
+
+
+def test_two_classes_after_an_observed_query(spark):
+    stage_measured(spark.range(10), "seen", [F.count(F.lit(1)).alias("n")])
+    df = spark.range(90).selectExpr("cast(id % 9 as string) f", "if(id < 9, null, id % 9 < 4) t")
+    filled = impute_predicted(df, "t", ["f"], num_trees=5)
+    assert filled.where("t is null or (t = 'true') <> (cast(f as int) < 4)").isEmpty()
+
+
+def test_too_many_classes_are_refused_by_name(spark):
     df = spark.range(50).selectExpr(
         "cast(id as string) f", "if(id = 3, null, cast(id % 9 as string)) t"
     )
-    with pytest.raises(ValueError, match="'f' has 50 distinct values"):
-        impute_predicted(df, "t", ["f"], max_width=49)
     with pytest.raises(ValueError, match="'t' has 9 classes"):
         impute_predicted(df, "t", ["f"], max_classes=8)
 

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skyledger.operators import quantiles
-from skyledger.operators.quantiles import exact_medians, exact_quantiles
+from skyledger.operators.quantiles import Extent, exact_medians, exact_quantiles
 
 POINTS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
@@ -83,3 +83,30 @@ def test_infinities_nan_and_the_smallest_doubles(spark):
 
 def test_log_spread_values(spark):
     check(spark, [10.0**e for e in range(-9, 10)], bins=64, finish_rows=5)
+
+
+def test_summaries_bracket_and_may_be_wrong(spark, monkeypatch):
+    passes = []
+    advance = quantiles._advance
+    monkeypatch.setattr(quantiles, "_advance", lambda *a: (passes.append(1), advance(*a)))
+    values = np.random.default_rng(3).normal(size=30_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    right = np.quantile(values, POINTS)
+    exact = tuple(np.quantile(values, np.linspace(0, 1, 65)).tolist())
+    for depth, most in ((exact, 1), (tuple(v + 1 for v in exact), 5), ((0.0,) * 65, 5), (None, 5)):
+        passes.clear()
+        extent = Extent(len(values), float(values.min()), float(values.max()), depth)
+        found = exact_quantiles(df, {"x": POINTS}, extents={"x": extent}, finish_rows=10_000, bins=64)
+        assert found["x"] == [pytest.approx(e, rel=1e-12) for e in right]
+        assert len(passes) <= most
+
+
+def test_a_filled_summary_keeps_its_depth():
+    extent = Extent(64_000, 0.0, 64.0, tuple(float(i) for i in range(65)))
+    full = extent.filled(32.0, 64_000)
+    assert (full.count, full.low, full.high) == (128_000, 0.0, 64.0)
+    values = np.sort(np.concatenate([np.linspace(0, 64, 64_000), np.full(64_000, 32.0)]))
+    assert full.depth == pytest.approx(np.quantile(values, np.linspace(0, 1, 65)), abs=1)
+    assert extent.filled(None, 5) is extent and Extent(0, None, None).filled(1.0, 5).count == 0
+    far = extent.distances(16.0)
+    assert (far.low, far.high) == (0.0, 48.0) and list(far.depth) == sorted(far.depth)
