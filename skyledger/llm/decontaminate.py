@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.frames import add_columns
+from skyledger.llm.frames import add_columns, set_aside
 from skyledger.llm.words import IS_SPACE, Words, inside_doc, rolled
+from skyledger.sources.tables import stage
 
 MATCH = 5
 COVERAGE = 0.5
@@ -199,6 +200,8 @@ def with_tilings(
         def compute(_: pa.RecordBatch, bodies: list[bytes], held=held, name=f"__tilings{n}"):
             return {name: held.value.tilings(bodies, least, evidence)}
 
+        if parts:  # one block at a time is live: what the last one gave is written down first
+            out = stage(out, "tilings")
         parts.append(f"__tilings{n}")
         out = add_columns(out, text, f"{parts[-1]} {TILING}", compute)
     every = F.array_sort(F.flatten(F.array(*parts))) if len(parts) > 1 else F.col(parts[0])
@@ -225,5 +228,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") ->
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that cover no item enough, with the columns they came with."""
-    kept = with_tilings(docs, items, text).filter(F.size("tilings") == 0)
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    plain, restored = set_aside(docs, [text])
+    return restored(with_tilings(plain, items, text).filter(F.size("tilings") == 0))

@@ -31,12 +31,9 @@ from pyspark.sql import DataFrame
 
 from skyledger.llm.frames import add_columns
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+OPENING = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+MARKED = re.compile(r"[>\"']")
+NAME_END = re.compile(r"[\s/>]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -263,6 +260,65 @@ def shelter(made: list[Element], found: list[Block]) -> None:
         block.odds += block.parent.relief
 
 
+class Markup:
+    """Tags, comments and sections of a page, found in time that grows with its length.
+
+    A tag ends at the first ``>`` outside quotes; where quotes do not close, at the first ``>``.
+    Where a tag would end is kept for each quote that is met outside quotes, so no stretch is
+    read again however many tags begin before it. Without a later ``>`` there is no tag.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.ends: dict[int, int] = {}
+
+    def end(self, at: int) -> int:
+        """The first ``>`` outside quotes from ``at`` on, or -1."""
+        html, met, end = self.html, [], -1
+        while m := MARKED.search(html, at):
+            quote = m.start()
+            if m.group() == ">":
+                end = quote
+                break
+            if quote in self.ends:
+                end = self.ends[quote]
+                break
+            met.append(quote)
+            at = html.find(m.group(), quote + 1) + 1
+            if not at:
+                break
+        self.ends.update(dict.fromkeys(met, end))
+        return end
+
+    def next(self, at: int) -> tuple[int, int, str | None, str, str] | None:
+        """Start and end of the next markup; slash, name and attributes of a tag, or None and the
+        text of a CDATA section."""
+        html = self.html
+
+        def until(mark: str) -> int:
+            found = html.find(mark, m.end())
+            return len(html) if found < 0 else found + len(mark)
+
+        while m := OPENING.search(html, at):
+            start, head = m.span()[0], m.group()
+            if head == "<!--":
+                return start, until("-->"), None, "", ""
+            if head == "<![CDATA[":
+                end = until("]]>")
+                return start, end, None, "", html[m.end() : end].removesuffix("]]>")
+            if head in ("<!", "<?"):
+                return start, until(">"), None, "", ""
+            if start < self.last:
+                name = NAME_END.search(html, m.end() - 1).start()
+                end = self.end(name)
+                if end < 0:
+                    end = html.find(">", name)
+                slash = "/" if head[1] == "/" else ""
+                return start, end + 1, slash, html[m.end() - 1 : name], html[name:end]
+            at = start + 1
+        return None
+
+
 def blocks(html: str) -> list[Block]:
     """Blocks of a page in order; text of scripts, styles and hidden elements is left out."""
     out: list[Block] = []
@@ -302,23 +358,20 @@ def blocks(html: str) -> list[Block]:
         if at is not root:
             here = at.parent
 
-    at, size, find = 0, len(html), TAG.search
+    at, size, markup = 0, len(html), Markup(html)
     while at < size:
-        m = find(html, at)
-        if m is None:
+        found = markup.next(at)
+        if found is None:
             if not here.silent:
                 say(html[at:])
             break
-        if m.start() > at and not here.silent:
-            say(html[at : m.start()])
-        at = m.end()
-        if m.group(2) is not None:
-            ends, tag, attributes = m.group(1, 2, 3)
-        elif m.group(5) is not None:
-            ends, tag, attributes = m.group(4, 5, 6)
-        else:
-            if m.group().startswith("<![CDATA[") and not here.silent:
-                pieces.append(m.group()[9:].removesuffix("]]>"))
+        start, end, ends, tag, attributes = found
+        if start > at and not here.silent:
+            say(html[at:start])
+        at = end
+        if ends is None:
+            if attributes and not here.silent:
+                pieces.append(attributes)
             continue
         tag = tag.lower()
         if tag == "br":
@@ -338,8 +391,9 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag not in SCOPES:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
+            stop = re.compile(rf"</{tag}\b", re.I).search(html, at)
+            at = html.find(">", stop.end()) + 1 if stop else 0
+            at = at or size
             continue
         if tag not in INLINE:
             if here.tag != "#root":
@@ -424,35 +478,50 @@ def least_cut(odds: list[int], links: list[tuple[int, int, int]]) -> list[bool]:
 
 
 def _augmented(rest: list[int], own: list[int], near: list[dict[int, int]]) -> set[int]:
-    """Nodes that the source still reaches after shortest augmenting paths have run."""
+    """Nodes that the source still reaches once blocking flows along shortest paths are used up.
+
+    Each phase sends a blocking flow through the layers of a breadth-first search, and the
+    shortest path grows with every phase: few phases, each in time near the number of edges.
+    """
     room = {i: dict(near[i]) for i in rest}
     supply = {i: own[i] for i in rest if own[i] > 0}
     demand = {i: -own[i] for i in rest if own[i] < 0}
     while True:
-        came: dict[int, int | None] = {i: None for i, s in supply.items() if s > 0}
-        queue, goal = deque(came), None
+        layer = {i: 0 for i, s in supply.items() if s > 0}
+        queue, met = deque(layer), False
         while queue:
             i = queue.popleft()
-            if demand.get(i, 0) > 0:
-                goal = i
-                break
+            met = met or demand.get(i, 0) > 0
             for j, c in room[i].items():
-                if c > 0 and j not in came:
-                    came[j] = i
+                if c > 0 and j not in layer:
+                    layer[j] = layer[i] + 1
                     queue.append(j)
-        if goal is None:
-            return set(came)
-        path = [goal]
-        while came[path[-1]] is not None:
-            path.append(came[path[-1]])
-        flow = min(supply[path[-1]], demand[goal])
-        for j, i in zip(path, path[1:]):
-            flow = min(flow, room[i][j])
-        supply[path[-1]] -= flow
-        demand[goal] -= flow
-        for j, i in zip(path, path[1:]):
-            room[i][j] -= flow
-            room[j][i] = room[j].get(i, 0) + flow
+        if not met:
+            return set(layer)
+        arcs = {i: iter(list(room[i])) for i in layer}
+        for source in [i for i, d in layer.items() if d == 0]:
+            path = [source]
+            while path and supply[source] > 0:
+                i = path[-1]
+                if demand.get(i, 0) > 0:
+                    steps = list(zip(path, path[1:]))
+                    flow = min(supply[source], demand[i], *(room[x][y] for x, y in steps))
+                    supply[source] -= flow
+                    demand[i] -= flow
+                    for x, y in steps:
+                        room[x][y] -= flow
+                        room[y][x] = room[y].get(x, 0) + flow
+                    full = next((k for k, (x, y) in enumerate(steps) if not room[x][y]), len(steps))
+                    del path[full + 1 :]
+                    continue
+                onward = next(
+                    (j for j in arcs[i] if layer.get(j, 0) == layer[i] + 1 and room[i][j] > 0), None
+                )
+                if onward is None:
+                    layer[i] = -1  # leads nowhere in this phase
+                    path.pop()
+                else:
+                    path.append(onward)
 
 
 def main_text(html: str) -> str:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -40,6 +41,18 @@ def struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def set_aside(df: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but ``keep`` under names that no result has, and the way back:
+    the columns that came in, under their names and in their order, results left out."""
+    names = df.columns
+    private = [c if c in keep else f"~{i}" for i, c in enumerate(names)]
+
+    def restored(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"`{p}`").alias(c) for p, c in zip(private, names)])
+
+    return df.toDF(*private), restored
+
+
 def add_columns(
     df: DataFrame,
     text: str,

@@ -5,7 +5,8 @@ Texts become ids of a byte-level BPE, each followed by the end mark, cut into se
 keyed Feistel network with cycle-walking maps numbers to slots: a bijection on 0 to N - 1 that
 needs no sort and no state, so the slot of a sequence and the sequence of a slot follow from key
 and N. Shards are runs of ``per_shard`` slots, written in order with records of one size
-(``length`` little-endian ids of 16 bits), so reading can begin at any slot.
+(``length`` little-endian ids of 16 bits), so reading can begin at any slot: ``write_binary`` makes
+files in which a slot is a byte offset, ``write_shards`` makes Parquet.
 
 Texts are read once. The tokenised table is written to the shared folder, which fixes the numbers:
 its partitions are counted (one row each, so the join's small side is bounded by the number of
@@ -20,11 +21,14 @@ from __future__ import annotations
 import base64
 import re
 import sys
+import uuid
 from array import array
 from collections.abc import Iterator
+from struct import Struct as struct_format
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -32,11 +36,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from skyledger.llm.frames import struct
+from skyledger.llm.warc import commit, open_files
 from skyledger.llm.words import chunks, mix
 from skyledger.sources.tables import stage
 
 LENGTH = 1024
 PER_SHARD = 4096
+#: Records of one task; more data makes more tasks.
+RANGE_BYTES = 128 << 20
+#: Fixed value: the start of a shard file, with its stride, records and first slot.
+HEADER = struct_format("<8sQQQ")
+MAGIC = b"SLOTS\x00\x00\x01"
 ROUNDS = 8
 CACHED = 400_000
 
@@ -220,11 +230,12 @@ def training_order(
     placed = numbered.drop("part", "place", "before").mapInArrow(run, out)
     shards = max(1, -(-total // per_shard))
     wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = min(shards, wide)
+    ranges = min(shards, max(wide, -(-total * 2 * length // RANGE_BYTES)))
     span = -(-shards // ranges)
-    dealt = placed.withColumn("range", F.floor(F.col("shard") / F.lit(span)))
-    dealt = dealt.repartition(ranges, "range").sortWithinPartitions("slot").drop("range")
-    return dealt.withColumnRenamed("id", id_col)
+    ranges = -(-shards // span)
+    # Range numbers are partition numbers: a range is one partition, and partitions are in order.
+    dealt = placed.repartitionById(ranges, F.floor(F.col("shard") / F.lit(span)).cast("int"))
+    return dealt.sortWithinPartitions("slot").withColumnRenamed("id", id_col)
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
@@ -237,3 +248,103 @@ def read_from(spark: SparkSession, path: str, slot: int, n: int, per_shard: int
     first, last = slot // per_shard, (slot + n - 1) // per_shard
     got = spark.read.parquet(path).filter(F.col("shard").between(first, last))
     return got.filter(F.col("slot").between(slot, slot + n - 1)).orderBy("slot")
+
+
+def shard_file(shard: int) -> str:
+    return f"shard-{shard:010d}.bin"
+
+
+def shard_body(first: int, records: list[bytes]) -> bytes:
+    return HEADER.pack(MAGIC, len(records[0]), len(records), first) + b"".join(records)
+
+
+def records_of(file, slot: int, n: int) -> tuple[int, list[bytes]]:
+    """The records of an open shard file among ``n`` from ``slot`` on, and the slot of the first."""
+    head = file.read(HEADER.size)
+    magic, stride, records, first = HEADER.unpack(head.ljust(HEADER.size, b"\0"))
+    if magic != MAGIC or file.size() != HEADER.size + stride * records:
+        raise ValueError("no complete shard")
+    begin, end = max(slot, first), min(slot + n, first + records)
+    if begin >= end:
+        return begin, []
+    file.seek(HEADER.size + (begin - first) * stride)
+    body = file.read((end - begin) * stride)
+    return begin, [body[at : at + stride] for at in range(0, len(body), stride)]
+
+
+def write_binary(ordered: DataFrame, path: str) -> DataFrame:
+    """Writes every shard as one file of records of one size, and returns the manifest.
+
+    ``ordered`` comes from ``training_order``: a shard lies whole in one partition, in order. A file
+    holds ``HEADER`` and its records, so slot ``s`` of a shard that begins at ``f`` is found at
+    ``HEADER.size + (s - f) * stride``. Files get temporary names, unique to the attempt; those that
+    the committed manifest names are renamed. A shard whose file is complete is not written again,
+    so a run that was cut off goes on where it stopped.
+    """
+    out = struct("file string, temporary string, bytes long, first long, records long")
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = open_files(path)
+        files.create_dir(f"{root}/_temporary", recursive=True)
+        attempt = uuid.uuid4().hex
+
+        def closed(shard: int, first: int, held: list[bytes]) -> pa.RecordBatch:
+            file = shard_file(shard)
+            body = shard_body(first, held)
+            temporary = f"_temporary/{file}.{attempt}"
+            done = files.get_file_info(f"{root}/{file}")
+            if done.size != len(body):
+                with files.open_output_stream(f"{root}/{temporary}", compression=None) as stream:
+                    stream.write(body)
+            row = (file, temporary, len(body), first, len(held))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], f.type) for v, f in zip(row, arrow)], names=arrow.names
+            )
+
+        now, first, held = None, 0, []
+        for batch in batches:
+            for slot, shard, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != now:
+                    if held:
+                        yield closed(now, first, held)
+                    now, first, held = shard, slot, []
+                held.append(tokens)
+        if held:
+            yield closed(now, first, held)
+
+    records = ordered.select("slot", "shard", "tokens")
+    manifest = stage(records.mapInArrow(run, out), "manifest")
+    commit(manifest, path)
+    return manifest
+
+
+def read_binary(
+    spark: SparkSession, path: str, slot: int, n: int, per_shard: int = PER_SHARD
+) -> DataFrame:
+    """``slot, tokens`` of ``n`` records from ``slot`` on, each read from its byte offset.
+
+    Slots beyond the last give no row. Shards are read side by side, the records of each in order.
+    """
+    out = struct("slot long, tokens binary")
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = open_files(path)
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                name = f"{root}/{shard_file(shard)}"
+                if files.get_file_info(name).type == fs.FileType.NotFound:
+                    continue
+                with files.open_input_file(name) as file:
+                    begin, tokens = records_of(file, slot, n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(range(begin, begin + len(tokens)), arrow[0].type),
+                        pa.array(tokens, arrow[1].type),
+                    ],
+                    names=arrow.names,
+                )
+
+    shards = spark.range(slot // per_shard, (slot + max(n, 1) - 1) // per_shard + 1)
+    return shards.mapInArrow(run, out)

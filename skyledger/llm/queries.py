@@ -67,9 +67,9 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = tokens.read_vocabulary(str(Path(TOKENIZERS, "piece_bpe_32k.model")))
+    pieces, byte_fallback = tokens.read_vocabulary(str(Path(TOKENIZERS, "piece_bpe_32k.model")))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokens.token_counts(docs, vocabulary).drop("text")
+    return tokens.token_counts(docs, pieces, byte_fallback).drop("text")
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

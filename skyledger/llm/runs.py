@@ -519,23 +519,33 @@ def spans(
             digest = b"".join(map(xxhash.xxh3_128_digest, runs.strings()))
             two = np.frombuffer(digest, "<i8").reshape(-1, 2)
             place = runs.place + base[runs.doc]
-            yield two[:, 0], two[:, 1], ids[runs.doc], own[runs.doc], place
+            # Equal runs one after the other, as in text of a short period, are one row. A run is
+            # shorter than a window, so what their windows cover has no gaps either.
+            first = np.flatnonzero(
+                np.concatenate([[True], (runs.doc[1:] != runs.doc[:-1]) | (two[1:] != two[:-1]).any(axis=1)])
+            )
+            last = np.append(first[1:], len(place)) - 1
+            doc = runs.doc[first]
+            yield two[first, 0], two[first, 1], ids[doc], own[doc], place[first], place[last]
 
-    places = _mapped(texts, "d1 long, d2 long, __id long, __hash long, place long", run)
+    ddl = "d1 long, d2 long, __id long, __hash long, place long, last long"
+    places = _mapped(texts, ddl, run)
     found = repeated_runs(texts, windows, plan, earlier)
     hits = places.join(found, ["d1", "d2"]).select(
         "__id",
         "__hash",
         "place",
+        "last",
         F.explode(F.arrays_zip("begin", "stop", "low")).alias("s"),
     )
     if earlier:
         hits = hits.filter(F.col("s.low") < F.col("__id"))
     span = F.struct(
         (F.col("place") + F.col("s.begin")).alias("begin"),
-        (F.col("place") + F.col("s.stop") + F.lit(windows.size - 1)).alias("stop"),
+        (F.col("last") + F.col("s.stop") + F.lit(windows.size - 1)).alias("stop"),
     )
-    return hits.groupBy("__id", "__hash").agg(F.collect_list(span).alias("__spans"))
+    # Rows that repeat each other give equal spans, which are kept once.
+    return hits.groupBy("__id", "__hash").agg(F.collect_set(span).alias("__spans"))
 
 
 def with_spans(
@@ -555,7 +565,7 @@ def with_spans(
         return {"__body": [compress(t) if t else t for t in texts]}
 
     packed = add_columns(keyed, text, "__body binary", shrink).drop(text)
-    joined = packed.join(found.hint("shuffle_hash"), ["__id", "__hash"], "left")
+    joined = packed.join(found, ["__id", "__hash"], "left")
 
     def results(batch: pa.RecordBatch, texts: list[bytes]) -> dict[str, list]:
         known = batch.column(batch.schema.get_field_index("__known")).to_pylist()

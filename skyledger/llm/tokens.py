@@ -4,20 +4,23 @@ Aho-Corasick enumerates every vocabulary piece inside a segment, end by end; dyn
 carries the best score of a prefix and the number of pieces on its path. Tie rules are those of the
 unigram tokenizer: of equal scores the path whose last piece begins first wins; a character that is
 no piece costs ten less than the lowest score; unknown characters become their bytes where the
-vocabulary has all byte pieces, else neighbouring ones count as one.
+model falls back on them, else neighbouring ones count as one. Only normal pieces match: the names
+of control, unknown and byte pieces are ordinary text.
 
 A space is written as the mark U+2581 and one mark is put in front. If no piece has a mark after
 another character, texts fall apart before such marks without changing the best path, so segments
 are words, and a worker counts each different word once (``CACHED`` at most are remembered; the
 result does not depend on it). The vocabulary is the only thing broadcast.
 
-Null and empty texts have no pieces and score 0. Equal rows get equal counts. Further columns pass
+Null and empty texts have no pieces and score 0. A text without spaces is one segment, which takes
+17 bytes a character. Equal rows get equal counts. Further columns pass
 through; those named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Sequence
 
 import ahocorasick
@@ -29,20 +32,29 @@ from skyledger.llm.frames import add_columns
 MARK = "▁"
 CACHED = 400_000
 UNKNOWN_PENALTY = 10.0
+NO_MATCH = (-1, None)
 
 
-def read_vocabulary(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece model file, in the order of their ids."""
+def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
+    """Pieces that text may match, with their scores, and whether unknown characters become bytes.
+
+    Control, unknown, byte and unused pieces of a sentencepiece model match no text.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    ids = range(model.get_piece_size())
+    other = (model.is_control, model.is_unknown, model.is_byte, model.is_unused)
+    pieces = [
+        (model.id_to_piece(i), model.get_score(i)) for i in ids if not any(is_(i) for is_ in other)
+    ]
+    return pieces, sum(map(model.is_byte, ids)) == 256
 
 
 class Counter:
     """Counts pieces of texts under one vocabulary."""
 
-    def __init__(self, vocabulary: Sequence[tuple[str, float]]):
+    def __init__(self, vocabulary: Sequence[tuple[str, float]], byte_fallback: bool = False):
         self.matches = ahocorasick.Automaton()
         self.single: set[str] = set()
         for piece, score in vocabulary:
@@ -52,7 +64,7 @@ class Counter:
                     self.single.add(piece)
         self.matches.make_automaton()
         names = {p for p, _ in vocabulary}
-        self.as_bytes = all(f"<0x{b:02X}>" in names for b in range(256))
+        self.as_bytes = byte_fallback
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         crossing = re.compile(f"[^{MARK}]{MARK}")
         known = MARK in self.single or self.as_bytes  # else an unknown mark may join others
@@ -60,18 +72,19 @@ class Counter:
         self.cache: dict[str, tuple[int, float]] = {}
 
     def segment(self, text: str) -> tuple[int, float]:
-        """Pieces and score of the best path through a marked text."""
+        """Pieces and score of the best path through a marked text: 17 bytes a character."""
         n = len(text)
-        score: list[float] = [0.0] * (n + 1)
-        pieces = [0] * (n + 1)
-        fused = [False] * (n + 1)  # the path ends in an unknown character
+        score = array("d", bytes(8 * n + 8))
+        pieces = array("q", bytes(8 * n + 8))
+        fused = bytearray(n + 1)  # the path ends in an unknown character
         single, unknown = self.single, self.unknown
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, match in self.matches.iter(text):
-            ends[end + 1].append(match)
+        matches = self.matches.iter(text)  # by their ends
+        end, match = next(matches, NO_MATCH)
         for e in range(1, n + 1):
             best, start, known = None, 0, True
-            for size, s in ends[e]:  # longest first, so the earliest start wins ties
+            while end == e - 1:  # longest first, so the earliest start wins ties
+                size, s = match
+                end, match = next(matches, NO_MATCH)
                 candidate = score[e - size] + s
                 if best is None or candidate > best:
                     best, start = candidate, e - size
@@ -120,21 +133,30 @@ def _counter(held) -> Counter:
     """One for each worker process, not for each task."""
     if held.id not in _counters:
         _counters.clear()
-        _counters[held.id] = Counter(held.vocabulary.value)
+        _counters[held.id] = Counter(*held.vocabulary.value)
     return _counters[held.id]
 
 
 class _Held:
     def __init__(self, vocabulary):
         self.vocabulary = vocabulary
-        self.id = hash(tuple(vocabulary.value))
+        pieces, byte_fallback = vocabulary.value
+        self.id = hash((tuple(pieces), byte_fallback))
 
 
 def token_counts(
-    docs: DataFrame, vocabulary: Sequence[tuple[str, float]], text: str = "text"
+    docs: DataFrame,
+    vocabulary: Sequence[tuple[str, float]],
+    byte_fallback: bool = False,
+    text: str = "text",
 ) -> DataFrame:
-    """``docs`` with ``n_pieces`` and ``score``, the best path's log weight."""
-    held = _Held(docs.sparkSession.sparkContext.broadcast(list(vocabulary)))
+    """``docs`` with ``n_pieces`` and ``score``, the best path's log weight.
+
+    ``vocabulary`` holds the pieces that text may match. With ``byte_fallback`` an unknown
+    character counts as many pieces as it has bytes.
+    """
+    context = docs.sparkSession.sparkContext
+    held = _Held(context.broadcast((list(vocabulary), byte_fallback)))
 
     def compute(_: pa.RecordBatch, texts: list[bytes]) -> dict[str, list]:
         counter = _counter(held)

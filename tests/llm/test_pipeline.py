@@ -88,3 +88,55 @@ def test_packed(stages):
 
 def test_run_gives_the_last_stage(stages, spark):
     assert Counter(corpus_pipeline.run(spark, SF).collect()) == Counter(stages[5])
+
+
+CLASHES = {
+    "n_words": "int", "word_chars": "string", "n_symbols": "double", "N_DUP_LINES": "int",
+    "n_repeat_words": "string", "base_failed": "int", "Kept": "string", "line_coverage": "int",
+    "gram_coverage": "string", "kept_text": "int", "n_removed": "string", "removed_spans": "int",
+    "tilings": "double",
+}
+
+
+def test_columns_named_like_results_come_through(spark, tmp_path):
+    """Values and types after every stage, and rows without id, text or sizes of their own."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lost = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    none = docs.limit(2).withColumn("text", F.lit(None).cast("string"))
+    docs = docs.unionByName(lost).unionByName(lost).unionByName(none).unionByName(docs.limit(9))
+    docs = docs.coalesce(1).withColumn("row", F.monotonically_increasing_id())
+    docs = docs.withColumns(
+        {c: (F.col("row") + i).cast(t) for i, (c, t) in enumerate(CLASHES.items())}
+    )
+    docs.write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    schema, given = docs.schema, {r.row: r for r in docs.collect()}
+    for name, apply in corpus_pipeline.STAGES[:4]:
+        apply(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert [(f.name, f.dataType) for f in docs.schema] == [(f.name, f.dataType) for f in schema]
+        rows = docs.collect()
+        assert rows
+        for r in rows:
+            for c in ("doc_id", "lang", "source", *CLASHES):
+                assert r[c] == given[r.row][c], (name, c)
+            if r.text == given[r.row].text:
+                assert r.n_chars == given[r.row].n_chars
+            else:
+                assert name != "quality_rules" and r.n_chars == len(r.text)
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert packed.count() >= docs.count()
+
+
+def test_empty_table_and_no_sizes(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    (tmp_path / "none").mkdir()
+    for name, rows in (("none", docs.limit(0)), ("few", docs.drop("n_chars"))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(
+            str(tmp_path / name / "benchmark.parquet")
+        )
+        got = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert (got.count() > 0) == (name == "few")

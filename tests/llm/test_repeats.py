@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyledger.llm import runs, substring, suffixes
 from skyledger.llm.runs import NULL_ID, Windows
@@ -107,3 +108,33 @@ def test_empty_table_and_texts_kept_whole(nothing, spark):
     assert [tuple(s) for s in got[2].removed_spans] == [(2, 62)]
     cut = {r.doc_id: r for r in suffixes.suffix_dedup(df.filter("doc_id = 3")).collect()}
     assert bytes(cut[3].kept_bytes) == b" p  q " and cut[3].removed_spans == []
+
+
+def test_many_equal_rows_without_id(spark):
+    """Their spans are kept once, not once for each pair of row and place."""
+    text = " ".join(f"w{i}" for i in range(120))
+    other = "x " + text
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    one = spark.createDataFrame([(5, other), (None, "lone")], "doc_id long, text string")
+    docs = rows.unionByName(one)
+    found = runs.spans(docs, suffixes.windows(), False, "doc_id", "text").collect()
+    assert max(len(r["__spans"]) for r in found) < 40
+    got = substring.substring_digest(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(None, 120, 120, 100_000), (5, 121, 0, 1), (None, 1, 0, 1)}
+    got = suffixes.suffix_digest(docs).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    size = len(text)
+    assert {tuple(r) for r in got} == {(None, size, 1, 100_000), (5, size, 1, 1), (None, 0, 0, 1)}
+
+
+@pytest.mark.parametrize("period", ["x", "ab", "wort "])
+def test_long_text_of_a_short_period(spark, period):
+    text = period * (5_000_000 // len(period))
+    docs = spark.createDataFrame([(1, text), (2, period * 90), (3, "y" * 399)], "doc_id long, text string")
+    found = {r["__id"]: r["__spans"] for r in runs.spans(docs, suffixes.windows(), False, "doc_id", "text").collect()}
+    assert len(found[1]) < 500
+    got = {r.doc_id: r for r in suffixes.suffix_digest(docs).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (len(text), 1)
+    assert got[2].n_removed == (450 if len(period) == 5 else 0) and got[3].n_removed == 0
+    words = {r.doc_id: r for r in substring.substring_digest(docs).collect()}
+    assert words[1].n_removed == 0
+    assert words[2].n_removed == (90 if period == "wort " else 0)
