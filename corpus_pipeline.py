@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm.decontaminate import decontaminate
-from skyledger.llm.frames import shipped
+from skyledger.llm.frames import set_aside, shipped
 from skyledger.llm.packing import best_fit_packing
 from skyledger.llm.quality import quality_rules
 from skyledger.llm.simhash import simhash_dedup
@@ -24,7 +24,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules reject go."""
-    return quality_rules(docs).filter("kept").select(*[f"`{c}`" for c in docs.columns])
+    plain, restored = set_aside(docs, ["text"])
+    return restored(quality_rules(plain).filter("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +35,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document holds go; so do documents left empty."""
-    got = substring_dedup(docs).filter((F.col("n_removed") == 0) | (F.col("kept_text") != ""))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long"))
-    new = {"n_chars": F.coalesce(size, F.col("n_chars")), "text": text}
-    return got.select([new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    plain, restored = set_aside(docs, ["doc_id", "text"])
+    got = substring_dedup(plain).filter((F.col("n_removed") == 0) | (F.col("kept_text") != ""))
+    cut = F.col("n_removed") > 0
+    got = got.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        n_chars = plain.columns[docs.columns.index("n_chars")]
+        size = F.when(cut, F.length("text")).otherwise(F.col(f"`{n_chars}`"))
+        got = got.withColumn(n_chars, size.cast(docs.schema["n_chars"].dataType))
+    return restored(got)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +69,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what a stage wrote on the way, and its input, go once it is written."""
+    """All stages in order; what a stage wrote on the way, and its input, go once it is written.
+
+    A null text is an empty one, which the quality rules reject, as do very short texts; so an
+    empty table and one of such texts give no rows. Null ids rank last and keep their rows apart by
+    text. Rows that repeat each other are copies, of which one stays. Further columns come through
+    all but the last stage as they are, whatever their names; ``n_chars`` is the only one that is
+    worked out again, where a text was cut. Texts are read whole.
+    """
     docs, before = shipped(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, apply in STAGES:
         path = staging_path(spark, name)
