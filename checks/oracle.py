@@ -443,6 +443,9 @@ sql("q09_impute_predicted", "", """
 SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ROW_KEY,
   CASE WHEN l_partkey % 150 <> 149 THEN 'C' || (l_partkey % 150) END AS CODE, l_linestatus AS FLAG,
   'G' || (l_partkey % 150 % 7) AS GROUP_NAME FROM lineitem""")
+sql("q09_impute_two_classes", "", """
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ROW_KEY, 'P' || l_partkey AS PART,
+  CASE WHEN l_partkey % 2 = 0 THEN 'even' ELSE 'odd' END AS SIDE FROM lineitem""")
 sql("q09_impute_predicted_exactly", "rawt", """
 SELECT ITIN_ID, ORIGIN_STATE_ABR, 'State ' || substr(ORIGIN_STATE_ABR, 2) AS ORIGIN_STATE_NM FROM rawt""")
 
@@ -915,6 +918,7 @@ sql("p04_route_kpis_from_raw", "typedf rawt airports", "SELECT * FROM kpi",
     tickets="SELECT * FROM cleant",
     **{n: BLOCKS[n] for n in ("dirs", "flown", "sold", "joined", "earned", "kpi")})
 ORACLE["p07_files_to_kpis"] = ORACLE["p04_route_kpis_from_raw"]
+ORACLE["p08_incremental_flights"] = ORACLE["p02_clean_flights"]
 sql("p04_route_kpis", "kpi", "SELECT * FROM kpi")
 sql("p05_route_kpis_extended", "ext", "SELECT * FROM ext")
 _LISTS = {

@@ -220,6 +220,16 @@ def coded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sided_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of two sides for each line item, settled by its part (many), unknown for some."""
+    side = F.when(F.col("l_partkey") % 2 == 0, "even").otherwise("odd")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ROW_KEY"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("PART"),
+        F.when(F.col("l_quantity") != 9, side).alias("SIDE"),
+    )
+
+
 def _with_repeats(df: DataFrame) -> DataFrame:
     """Every row, and the rows of line number 3 once more, from one pass over the joins."""
     again = F.when(F.col("l_linenumber") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))

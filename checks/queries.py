@@ -17,7 +17,7 @@ from skyledger.functions.money import round_half_even
 from skyledger.operators import aggregates as agg
 from skyledger.operators import cleaning, joins, kpis, outliers, prediction, quality, ranking
 from skyledger.params import SweetSpot
-from skyledger.plans import answers, explore, files, qc, routes
+from skyledger.plans import answers, explore, files, incremental, qc, routes
 from skyledger.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,6 +330,13 @@ def _(spark, sf):
     return filled.select("ROW_KEY", "CODE", "FLAG", "GROUP_NAME")
 
 
+@query("q09_impute_two_classes")
+def _(spark, sf):
+    """Two classes, and a feature of as many values as there are parts: it enters as digits."""
+    cases = staged(proxy.sided_lines, spark, sf)
+    return prediction.impute_predicted(cases, "SIDE", ["PART"], num_trees=20, max_width=40)
+
+
 @query("q09_impute_predicted_exactly")
 def _(spark, sf):
     """One feature that settles the target: the forest has to get every gap right."""
@@ -870,6 +877,17 @@ def _(spark, sf):
     return files.kpi_file(spark, kept)
 
 
+@query("p08_incremental_flights")
+def _(spark, sf):
+    """Flights as they come in, carrier by carrier, merged from what each file's rows tell."""
+    folder = tables.staging_path(spark, "store")
+    store = incremental.QcStore(spark, folder, qc.FLIGHT_PLAN)
+    raw = staged(proxy.raw_flights, spark, sf)
+    for first in ("A", "N", "R"):
+        store.add(first, raw.where(F.col("OP_CARRIER").startswith(first)))
+    return store.merged().cleaned
+
+
 @query("p05_route_kpis_extended")
 def _(spark, sf):
     return extended_table(spark, sf)

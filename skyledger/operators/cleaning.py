@@ -150,6 +150,15 @@ def error_report(df: DataFrame, cells: Column) -> DataFrame:
     )
 
 
+def merged_error_report(reports: DataFrame) -> DataFrame:
+    """``error_report`` of a whole table from those of its parts, laid under each other."""
+    return (
+        reports.groupBy("column_name", "error_type", "detail")
+        .agg(F.sum("row_count").alias("row_count"))
+        .withColumn("printed_detail", shorten(F.col("detail")))
+    )
+
+
 def conversion_error_report(
     df: DataFrame, kinds: Mapping[str, str], formats: Sequence[str] = ISO_FORMATS
 ) -> DataFrame:

@@ -49,6 +49,14 @@ def null_profile(df: DataFrame) -> DataFrame:
     return null_counts(df).where("null_count > 0").orderBy(F.desc("null_pct"), "column_name")
 
 
+def merged_null_counts(counts: DataFrame) -> DataFrame:
+    """``null_counts`` of a whole table from those of its parts, laid under each other."""
+    sums = counts.groupBy("column_name").agg(
+        F.sum("total_count").alias("total_count"), F.sum("null_count").alias("null_count")
+    )
+    return sums.withColumn("null_pct", ratio(F.col("null_count"), F.col("total_count")) * 100)
+
+
 def columns_with_nulls(df: DataFrame) -> list[str]:
     """Their names, in table order."""
     found = {r["column_name"] for r in null_counts(df).where("null_count > 0").collect()}

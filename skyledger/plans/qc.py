@@ -76,6 +76,9 @@ class QcPlan:
     null_threshold: float = 99.0
     classify_raw: bool = False
 
+    def typed_as(self, number_ids: Sequence[str] = ()) -> dict[str, str]:
+        return {**self.kinds, **{c: "float" for c in number_ids}}
+
 
 AIRPORT_PLAN = QcPlan(
     AIRPORT_KINDS, ("ELEVATION_FT",), AIRPORT_ALLOWED, "mean", 1.0, classify_raw=True
@@ -109,10 +112,9 @@ def run_qc(
     tried in order. ``profile`` adds a profile of the converted columns, at the price of a
     few more passes.
     """
-    kinds = {**plan.kinds, **{c: "float" for c in number_ids}}
-    raw = raw.select(*kinds)
+    kinds = plan.typed_as(number_ids)
     parsed, gaps = stage_measured(
-        convert_audited(raw, kinds, plan.worded, formats),
+        convert_audited(raw.select(*kinds), kinds, plan.worded, formats),
         "typed",
         [F.count_if(F.col(c).isNull()).alias(c) for c in plan.allowed],
     )
@@ -121,10 +123,26 @@ def run_qc(
         "errors_before": error_report(parsed, all_failed("_failed", "_before")),
         "errors_after": error_report(parsed, all_failed("_failed", "_after")),
     }
-
     if profile:
         reports["profile"] = column_profile(typed, exact=exact)
     reports["nulls_before"] = null_profile(typed)
+    return finish_qc(typed, gaps, plan, reports, strict, numeric_mode, exact)
+
+
+def finish_qc(
+    typed: DataFrame,
+    gaps: Mapping[str, int],
+    plan: QcPlan,
+    reports: dict[str, DataFrame],
+    strict: bool = False,
+    numeric_mode: str = "text",
+    exact: bool = True,
+) -> QcResult:
+    """Filter, impute, drop, deduplicate, impute again, cap a converted table.
+
+    ``gaps`` counts the nulls of the columns that the plan filters; ``reports`` are those made
+    of the text already.
+    """
     unsure = [c for c in plan.allowed if gaps[c]]
     chosen = filter_allowed(typed, plan.allowed, unsure, strict)
     filtered = impute(
