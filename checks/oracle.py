@@ -917,7 +917,19 @@ sql("p04_route_kpis_from_raw", "typedf rawt airports", "SELECT * FROM kpi",
     flights="SELECT * REPLACE (TRY_CAST(OCCUPANCY_RATE AS DOUBLE) AS OCCUPANCY_RATE) FROM cleanf",
     tickets="SELECT * FROM cleant",
     **{n: BLOCKS[n] for n in ("dirs", "flown", "sold", "joined", "earned", "kpi")})
-ORACLE["p07_files_to_kpis"] = ORACLE["p04_route_kpis_from_raw"]
+sql("p07_files_to_kpis", "typedf rawt", "SELECT * FROM kpi",
+    rawa="""
+SELECT CASE n_nationkey % 3 WHEN 0 THEN 'large_airport' WHEN 1 THEN 'medium_airport'
+            ELSE 'small_airport' END AS "TYPE", 'Airport ' || n_name AS "NAME",
+  CASE n_nationkey WHEN 3 THEN 'Nine Hundred' ELSE (n_nationkey * 137)::VARCHAR END AS ELEVATION_FT,
+  'US' AS ISO_COUNTRY, 'City ' || chr(65 + n_nationkey) AS MUNICIPALITY,
+  CASE WHEN n_nationkey <> 24 THEN chr(65 + n_nationkey) || 'AA' END AS IATA_CODE,
+  '-' || (60 + 5 * n_nationkey) || '.5, ' || (20 + n_nationkey) || '.25' AS COORDINATES
+FROM nation""", **_CLEAN_AIRPORTS, airports="SELECT * FROM cleana",
+    **_CLEAN_FLIGHTS, **_CLEAN_TICKETS,
+    flights="SELECT * REPLACE (TRY_CAST(OCCUPANCY_RATE AS DOUBLE) AS OCCUPANCY_RATE) FROM cleanf",
+    tickets="SELECT * FROM cleant",
+    **{n: BLOCKS[n] for n in ("dirs", "flown", "sold", "joined", "earned", "kpi")})
 ORACLE["p08_incremental_flights"] = ORACLE["p02_clean_flights"]
 sql("p04_route_kpis", "kpi", "SELECT * FROM kpi")
 sql("p05_route_kpis_extended", "ext", "SELECT * FROM ext")

@@ -153,6 +153,21 @@ def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_nation_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``airports`` as raw text, one elevation in words, the continent lost as a missing value."""
+    key = F.col("n_nationkey")
+    words = F.when(key == 3, "Nine Hundred").otherwise((key * 137).cast("string"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name"), key)
+    plain = airports(spark, sf_dir).drop("ELEVATION_FT").join(
+        nations.select(F.concat(F.lit("Airport "), "n_name").alias("NAME"), words.alias("ELEVATION_FT")),
+        "NAME",
+    )
+    return plain.select(
+        "TYPE", "NAME", "ELEVATION_FT", F.lit(None).cast("string").alias("CONTINENT"),
+        F.lit("US").alias("ISO_COUNTRY"), "MUNICIPALITY", "IATA_CODE", "COORDINATES",
+    )
+
+
 def edge_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text number, word and date per line item, each row of the table included."""
     quantity, line = F.col("l_quantity").cast("int"), F.col("l_linenumber")

@@ -867,13 +867,15 @@ def _(spark, sf):
 @query("p07_files_to_kpis")
 def _(spark, sf):
     """Raw CSV files to cleaned tables to the KPI table, each written and read back."""
-    raw = {"flights": proxy.raw_flights, "tickets": proxy.raw_tickets}
+    raw = {
+        "flights": proxy.raw_flights, "tickets": proxy.raw_tickets,
+        "airports": proxy.raw_nation_airports,
+    }
     paths = {name: tables.staging_path(spark, f"{name}_csv") for name in raw}
     for name, build in raw.items():
         tables.write_table(build(spark, sf), paths[name], "csv")
     kept = files.Tables(tables.staging_path(spark, "files"))
     files.clean_files(spark, paths, kept)
-    tables.write_table(proxy.airports(spark, sf), kept.path("airports"))
     return files.kpi_file(spark, kept)
 
 
