@@ -932,6 +932,7 @@ FROM nation""", **_CLEAN_AIRPORTS, airports="SELECT * FROM cleana",
     **{n: BLOCKS[n] for n in ("dirs", "flown", "sold", "joined", "earned", "kpi")})
 ORACLE["p08_incremental_flights"] = ORACLE["p02_clean_flights"]
 sql("p04_route_kpis", "kpi", "SELECT * FROM kpi")
+ORACLE["p09_incremental_kpis"] = ORACLE["p04_route_kpis"]
 sql("p05_route_kpis_extended", "ext", "SELECT * FROM ext")
 _LISTS = {
     "busiest": (_R["r01_busiest"], "TOTAL_FLIGHTS"),

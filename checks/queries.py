@@ -890,6 +890,20 @@ def _(spark, sf):
     return store.merged().cleaned
 
 
+@query("p09_incremental_kpis")
+def _(spark, sf):
+    """The KPI table from sums kept by quarter for each file of flights and of tickets."""
+    store = incremental.RouteStore(
+        spark, tables.staging_path(spark, "sums"), ("YEAR", "QUARTER")
+    )
+    flights = staged(proxy.flights_and_periods, spark, sf)
+    tickets = staged(proxy.tickets, spark, sf)
+    for first in ("A", "N", "R"):
+        store.add_flights(first, flights.where(F.col("OP_CARRIER").startswith(first)))
+        store.add_tickets(first, tickets.where(F.col("REPORTING_CARRIER").startswith(first)))
+    return store.kpis(proxy.airports(spark, sf))
+
+
 @query("p05_route_kpis_extended")
 def _(spark, sf):
     return extended_table(spark, sf)

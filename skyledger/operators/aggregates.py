@@ -48,6 +48,25 @@ def flights_by_direction(df: DataFrame, extra_keys: Sequence[str] = ()) -> DataF
     )
 
 
+def direction_sums(df: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """Sums and counts that ``directions_of`` makes the means of, file by file or all at once."""
+    measures = []
+    for c in FLIGHT_MEANS:
+        x = _number(df, c).cast("double")
+        measures += [F.sum(x).alias(f"{c}_sum"), F.count(x).alias(f"{c}_count")]
+    flights = F.count("TAIL_NUM").alias("TOTAL_FLIGHTS")
+    return _known(df, DIRECTION_KEYS).groupBy(*DIRECTION_KEYS, *extra_keys).agg(*measures, flights)
+
+
+def directions_of(sums: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """``flights_by_direction`` of everything that went into ``sums``, by any of its keys."""
+    keys = [*DIRECTION_KEYS, *extra_keys]
+    mean = lambda c: F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_count"))
+    return _known(sums, keys).groupBy(*keys).agg(
+        *[mean(c).alias(c) for c in FLIGHT_MEANS], F.sum("TOTAL_FLIGHTS").alias("TOTAL_FLIGHTS")
+    )
+
+
 def flights_by_route(
     directions: DataFrame, extra_keys: Sequence[str] = (), weighted: bool = False
 ) -> DataFrame:
@@ -93,6 +112,33 @@ def tickets_by_route(df: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame
     )
 
 
+TICKET_KEYS = ("ROUTE_KEY", "REPORTING_CARRIER")
+
+
+def ticket_sums(df: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """Sums and counts that ``tickets_of`` makes passengers and fares of."""
+    known = _known(df, ["ORIGIN", "DESTINATION", "REPORTING_CARRIER"])
+    fare = _number(df, "ITIN_FARE").cast("double")
+    return (
+        known.withColumn("ROUTE_KEY", symmetric_key(F.col("ORIGIN"), F.col("DESTINATION")))
+        .groupBy(*TICKET_KEYS, *extra_keys)
+        .agg(
+            _total(_number(df, "PASSENGERS")).alias("PASSENGERS"),
+            F.sum(fare).alias("ITIN_FARE_sum"),
+            F.count(fare).alias("ITIN_FARE_count"),
+        )
+    )
+
+
+def tickets_of(sums: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """``tickets_by_route`` of everything that went into ``sums``, by any of its keys."""
+    keys = [*TICKET_KEYS, *extra_keys]
+    return _known(sums, keys).groupBy(*keys).agg(
+        F.sum("PASSENGERS").alias("PASSENGERS"),
+        F.try_divide(F.sum("ITIN_FARE_sum"), F.sum("ITIN_FARE_count")).alias("ITIN_FARE"),
+    )
+
+
 def route_summary(routes: DataFrame) -> DataFrame:
     """Per city pair: profit, mean total delay, passengers, mean round-trip distance."""
     delay = F.col("AVG_DEP_DELAY_MINUTES") + F.col("AVG_ARR_DELAY_MINUTES")

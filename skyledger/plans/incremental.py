@@ -1,116 +1,118 @@
-"""Quality control of tables that grow file by file: what a file tells is worked out once and kept.
-
-A store is a folder with one part for each input file: its converted rows, equal ones once with
-their number, and partial reports (failed conversions, rows and nulls by column). Text is parsed
-when a file is added and never again. The reports on text and nulls are sums of the parts, which
-hold a row for each distinct failure or column. The decisions on the whole table (which columns to
-filter, fill, drop and cap) are taken over the converted rows of all files together, by the same
-steps as for one table, so a merge gives what a run over all files gives, in any order of arrival.
-
-A part is written below a name of its own and takes its place by one small file, written last, so
-a run that stops half-way leaves the store as it was. Adding a name again replaces its part;
-``forget`` takes one out.
+"""Quality control and route KPIs of tables that grow file by file.
+
+What a file tells is worked out once, when it is added, and kept as its part (``sources/parts``).
+
+``QcStore`` keeps a file's converted rows, equal ones once with their number, and partial reports
+(failed conversions, rows and nulls by column). Text is parsed when a file is added and never again.
+The reports on text and nulls are sums of the parts, which hold a row for each distinct failure or
+column. The decisions on the whole table (which columns to filter, fill, drop and cap) are taken
+over the converted rows of all files together, by the same steps as for one table, so a merge gives
+what a run over all files gives, in any order of arrival.
+
+``RouteStore`` keeps the sums and counts of a file's flights by direction, carrier and period, and
+those of its tickets by route, carrier and period. A KPI table, by any of the period columns or
+none, is made of the sums alone: neither flights nor tickets are read again.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skyledger.functions.text import ISO_FORMATS
+from skyledger.operators.aggregates import (
+    direction_sums,
+    directions_of,
+    flights_by_route,
+    ticket_sums,
+    tickets_of,
+)
 from skyledger.operators.cleaning import (
     all_failed,
     convert_audited,
     error_report,
     merged_error_report,
+    to_route_schema,
 )
+from skyledger.operators.joins import enrich_routes
+from skyledger.operators.kpis import add_route_kpis
 from skyledger.operators.quality import copies, merged_null_counts, null_counts
+from skyledger.params import DEFAULT_PARAMS, RouteParams
 from skyledger.plans.qc import QcPlan, QcResult, finish_qc
-from skyledger.sources.tables import drop_table, stage, write_table
+from skyledger.sources.parts import PartStore
+from skyledger.sources.tables import stage
 
-INDEX = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "part")])
 ERRORS = ("errors_before", "errors_after")
 
 
 @dataclass(frozen=True)
-class QcStore:
-    """Parts of one table below ``folder``, which all executors share, under one plan."""
+class QcStore(PartStore):
+    """Parts of one raw table under one plan."""
 
-    spark: SparkSession
-    folder: str
     plan: QcPlan
     formats: Sequence[str] = ISO_FORMATS
     number_ids: Sequence[str] = ()
 
-    def parts(self) -> dict[str, str]:
-        """The folder of each file's part; one short row for each file reaches the driver."""
-        path = f"{self.folder}/index"
-        if not self._exists(path):
-            return {}
-        return {r["name"]: r["part"] for r in self.spark.read.schema(INDEX).parquet(f"{path}/*").collect()}
-
     def add(self, name: str, raw: DataFrame) -> None:
         """Parses one file's rows and keeps what they tell under ``name``."""
         kinds = self.plan.typed_as(self.number_ids)
-        part = f"{self.folder}/parts/{uuid.uuid4().hex}"
         parsed = stage(
             convert_audited(raw.select(*kinds), kinds, self.plan.worded, self.formats), "typed"
         )
-        for report, own in zip(ERRORS, ("_before", "_after")):
-            write_table(error_report(parsed, all_failed("_failed", own)), f"{part}/{report}")
         typed = parsed.select(*kinds)
-        write_table(copies(typed, "_copies"), f"{part}/rows")
-        write_table(null_counts(typed), f"{part}/nulls")
-        self._point(name, part)
-
-    def forget(self, name: str) -> None:
-        """Takes a file out of the table."""
-        old = self.parts().get(name)
-        if old:
-            drop_table(self.spark, self._entry(name))
-            drop_table(self.spark, old)
+        reports = {
+            report: error_report(parsed, all_failed("_failed", own))
+            for report, own in zip(ERRORS, ("_before", "_after"))
+        }
+        self.put(name, {"rows": copies(typed, "_copies"), "nulls": null_counts(typed), **reports})
 
     def merged(
         self, strict: bool = False, numeric_mode: str = "text", exact: bool = True
     ) -> QcResult:
         """Quality control of all files together, from their parts alone."""
         parts = list(self.parts().values())
-        if not parts:
-            raise ValueError(f"no file has been added to {self.folder}")
-        nulls = merged_null_counts(self._read(parts, "nulls"))
+        nulls = merged_null_counts(self.read("nulls", parts))
         gaps = {
             r["column_name"]: r["null_count"]
             for r in nulls.where(F.col("column_name").isin(*self.plan.allowed)).collect()
         }
-        reports = {r: merged_error_report(self._read(parts, r)) for r in ERRORS}
+        reports = {r: merged_error_report(self.read(r, parts)) for r in ERRORS}
         reports["nulls_before"] = nulls.where("null_count > 0").orderBy(
             F.desc("null_pct"), "column_name"
         )
-        rows = self._read(parts, "rows")
+        rows = self.read("rows", parts)
         repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
         typed = repeated.select(*self.plan.typed_as(self.number_ids))
         return finish_qc(typed, gaps, self.plan, reports, strict, numeric_mode, exact)
 
-    def _read(self, parts: Sequence[str], table: str) -> DataFrame:
-        first = self.spark.read.parquet(f"{parts[0]}/{table}")
-        return self.spark.read.schema(first.schema).parquet(*[f"{p}/{table}" for p in parts])
-
-    def _entry(self, name: str) -> str:
-        return f"{self.folder}/index/{name.encode().hex()}"
-
-    def _point(self, name: str, part: str) -> None:
-        old = self.parts().get(name)
-        entry = self.spark.createDataFrame([(name, part)], INDEX)
-        entry.coalesce(1).write.mode("overwrite").parquet(self._entry(name))
-        if old:
-            drop_table(self.spark, old)
 
-    def _exists(self, path: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return files.exists(where) and len(files.listStatus(where)) > 0
+@dataclass(frozen=True)
+class RouteStore(PartStore):
+    """Sums of cleaned flights and tickets, by the columns of ``period`` too."""
+
+    period: Sequence[str] = ()
+
+    def add_flights(self, name: str, flights: DataFrame) -> None:
+        self.put(f"flights {name}", {"flights": direction_sums(flights, self.period)})
+
+    def add_tickets(self, name: str, tickets: DataFrame) -> None:
+        self.put(f"tickets {name}", {"tickets": ticket_sums(tickets, self.period)})
+
+    def kpis(
+        self,
+        airports: DataFrame,
+        params: RouteParams = DEFAULT_PARAMS,
+        period: Sequence[str] = (),
+        weighted: bool = False,
+    ) -> DataFrame:
+        """The KPI table over all files, by ``period``, any of the store's period columns."""
+        if not set(period) <= set(self.period):
+            raise ValueError(f"{list(period)} is more than the store tells apart: {list(self.period)}")
+        parts = list(self.parts().values())
+        directions = directions_of(self.read("flights", parts), period)
+        sold = tickets_of(self.read("tickets", parts), period)
+        routes = enrich_routes(flights_by_route(directions, period, weighted), sold, airports, period)
+        return routes.transform(to_route_schema, period).transform(add_route_kpis, params)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from checks import proxy
 from skyledger.plans import incremental
-from skyledger.plans.incremental import QcStore
+from skyledger.plans.incremental import QcStore, RouteStore
 from skyledger.plans.qc import FLIGHT_PLAN, TICKET_PLAN, run_qc
+from skyledger.plans.routes import route_kpis
 from skyledger.sources.tables import read_raw_csv, write_table
 
 
@@ -87,3 +88,26 @@ def test_empty_files_and_columns_without_a_value(spark, sf, tmp_path):
     alone = QcStore(spark, str(tmp_path / "empty"), TICKET_PLAN)
     alone.add("none", raw.limit(0))
     same(alone.merged(), run_qc(raw.limit(0), TICKET_PLAN))
+
+
+@pytest.mark.parametrize("period", [(), ("YEAR", "QUARTER"), ("YEAR",)])
+def test_kpis_of_stored_sums_equal_a_rebuild(spark, sf, tmp_path, period):
+    flights, tickets = proxy.flights_and_periods(spark, sf), proxy.tickets(spark, sf)
+    airports = proxy.airports(spark, sf)
+    store = RouteStore(spark, str(tmp_path / "sums"), ("YEAR", "QUARTER"))
+    odd = F.hash("ORIGIN") % 2 == 0
+    for name, rows in (("a", odd), ("b", ~odd), ("b", ~odd)):
+        store.add_flights(name, flights.where(rows))
+        store.add_tickets(name, tickets.where(rows))
+    store.add_flights("late", flights.limit(50))
+    store.forget("flights late")
+    got, want = store.kpis(airports, period=period), route_kpis(flights, tickets, airports, period=period)
+    assert got.columns == want.columns and bag(got) == bag(want)
+
+
+def test_sums_know_their_periods(spark, tmp_path):
+    store = RouteStore(spark, str(tmp_path / "sums"), ("YEAR",))
+    with pytest.raises(ValueError, match="QUARTER"):
+        store.kpis(None, period=("QUARTER",))
+    with pytest.raises(ValueError, match="no file of flights"):
+        store.kpis(None)
