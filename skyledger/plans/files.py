@@ -41,7 +41,7 @@ def clean_files(
     results = {}
     for name, path in raw.items():
         results[name] = CLEANERS[name](read_raw_csv(spark, path), **options)
-        write_table(results[name].cleaned, tables.path(name))
+        write_table(results[name].cleaned, tables.path(name), mark_nan=True)
     return results
 
 

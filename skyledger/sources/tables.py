@@ -56,17 +56,20 @@ def read_clean(
     columns: Sequence[str],
     fmt: str = "parquet",
     types: Mapping[str, str] | None = None,
-    nan_as_null: bool = True,
+    nan_as_null: bool | None = None,
 ) -> DataFrame:
     """A cleaned table with the named columns only; the projection reaches the scan.
 
     CSV holds no types: ``types`` names those of its columns that are not text. A cell that
     does not convert is null, and so is NaN. Filters on floating columns reach a Parquet scan
-    only with ``nan_as_null=False``, for tables known to hold no NaN.
+    only where no NaN can be met: in tables that ``write_table`` has marked, or with
+    ``nan_as_null=False``.
     """
+    files = [path] if isinstance(path, str) else path
+    if nan_as_null is None:
+        nan_as_null = fmt != "parquet" or not all(is_nan_free(spark, f) for f in files)
     clean = nulls_for_nan if nan_as_null else lambda df: df
     if fmt == "parquet":
-        files = [path] if isinstance(path, str) else path
         return clean(spark.read.parquet(*files).select(*columns))
     if fmt != "csv":
         raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
@@ -75,10 +78,36 @@ def read_clean(
     return clean(text.withColumns({c: F.col(c).try_cast(t) for c, t in wanted.items()}))
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrite ``path`` with Parquet, or CSV with a header."""
+#: A file of this name in a table's folder says that none of its cells is NaN. Spark skips it.
+NAN_FREE = "_nan_free"
+
+
+def _file(spark: SparkSession, path: str):
+    """A path and the file system that keeps it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def is_nan_free(spark: SparkSession, path: str) -> bool:
+    where, files = _file(spark, f"{path}/{NAN_FREE}")
+    return files.exists(where)
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mark_nan: bool = False) -> None:
+    """Overwrite ``path`` with Parquet, or CSV with a header.
+
+    ``mark_nan`` counts NaN while the rows are written, and marks a Parquet table without any.
+    """
     if fmt == "parquet":
-        df.write.mode("overwrite").parquet(path)
+        floats = [
+            f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+        ]
+        seen = Observation() if mark_nan and floats else None
+        nans = [F.count_if(F.isnan(F.col(f"`{c}`"))).alias(f"n{i}") for i, c in enumerate(floats)]
+        (df.observe(seen, *nans) if seen else df).write.mode("overwrite").parquet(path)
+        if mark_nan and not (seen and any(seen.get.values())):
+            where, files = _file(df.sparkSession, f"{path}/{NAN_FREE}")
+            files.create(where, True).close()
     elif fmt == "csv":
         (
             df.write.mode("overwrite")
@@ -132,8 +161,8 @@ def staging(spark: SparkSession) -> Iterator[None]:
 
 def drop_table(spark: SparkSession, path: str) -> None:
     """Removes a written table, wherever Spark's file systems keep it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    folder, files = _file(spark, path)
+    files.delete(folder, True)
 
 
 def owned_path(spark: SparkSession, name: str) -> str:

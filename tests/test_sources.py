@@ -111,3 +111,25 @@ def test_nan_of_both_formats_is_missing_once_read(spark, tmp_path):
         tables.write_table(df, path, fmt)
         back = tables.read_clean(spark, path, ["id", "x"], fmt, {"id": "int", "x": "double"})
         assert tuple(back.selectExpr("count(x)", "avg(x)").first()) == (2, 3.0)
+
+
+def test_tables_without_nan_are_marked(spark, tmp_path):
+    """Filters on floats then reach the scan by default; a table with NaN, or a new one, does not."""
+    rows = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.5, None)], "x double, s string")
+    nan = spark.createDataFrame([(float("nan"), "a")], "x double, s string")
+    path = str(tmp_path / "t")
+
+    def pushed():
+        plan = tables.read_clean(spark, path, ["x"]).where("x > 2")
+        return "GreaterThan(x,2.0)" in plan._jdf.queryExecution().toString()
+
+    tables.write_table(rows, path, mark_nan=True)
+    assert tables.is_nan_free(spark, path) and pushed()
+    assert tables.read_clean(spark, path, ["x"]).where("x > 2").count() == 1
+    tables.write_table(nan, path, mark_nan=True)
+    assert not tables.is_nan_free(spark, path) and not pushed()
+    assert tables.read_clean(spark, path, ["x"]).where("x is null").count() == 1
+    tables.write_table(rows.select("s"), path, mark_nan=True)
+    assert tables.is_nan_free(spark, path)
+    tables.write_table(nan, path)
+    assert not tables.is_nan_free(spark, path)
