@@ -8,31 +8,42 @@ tiles is its coverage; a document is contaminated if any item reaches ``COVERAGE
 tokens or more. A shorter item has to be there whole; one of fewer than ``MATCH`` tokens, such as
 a common word, must also make up ``COVERAGE`` of the document. ``short_items`` lists those.
 
-The items are read in blocks of bounded size (``BLOCK_BYTES``): one block is broadcast to a pass over
-all documents, and more blocks mean more passes. Documents are never shuffled.
-
-Null and empty items match nothing; null and empty documents hold nothing. Repeated items and rows each get rows of their own. Further
+Steps, all of them Spark jobs; neither items nor documents reach the driver:
+
+1. ``item_seeds``: distinct items and their seeds, written down.
+2. ``seed_filter``: a bitmap of seed hashes, ``FILTER_BITS`` at most, the only thing broadcast.
+3. ``text_seeds``: a pass over the documents leaves the seeds that the bitmap knows, with their
+   places, one row for equal texts. What the bitmap lets through by chance finds no partner later.
+4. ``candidates``: a join on seeds. An item asks only for its rarest ones: the others together
+   cover too little of it, so a document that covers enough holds a rare one. Seeds that a third of
+   all documents share are thus left out wherever they do not decide.
+5. ``tiled``: each pair that met is tiled from places and seeds; no text is shuffled.
+
+Null and empty items match nothing; null and empty documents hold nothing. Repeated items and rows
+each get rows of their own, though equal texts are tiled once. Very long texts are read whole. Further
 columns pass through; those named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.frames import add_columns, set_aside
-from skyledger.llm.words import IS_SPACE, Words, inside_doc, rolled
+from skyledger.llm.frames import add_columns, map_texts, set_aside
+from skyledger.llm.words import IS_SPACE, Words, inside_doc, mix, rolled
 from skyledger.sources.tables import stage
 
 MATCH = 5
 COVERAGE = 0.5
 EVIDENCE = 8
-BLOCK_BYTES = 32 << 20
+#: Bits of the broadcast filter: 16 for each seed, 8 MB in all at most.
+FILTER_BITS = 26
 
 SEPARATORS = IS_SPACE.copy()
 SEPARATORS[:128] = [not chr(i).isalnum() for i in range(128)]
@@ -45,77 +56,19 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes(), words.first
 
 
-class Items:
-    """Test items and their seeds, by seed length."""
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Seeds of ``n`` tokens; those of different lengths differ."""
+    return mix(rolled(hashes, n) ^ np.uint64(n))
 
-    def __init__(self, ids: list, texts: list[bytes], match: int = MATCH):
-        hashes, first = tokens(texts)
-        self.ids, self.match = ids, match
-        self.tokens = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n in sorted({min(match, len(t)) for t in self.tokens if len(t)}):
-            own = [i for i, t in enumerate(self.tokens) if min(match, len(t)) == n]
-            value = np.concatenate([rolled(self.tokens[i], n) for i in own])
-            item = np.repeat(own, [len(self.tokens[i]) - n + 1 for i in own])
-            place = np.concatenate([np.arange(len(self.tokens[i]) - n + 1) for i in own])
-            order = np.argsort(value, kind="stable")
-            self.seeds[n] = value[order], item[order], place[order]
-
-    def hits(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """For each seed length: token in the texts, item, and token in the item."""
-        for n, (value, item, place) in self.seeds.items():
-            begin = np.flatnonzero(inside_doc(first, n, len(hashes)))
-            grams = rolled(hashes, n)[begin]
-            low = np.searchsorted(value, grams, "left")
-            known = np.flatnonzero(value[np.minimum(low, len(value) - 1)] == grams)
-            begin, grams, low = begin[known], grams[known], low[known]
-            size = np.searchsorted(value, grams, "right") - low
-            at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-            yield n, np.repeat(begin, size), item[at], place[at]
-
-    def tilings(
-        self, texts: list[bytes], least: float, evidence: int = 0
-    ) -> list[list[dict]]:
-        """Items covered to ``least`` or more, for each text.
-
-        Of items of ``match`` tokens or more, ``evidence`` tokens count at least, or all; shorter
-        ones count in texts of which they are a share of ``least``.
-        """
-        hashes, first = tokens(texts)
-        out: list[list[dict]] = [[] for _ in texts]
-        if not len(hashes):
-            return out
-        for n, begin, item, place in self.hits(hashes, first):
-            if not len(begin):
-                continue
-            doc = np.searchsorted(first, begin, side="right") - 1
-            order = np.lexsort((place, begin, item, doc))
-            doc, item, begin, place = doc[order], item[order], begin[order], place[order]
-            new = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
-            edges = np.concatenate([[0], new, [len(doc)]])
-            for a, b in zip(edges[:-1], edges[1:]):
-                d, i = int(doc[a]), int(item[a])
-                size = len(self.tokens[i])
-                need = max(least * size, min(size, evidence))
-                if size < self.match:
-                    need = max(need, least * int(first[d + 1] - first[d]))
-                if size < need or _reach(place[a:b], n, size) < need:
-                    continue
-                tiles = tile(begin[a:b] - first[d], place[a:b], n)
-                matched = sum(t[2] for t in tiles)
-                if matched >= need:
-                    out[d].append(
-                        {
-                            "item_id": self.ids[i],
-                            "item_tokens": size,
-                            "matched": matched,
-                            "tiles": len(tiles),
-                            "longest": max(t[2] for t in tiles),
-                        }
-                    )
-        for found in out:
-            found.sort(key=lambda x: (x["item_id"] is None, x["item_id"]))
-        return out
+
+def wanted(size: int, least: float, evidence: int, match: int, length: int = 0) -> float:
+    """Tokens of an item that have to be covered.
+
+    Of items of ``match`` tokens or more, ``evidence`` tokens count at least, or all; shorter
+    ones count in texts, of ``length`` tokens, of which they are a share of ``least``.
+    """
+    need = max(least * size, min(size, evidence))
+    return max(need, least * length) if size < match else need
 
 
 def _reach(place: np.ndarray, n: int, size: int) -> int:
@@ -160,24 +113,199 @@ def tile(left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int, in
     return tiles
 
 
-def item_blocks(
-    items: DataFrame, id_col: str, text: str, block_bytes: int = BLOCK_BYTES
-) -> Iterator[tuple[list, list[bytes]]]:
-    """The items, some MB at a time."""
-    rows = items.select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")
-    ).filter("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = -(-2 * total // block_bytes) or 1 if total > block_bytes else 1
-    for block in range(blocks):
-        own = rows
-        if blocks > 1:
-            own = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
-        got = own.collect()
-        yield [r.id for r in got], [r.text.encode() for r in got]
+def _key(text: Column) -> Column:
+    """What equal texts share."""
+    return F.md5(text.cast("binary"))
+
+
+def item_seeds(items: DataFrame, match: int = MATCH) -> DataFrame:
+    """Key, tokens, seed length and seeds in order, for each distinct text of column ``text``."""
+
+    def compute(batch: pa.RecordBatch, texts: list[bytes]) -> dict[str, list]:
+        hashes, first = tokens(texts)
+        sizes = np.diff(first)
+        own = np.flatnonzero(sizes)
+        lengths = np.minimum(sizes[own], match)
+        return {
+            "item_key": batch.column("item_key").take(pa.array(own)).to_pylist(),
+            "item_tokens": sizes[own],
+            "n": lengths,
+            "item_seeds": [
+                grams(hashes[first[i] : first[i + 1]], int(n)).view(np.int64)
+                for i, n in zip(own, lengths)
+            ],
+        }
+
+    texts = items.select(_key(F.col("text")).alias("item_key"), "text").dropDuplicates(["item_key"])
+    return map_texts(
+        texts, "text", "item_key string, item_tokens int, n int, item_seeds array<long>", compute
+    )
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A bitmap of the seeds' leading bits, at most ``FILTER_BITS`` wide however many they are."""
+    total = seeds.agg(F.sum(F.size("item_seeds"))).first()[0] or 1
+    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(16 * total))))
+    words = (
+        seeds.select(F.explode("item_seeds").alias("seed"))
+        .select(F.shiftrightunsigned("seed", 64 - bits).alias("slot"))
+        .groupBy(F.shiftright("slot", 6).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask"))
+        .toArrow()
+    )
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def text_seeds(texts: DataFrame, known: np.ndarray, lengths: list[int]) -> DataFrame:
+    """For each distinct text with any seed that ``known`` holds: its tokens, the seeds, and the
+    tokens that they begin at."""
+    held = texts.sparkSession.sparkContext.broadcast(known)
+
+    def compute(batch: pa.RecordBatch, bodies: list[bytes]) -> dict[str, list]:
+        bitmap = held.value
+        unused = np.uint64(64 - 6 - (len(bitmap).bit_length() - 1))
+        hashes, first = tokens(bodies)
+        places, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for n in lengths:
+            if n > len(hashes):
+                continue
+            begin = np.flatnonzero(inside_doc(first, n, len(hashes)))
+            value = grams(hashes, n)[begin]
+            slot = value >> unused
+            met = bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
+            places.append(begin[met])
+            seeds.append(value[met])
+        place, seed = np.concatenate(places), np.concatenate(seeds).view(np.int64)
+        doc = np.searchsorted(first, place, side="right") - 1
+        order = np.argsort(doc, kind="stable")
+        doc, place, seed = doc[order], place[order], seed[order]
+        own, starts = np.unique(doc, return_index=True)
+        edges = list(zip(starts, [*starts[1:], len(doc)]))
+        return {
+            "key": batch.column("key").take(pa.array(own)).to_pylist(),
+            "text_tokens": np.diff(first)[own],
+            "places": [place[a:b] - first[d] for d, (a, b) in zip(own, edges)],
+            "seeds": [seed[a:b] for a, b in edges],
+        }
+
+    ddl = "key string, text_tokens long, places array<long>, seeds array<long>"
+    keyed = texts.select(_key(F.col("text")).alias("key"), "text")
+    same = [F.first(c).alias(c) for c in ("text_tokens", "places", "seeds")]
+    return map_texts(keyed, "text", ddl, compute).groupBy("key").agg(*same)
+
+
+def rarest(
+    place: np.ndarray, seed: np.ndarray, docs: np.ndarray, size: int, n: int, need: float
+) -> np.ndarray:
+    """Seeds of an item of which a text that covers ``need`` of its tokens holds one at least.
+
+    The most frequent seeds are left out as long as all of them together cover less than that.
+    ``place`` holds where the seeds that any text has begin, ``docs`` how many texts have each.
+    """
+    order = np.lexsort((seed, -docs))
+    rank = np.empty(len(seed), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[0], np.diff(seed[order]) != 0]))
+    covered = np.full(size, len(seed))  # by the most frequent seed around each token
+    for x in range(n):
+        np.minimum.at(covered, place + x, rank)
+    ranks = np.sort(covered[covered < len(seed)])
+    if len(ranks) < need:
+        return seed[:0]
+    return np.unique(seed[rank >= (ranks[math.ceil(need) - 1] if need > 0 else 0)])
+
+
+def candidates(
+    texts: DataFrame, seeds: DataFrame, least: float, match: int, evidence: int
+) -> DataFrame:
+    """Keys of texts and items that share one of the item's rarest seeds."""
+    held = texts.select("key", F.explode(F.array_distinct("seeds")).alias("seed"))
+    asked = seeds.select(
+        "item_key", "item_tokens", "n", F.posexplode("item_seeds").alias("place", "seed")
+    )
+    counted = asked.join(held.groupBy("seed").agg(F.count("*").alias("docs")), "seed")
+
+    def rare(rows: pd.DataFrame) -> pd.DataFrame:
+        size, n = int(rows["item_tokens"].iloc[0]), int(rows["n"].iloc[0])
+        columns = (rows[c].to_numpy() for c in ("place", "seed", "docs"))
+        chosen = rarest(*columns, size, n, wanted(size, least, evidence, match))
+        return pd.DataFrame({"item_key": rows["item_key"].iloc[0], "seed": chosen})
+
+    asking = counted.groupBy("item_key").applyInPandas(rare, "item_key string, seed long")
+    return held.join(asking, "seed").select("key", "item_key").distinct()
+
+
+def pair_tiles(
+    places: np.ndarray, seeds: np.ndarray, item: np.ndarray, n: int, size: int, need: float
+) -> list[tuple[int, int, int]]:
+    """Tiles of a text, given by its seeds, and an item; none where seeds cover too little."""
+    if size < need:
+        return []
+    order = np.argsort(item, kind="stable")
+    value = item[order]
+    low = np.searchsorted(value, seeds, "left")
+    count = np.searchsorted(value, seeds, "right") - low
+    if _reach(np.flatnonzero(np.isin(item, seeds)), n, size) < need or not count.any():
+        return []
+    at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return tile(np.repeat(places, count), order[at], n)
+
+
+FIGURES = "key string, item_key string, item_tokens long, matched long, tiles long, longest long"
+
+
+def tiled(pairs: DataFrame, least: float, match: int, evidence: int) -> DataFrame:
+    """``FIGURES`` of the pairs that are covered enough."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                r = {c: batch.column(c)[row] for c in batch.schema.names}
+                arrays = [r[c].values.to_numpy() for c in ("places", "seeds", "item_seeds")]
+                n, size = r["n"].as_py(), r["item_tokens"].as_py()
+                need = wanted(size, least, evidence, match, r["text_tokens"].as_py())
+                sizes = [t[2] for t in pair_tiles(*arrays, n, size, need)]
+                if sizes and sum(sizes) >= need:
+                    keys = [[r["key"].as_py()], [r["item_key"].as_py()]]
+                    figures = [[size], [sum(sizes)], [len(sizes)], [max(sizes)]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(k, pa.string()) for k in keys),
+                         *(pa.array(f, pa.int64()) for f in figures)],
+                        names=FIGURE_NAMES,
+                    )
+
+    return pairs.mapInArrow(run, FIGURES)
+
+
+FIGURE_NAMES = ["key", "item_key", "item_tokens", "matched", "tiles", "longest"]
+
+
+def contaminated(
+    texts: DataFrame,
+    items: DataFrame,
+    least: float = COVERAGE,
+    match: int = MATCH,
+    evidence: int = EVIDENCE,
+) -> DataFrame:
+    """``FIGURES`` for distinct texts and items, each in column ``text``, written down."""
+    asked = stage(item_seeds(items.filter("text is not null"), match), "items")
+    lengths = sorted(r.n for r in asked.select("n").distinct().collect())  # at most ``match``
+    met = stage(text_seeds(texts.filter("text is not null"), seed_filter(asked), lengths), "seeds")
+    pairs = candidates(met, asked, least, match, evidence)
+    return stage(
+        tiled(pairs.join(met, "key").join(asked, "item_key"), least, match, evidence), "tiled"
+    )
+
+
+def _texts(df: DataFrame, text: str) -> DataFrame:
+    return df.select(F.col(f"`{text}`").cast("string").alias("text"))
 
 
-TILING = "array<struct<item_id:long,item_tokens:long,matched:long,tiles:long,longest:long>>"
+def _item_ids(items: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Ids of the items by key."""
+    ids = F.col(f"`{id_col}`").cast("long").alias("item_id")
+    return items.select(_key(F.col(f"`{text}`").cast("string")).alias("item_key"), ids)
 
 
 def with_tilings(
@@ -188,24 +316,27 @@ def with_tilings(
     item_text: str = "text",
     least: float = COVERAGE,
     match: int = MATCH,
-    block_bytes: int = BLOCK_BYTES,
     evidence: int = EVIDENCE,
 ) -> DataFrame:
-    """``docs`` with ``tilings``: the items each covers to ``least``, in order of their ids."""
-    spark, out = docs.sparkSession, docs
-    parts = []
-    for n, (ids, texts) in enumerate(item_blocks(items, item_id, item_text, block_bytes)):
-        held = spark.sparkContext.broadcast(Items(ids, texts, match))
-
-        def compute(_: pa.RecordBatch, bodies: list[bytes], held=held, name=f"__tilings{n}"):
-            return {name: held.value.tilings(bodies, least, evidence)}
-
-        if parts:  # one block at a time is live: what the last one gave is written down first
-            out = stage(out, "tilings")
-        parts.append(f"__tilings{n}")
-        out = add_columns(out, text, f"{parts[-1]} {TILING}", compute)
-    every = F.array_sort(F.flatten(F.array(*parts))) if len(parts) > 1 else F.col(parts[0])
-    return out.withColumn("tilings", every).drop(*parts)
+    """``docs`` with ``tilings``: the items each covers to ``least``, in order of their ids,
+    null last."""
+    found = contaminated(_texts(docs, text), _texts(items, item_text), least, match, evidence)
+    tiling = ["item_id", "item_tokens", "matched", "tiles", "longest"]
+    sorted_by = F.struct(F.col("item_id").isNull().alias("last"), *tiling)
+    every = F.transform(
+        F.array_sort(F.collect_list(sorted_by)), lambda t: F.struct(*[t[c].alias(c) for c in tiling])
+    )
+    held = (
+        found.join(_item_ids(items, item_id, item_text), "item_key")
+        .groupBy("key").agg(every.alias("tilings"))
+    )
+    names = docs.columns
+    plain, _ = set_aside(docs, [])
+    body = F.col(f"`{plain.columns[names.index(text)]}`").cast("string")
+    joined = plain.withColumn("key", _key(body)).join(held, "key", "left")
+    kept = [F.col(f"`{p}`").alias(c) for p, c in zip(plain.columns, names) if c.lower() != "tilings"]
+    none = F.array().cast(held.schema["tilings"].dataType)
+    return joined.select(*kept, F.coalesce("tilings", none).alias("tilings"))
 
 
 def short_items(
@@ -222,11 +353,17 @@ def short_items(
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A row for each document and item that it covers enough of."""
-    found = with_tilings(docs, items).filter(F.size("tilings") > 0)
-    return found.select(id_col, F.explode("tilings").alias("t")).select(id_col, "t.*")
+    found = contaminated(_texts(docs, "text"), _texts(items, "text"))
+    ids = docs.select(F.col(f"`{id_col}`"), _key(F.col("text").cast("string")).alias("key"))
+    named = found.join(_item_ids(items, "item_id", "text"), "item_key")
+    return ids.join(named, "key").select(
+        f"`{id_col}`", "item_id", "item_tokens", "matched", "tiles", "longest"
+    )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that cover no item enough, with the columns they came with."""
     plain, restored = set_aside(docs, [text])
-    return restored(with_tilings(plain, items, text).filter(F.size("tilings") == 0))
+    found = contaminated(_texts(docs, text), _texts(items, "text")).select("key").distinct()
+    keyed = plain.withColumn("~key", _key(F.col(f"`{text}`").cast("string")))
+    return restored(keyed.join(found, F.col("~key") == F.col("key"), "left_anti"))

@@ -38,6 +38,26 @@ def brute_tiles(doc, item, n=5):
         tiles.append(best)
 
 
+def tilings(texts, item, least):
+    """Figures of one item in each text, by the seeds of both."""
+    item_hashes, _ = dc.tokens([item])
+    size = len(item_hashes)
+    n = min(dc.MATCH, size)
+    out = []
+    for text in texts:
+        hashes, _ = dc.tokens([text])
+        places = np.arange(max(0, len(hashes) - n + 1))
+        seeds = [x.view(np.int64)[: max(0, y)] for x, y in (
+            (dc.grams(hashes, n), len(hashes) - n + 1), (dc.grams(item_hashes, n), size - n + 1)
+        )]
+        found = [t[2] for t in dc.pair_tiles(places, *seeds, n, size, least * size)]
+        out.append(
+            [{"item_id": 1, "item_tokens": size, "matched": sum(found), "tiles": len(found),
+              "longest": max(found)}] if found else []
+        )
+    return out
+
+
 def test_tiles_equal_brute_force():
     rng = random.Random(2)
     for _ in range(60):
@@ -46,9 +66,8 @@ def test_tiles_equal_brute_force():
         at = rng.randrange(len(item))
         doc = doc + item[at:] + doc[:7] + item[:at]
         texts = [" ".join(doc).encode()]
-        items = dc.Items([1], [" ".join(item).encode()])
         want = brute_tiles(doc, item)
-        got = items.tilings(texts, 0.0)[0]
+        got = tilings(texts, " ".join(item).encode(), 0.0)[0]
         if not want:
             assert not got
             continue
@@ -104,8 +123,8 @@ def test_whole_tables_against_brute_force(spark):
     hit = {r[0] for r in want}
     assert {i for i in range(20) if i % 5 < 3} <= hit
     assert not {i for i in range(20) if i % 5 > 2} & hit
-    blocks = dc.with_tilings(a, b, block_bytes=900).filter("size(tilings) > 0")
-    assert sum(len(r.tilings) for r in blocks.collect()) == len(want)
+    held = dc.with_tilings(a, b).filter("size(tilings) > 0")
+    assert sum(len(r.tilings) for r in held.collect()) == len(want)
     clean = dc.decontaminate(a, b)
     assert sorted(r.doc_id for r in clean.collect()) == [i for i in range(20) if i % 5 > 2] + [101, 102]
 
@@ -122,8 +141,7 @@ def test_odd_and_empty_tables(odd, nothing, spark):
 
 def test_repeated_passages_cost_little():
     item = " ".join(f"a{i}" for i in range(40))
-    items = dc.Items([1], [item.encode()])
-    got = items.tilings([(" ".join([item] * 2000)).encode()], 0.5)[0]
+    got = tilings([(" ".join([item] * 2000)).encode()], item.encode(), 0.5)[0]
     assert got == [{"item_id": 1, "item_tokens": 40, "matched": 40, "tiles": 1, "longest": 40}]
     assert np.array_equal(dc.tokens([b"", b"x"])[1], [0, 0, 1])
 
@@ -168,3 +186,56 @@ def test_short_items_leave_clean_documents(spark):
     assert sorted(left) == list(range(len(clean)))
     short = {r.item_id: r.item_tokens for r in dc.short_items(b).collect()}
     assert short == {1: 1, 2: 1, 5: 4, 6: 0, 7: 0}
+
+
+def test_rarest_seeds_miss_no_text_that_covers_enough():
+    rng = random.Random(9)
+    for _ in range(300):
+        n, size = rng.randrange(1, 5), rng.randrange(5, 30)
+        values = [rng.randrange(12) for _ in range(size - n + 1)]
+        texts = [set(rng.sample(range(12), rng.randrange(0, 12))) for _ in range(20)]
+        docs = {v: sum(v in t for t in texts) for v in values}
+        place = [i for i, v in enumerate(values) if docs[v]]
+        need = rng.randrange(0, size + 1)
+        chosen = dc.rarest(
+            np.array(place, int), np.array([values[i] for i in place], int),
+            np.array([docs[values[i]] for i in place], int), size, n, need,
+        )
+        for text in texts:
+            covered = {i + x for i, v in enumerate(values) if v in text for x in range(n)}
+            if covered and len(covered) >= need:
+                assert text & set(chosen.tolist())
+
+
+def test_common_passages_and_many_copies(spark):
+    rng = random.Random(12)
+    common = " ".join(f"answer{i}" for i in range(9))
+    items = [(i, common + " " + " ".join(words(rng, 30, 5000))) for i in range(40)]
+    items += [(100 + i, items[0][1]) for i in range(50)]
+    docs = [(i, common + " " + " ".join(words(rng, 60, 5000))) for i in range(200)]
+    docs += [(1000 + i, items[0][1] + " tail") for i in range(100)]
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = dc.contamination(a, b).collect()
+    assert len(got) == 100 * 51 and {r.doc_id for r in got} == {1000 + i for i in range(100)}
+    assert dc.decontaminate(a, b).count() == 200
+    asked = dc.item_seeds(b.select("text"))
+    assert asked.count() == 40
+    met = dc.text_seeds(a.select("text"), dc.seed_filter(asked), [5])
+    pairs = dc.candidates(met, asked, dc.COVERAGE, dc.MATCH, dc.EVIDENCE)
+    assert pairs.count() == 1  # the passage that all share brings no pair together
+
+
+def test_long_repeats_and_clashing_names(spark):
+    item = " ".join(["tick"] * 60 + ["tock"] * 8)
+    rows = [(1, " ".join(["tick"] * 30_000), 5, 0.5), (2, item, 6, None), (3, None, 7, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, tilings double")
+    items = spark.createDataFrame([(1, item), (2, "none of it is here at all today")], "item_id long, text string")
+    want = [(1, 60, 1), (2, 68, 1)]
+    got = sorted((r.doc_id, r.matched, r.tiles) for r in dc.contamination(docs, items).collect())
+    assert got == want
+    held = dc.with_tilings(docs, items)
+    assert held.columns == ["doc_id", "text", "key", "tilings"]
+    assert sorted(len(r.tilings) for r in held.collect()) == [0, 1, 1]
+    kept = dc.decontaminate(docs, items).collect()
+    assert [tuple(r) for r in kept] == [rows[2]]
