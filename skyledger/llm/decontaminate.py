@@ -11,9 +11,9 @@ a common word, must also make up ``COVERAGE`` of the document. ``short_items`` l
 Steps, all of them Spark jobs; neither items nor documents reach the driver:
 
 1. ``item_seeds``: distinct items and their seeds, written down.
-2. ``seed_filter``: a bitmap of seed hashes, ``FILTER_BITS`` at most, the only thing broadcast.
+2. ``seed_filter``: a bitmap of seed hashes, of 2 ** ``FILTER_BITS`` bits at most, the only thing broadcast.
 3. ``text_seeds``: a pass over the documents leaves the seeds that the bitmap knows, with their
-   places, one row for equal texts. What the bitmap lets through by chance finds no partner later.
+   places, once for equal texts. What the bitmap lets through by chance finds no partner later.
 4. ``candidates``: a join on seeds. An item asks only for its rarest ones: the others together
    cover too little of it, so a document that covers enough holds a rare one. Seeds that a third of
    all documents share are thus left out wherever they do not decide.
@@ -42,7 +42,8 @@ from skyledger.sources.tables import stage
 MATCH = 5
 COVERAGE = 0.5
 EVIDENCE = 8
-#: Bits of the broadcast filter: 16 for each seed, 8 MB in all at most.
+#: Bits of the broadcast filter for each seed, as long as all together are 2 ** 26 (8 MB) at most.
+FILTER_ROOM = 1024
 FILTER_BITS = 26
 
 SEPARATORS = IS_SPACE.copy()
@@ -118,37 +119,53 @@ def _key(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
+def by_seed(
+    text: np.ndarray, place: np.ndarray, seed: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Text and seed of each pair of the two, and its places in order."""
+    order = np.lexsort((place, seed, text))
+    text, place, seed = text[order], place[order], seed[order].view(np.int64)
+    new = (np.diff(text) != 0) | (np.diff(seed) != 0)
+    begin = np.flatnonzero(np.concatenate([[True], new])) if len(text) else np.zeros(0, np.int64)
+    places = pa.ListArray.from_arrays(
+        pa.array(np.append(begin, len(place)), pa.int32()), pa.array(place, pa.int32())
+    )
+    return text[begin], seed[begin], places
+
+
 def item_seeds(items: DataFrame, match: int = MATCH) -> DataFrame:
-    """Key, tokens, seed length and seeds in order, for each distinct text of column ``text``."""
+    """Seeds of each distinct text of column ``text`` and the tokens that they begin at, with its
+    key, its tokens and the length of its seeds."""
 
     def compute(batch: pa.RecordBatch, texts: list[bytes]) -> dict[str, list]:
         hashes, first = tokens(texts)
         sizes = np.diff(first)
-        own = np.flatnonzero(sizes)
-        lengths = np.minimum(sizes[own], match)
+        own, place, value = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.uint64))
+        for i in np.flatnonzero(sizes):
+            n = min(int(sizes[i]), match)
+            value.append(grams(hashes[first[i] : first[i + 1]], n))
+            place.append(np.arange(len(value[-1])))
+            own.append(np.full(len(value[-1]), i))
+        text, seed, places = by_seed(*(np.concatenate(x) for x in (own, place, value)))
         return {
-            "item_key": batch.column("item_key").take(pa.array(own)).to_pylist(),
-            "item_tokens": sizes[own],
-            "n": lengths,
-            "item_seeds": [
-                grams(hashes[first[i] : first[i + 1]], int(n)).view(np.int64)
-                for i, n in zip(own, lengths)
-            ],
+            "item_key": batch.column("item_key").take(pa.array(text)),
+            "item_tokens": sizes[text],
+            "n": np.minimum(sizes[text], match),
+            "seed": seed,
+            "item_places": places,
         }
 
     texts = items.select(_key(F.col("text")).alias("item_key"), "text").dropDuplicates(["item_key"])
-    return map_texts(
-        texts, "text", "item_key string, item_tokens int, n int, item_seeds array<long>", compute
-    )
+    ddl = "item_key string, item_tokens int, n int, seed long, item_places array<int>"
+    return map_texts(texts, "text", ddl, compute)
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """A bitmap of the seeds' leading bits, at most ``FILTER_BITS`` wide however many they are."""
-    total = seeds.agg(F.sum(F.size("item_seeds"))).first()[0] or 1
-    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(16 * total))))
+    """A bitmap of the seeds' leading bits, 2 ** ``FILTER_BITS`` long at most however many they are."""
+    total = max(1, seeds.count())
+    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(FILTER_ROOM * total))))
     words = (
-        seeds.select(F.explode("item_seeds").alias("seed"))
-        .select(F.shiftrightunsigned("seed", 64 - bits).alias("slot"))
+        seeds.select(F.shiftrightunsigned("seed", 64 - bits).alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask"))
         .toArrow()
@@ -159,8 +176,7 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
 
 
 def text_seeds(texts: DataFrame, known: np.ndarray, lengths: list[int]) -> DataFrame:
-    """For each distinct text with any seed that ``known`` holds: its tokens, the seeds, and the
-    tokens that they begin at."""
+    """Seeds of each distinct text that ``known`` holds, and the tokens that they begin at."""
     held = texts.sparkSession.sparkContext.broadcast(known)
 
     def compute(batch: pa.RecordBatch, bodies: list[bytes]) -> dict[str, list]:
@@ -177,23 +193,20 @@ def text_seeds(texts: DataFrame, known: np.ndarray, lengths: list[int]) -> DataF
             met = bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
             places.append(begin[met])
             seeds.append(value[met])
-        place, seed = np.concatenate(places), np.concatenate(seeds).view(np.int64)
-        doc = np.searchsorted(first, place, side="right") - 1
-        order = np.argsort(doc, kind="stable")
-        doc, place, seed = doc[order], place[order], seed[order]
-        own, starts = np.unique(doc, return_index=True)
-        edges = list(zip(starts, [*starts[1:], len(doc)]))
+        place = np.concatenate(places)
+        text = np.searchsorted(first, place, side="right") - 1
+        text, seed, places = by_seed(text, place - first[text], np.concatenate(seeds))
         return {
-            "key": batch.column("key").take(pa.array(own)).to_pylist(),
-            "text_tokens": np.diff(first)[own],
-            "places": [place[a:b] - first[d] for d, (a, b) in zip(own, edges)],
-            "seeds": [seed[a:b] for a, b in edges],
+            "key": batch.column("key").take(pa.array(text)),
+            "text_tokens": np.diff(first)[text],
+            "seed": seed,
+            "places": places,
         }
 
-    ddl = "key string, text_tokens long, places array<long>, seeds array<long>"
     keyed = texts.select(_key(F.col("text")).alias("key"), "text")
-    same = [F.first(c).alias(c) for c in ("text_tokens", "places", "seeds")]
-    return map_texts(keyed, "text", ddl, compute).groupBy("key").agg(*same)
+    same = [F.first(c).alias(c) for c in ("text_tokens", "places")]
+    found = map_texts(keyed, "text", "key string, text_tokens int, seed long, places array<int>", compute)
+    return found.groupBy("key", "seed").agg(*same)
 
 
 def rarest(
@@ -220,16 +233,15 @@ def candidates(
     texts: DataFrame, seeds: DataFrame, least: float, match: int, evidence: int
 ) -> DataFrame:
     """Keys of texts and items that share one of the item's rarest seeds."""
-    held = texts.select("key", F.explode(F.array_distinct("seeds")).alias("seed"))
-    asked = seeds.select(
-        "item_key", "item_tokens", "n", F.posexplode("item_seeds").alias("place", "seed")
-    )
-    counted = asked.join(held.groupBy("seed").agg(F.count("*").alias("docs")), "seed")
+    held = texts.select("key", "seed")
+    counted = seeds.join(held.groupBy("seed").agg(F.count("*").alias("docs")), "seed")
 
     def rare(rows: pd.DataFrame) -> pd.DataFrame:
         size, n = int(rows["item_tokens"].iloc[0]), int(rows["n"].iloc[0])
-        columns = (rows[c].to_numpy() for c in ("place", "seed", "docs"))
-        chosen = rarest(*columns, size, n, wanted(size, least, evidence, match))
+        times = rows["item_places"].map(len).to_numpy()
+        place = np.concatenate(rows["item_places"].to_list())
+        seed, docs = (np.repeat(rows[c].to_numpy(), times) for c in ("seed", "docs"))
+        chosen = rarest(place, seed, docs, size, n, wanted(size, least, evidence, match))
         return pd.DataFrame({"item_key": rows["item_key"].iloc[0], "seed": chosen})
 
     asking = counted.groupBy("item_key").applyInPandas(rare, "item_key string, seed long")
@@ -237,45 +249,51 @@ def candidates(
 
 
 def pair_tiles(
-    places: np.ndarray, seeds: np.ndarray, item: np.ndarray, n: int, size: int, need: float
+    shared: list[tuple[np.ndarray, np.ndarray]], n: int, size: int, need: float
 ) -> list[tuple[int, int, int]]:
-    """Tiles of a text, given by its seeds, and an item; none where seeds cover too little."""
-    if size < need:
+    """Tiles of a text and an item of ``size`` tokens; none where seeds cover too little.
+
+    ``shared`` has the places in the text and in the item for each seed that both hold.
+    """
+    if size < need or not shared:
         return []
-    order = np.argsort(item, kind="stable")
-    value = item[order]
-    low = np.searchsorted(value, seeds, "left")
-    count = np.searchsorted(value, seeds, "right") - low
-    if _reach(np.flatnonzero(np.isin(item, seeds)), n, size) < need or not count.any():
+    if _reach(np.concatenate([item for _, item in shared]), n, size) < need:
         return []
-    at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-    return tile(np.repeat(places, count), order[at], n)
+    left = np.concatenate([np.repeat(text, len(item)) for text, item in shared])
+    right = np.concatenate([np.tile(item, len(text)) for text, item in shared])
+    return tile(left, right, n)
 
 
 FIGURES = "key string, item_key string, item_tokens long, matched long, tiles long, longest long"
 
 
-def tiled(pairs: DataFrame, least: float, match: int, evidence: int) -> DataFrame:
+def tiled(
+    pairs: DataFrame, texts: DataFrame, seeds: DataFrame, least: float, match: int, evidence: int
+) -> DataFrame:
     """``FIGURES`` of the pairs that are covered enough."""
+    both = F.collect_list(F.struct("places", "item_places")).alias("shared")
+    met = pairs.join(texts, "key").join(seeds, ["item_key", "seed"])
+    sized = met.groupBy("key", "item_key", "text_tokens", "item_tokens", "n").agg(both)
 
     def run(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                r = {c: batch.column(c)[row] for c in batch.schema.names}
-                arrays = [r[c].values.to_numpy() for c in ("places", "seeds", "item_seeds")]
-                n, size = r["n"].as_py(), r["item_tokens"].as_py()
-                need = wanted(size, least, evidence, match, r["text_tokens"].as_py())
-                sizes = [t[2] for t in pair_tiles(*arrays, n, size, need)]
+            rows = []
+            for r in (dict(zip(batch.schema.names, row)) for row in zip(*batch.columns)):
+                keys = r["key"].as_py(), r["item_key"].as_py()
+                n, size, length = (r[c].as_py() for c in ("n", "item_tokens", "text_tokens"))
+                need = wanted(size, least, evidence, match, length)
+                places = [r["shared"].values.field(c) for c in ("places", "item_places")]
+                arrays = [[x.values.to_numpy() for x in p] for p in places]
+                sizes = [t[2] for t in pair_tiles(list(zip(*arrays)), n, size, need)]
                 if sizes and sum(sizes) >= need:
-                    keys = [[r["key"].as_py()], [r["item_key"].as_py()]]
-                    figures = [[size], [sum(sizes)], [len(sizes)], [max(sizes)]]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(k, pa.string()) for k in keys),
-                         *(pa.array(f, pa.int64()) for f in figures)],
-                        names=FIGURE_NAMES,
-                    )
+                    rows.append((*keys, size, sum(sizes), len(sizes), max(sizes)))
+            columns = zip(*rows) if rows else [[]] * len(FIGURE_NAMES)
+            types = [pa.string()] * 2 + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(columns, types)], names=FIGURE_NAMES
+            )
 
-    return pairs.mapInArrow(run, FIGURES)
+    return sized.mapInArrow(run, FIGURES)
 
 
 FIGURE_NAMES = ["key", "item_key", "item_tokens", "matched", "tiles", "longest"]
@@ -293,9 +311,7 @@ def contaminated(
     lengths = sorted(r.n for r in asked.select("n").distinct().collect())  # at most ``match``
     met = stage(text_seeds(texts.filter("text is not null"), seed_filter(asked), lengths), "seeds")
     pairs = candidates(met, asked, least, match, evidence)
-    return stage(
-        tiled(pairs.join(met, "key").join(asked, "item_key"), least, match, evidence), "tiled"
-    )
+    return stage(tiled(pairs, met, asked, least, match, evidence), "tiled")
 
 
 def _texts(df: DataFrame, text: str) -> DataFrame:
