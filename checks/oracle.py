@@ -798,6 +798,15 @@ for _name, _metric, _n, _also in (
 ):
     sql(_name, "ext", _ranked(
         f"ROUTE_NAME_CITY, CARRIER, {_metric}{_also}", "ext", f"{_metric} DESC", _n))
+sql("r20_leaders", "ext", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{metric}' AS RANKING, row_number() OVER (ORDER BY {metric} DESC NULLS LAST, "
+    f'{_TIES})::INT AS "POSITION", ROUTE_NAME_CITY, CARRIER, {metric}::DOUBLE AS "VALUE" FROM ext) '
+    f'WHERE "POSITION" <= {n}'
+    for metric, n in (
+        ("PROFIT_MARGIN_PCT", 10), ("PROFIT_PER_FLIGHT", 10), ("PROFIT_PER_PASSENGER", 10),
+        ("REVENUE_PER_PASSENGER", 10), ("BAGGAGE_REVENUE_PCT", 10), ("FLIGHTS_PER_1000_MILES", 10),
+        ("PROFIT", 10), ("ESTIMATED_PASSENGERS", 50),
+    )))
 sql("r29_occupancy_and_distance", "ml", """
 SELECT ROUTE_NAME_CITY, ONE_WAY_DISTANCE_MILES, AVG_OCCUPANCY_RATE, ESTIMATED_PASSENGERS FROM ml""")
 sql("r30_cost_and_revenue", "ml", """
@@ -933,6 +942,7 @@ FROM nation""", **_CLEAN_AIRPORTS, airports="SELECT * FROM cleana",
 ORACLE["p08_incremental_flights"] = ORACLE["p02_clean_flights"]
 sql("p04_route_kpis", "kpi", "SELECT * FROM kpi")
 ORACLE["p09_incremental_kpis"] = ORACLE["p04_route_kpis"]
+ORACLE["p10_colocated_kpis"] = ORACLE["p04_route_kpis"]
 sql("p05_route_kpis_extended", "ext", "SELECT * FROM ext")
 _LISTS = {
     "busiest": (_R["r01_busiest"], "TOTAL_FLIGHTS"),

@@ -17,7 +17,7 @@ from skyledger.functions.money import round_half_even
 from skyledger.operators import aggregates as agg
 from skyledger.operators import cleaning, joins, kpis, outliers, prediction, quality, ranking
 from skyledger.params import SweetSpot
-from skyledger.plans import answers, explore, files, incremental, qc, routes
+from skyledger.plans import answers, colocated, explore, files, incremental, qc, routes
 from skyledger.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -761,6 +761,16 @@ QUERIES["r27_top_passengers_and_delay"] = _top(
 )
 
 
+@query("r20_leaders")
+def _(spark, sf):
+    """The lists of the eight entries above in one pass."""
+    best = explore.leaders(extended_table(spark, sf))
+    value = F.coalesce(
+        *[F.when(F.col("RANKING") == c, F.col(c).cast("double")) for c in explore.LEADERS]
+    )
+    return best.select("RANKING", "POSITION", "ROUTE_NAME_CITY", "CARRIER", value.alias("VALUE"))
+
+
 @query("r28_null_order")
 def _(spark, sf):
     return quality.null_profile(typed_flights(spark, sf)).select("column_name", "null_count")
@@ -904,6 +914,16 @@ def _(spark, sf):
     return store.kpis(proxy.airports(spark, sf))
 
 
+@query("p10_colocated_kpis")
+def _(spark, sf):
+    """The KPI table from bucketed routes."""
+    folder = tables.staging_path(spark, "buckets")
+    kept = colocated.RouteTables(spark, f"routes_{folder[-32:]}", folder, 8)
+    kept.write_flights(proxy.flights(spark, sf))
+    kept.write_tickets(proxy.tickets(spark, sf))
+    return kept.kpis(proxy.airports(spark, sf))
+
+
 @query("p05_route_kpis_extended")
 def _(spark, sf):
     return extended_table(spark, sf)

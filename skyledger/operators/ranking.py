@@ -5,7 +5,9 @@ Nulls rank last in both directions, and ties are broken by route and carrier.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,6 +84,48 @@ def top_k(
     return ranked.select(*columns) if columns else ranked
 
 
+@dataclass(frozen=True)
+class Ranking:
+    """The ``n`` rows of largest ``metrics``, compared one after the other; ``least`` turns the
+    order round, and only rows that meet ``where`` take part."""
+
+    metrics: tuple[str, ...]
+    n: int = 10
+    least: bool = False
+    where: Column | None = None
+
+
+def top_each(df: DataFrame, rankings: Mapping[str, Ranking]) -> DataFrame:
+    """Many rankings of one table in one pass: ``RANKING``, ``POSITION`` from 1, and the row.
+
+    Each gives the rows that ``top_k`` gives. A row stands once for each ranking inside its task
+    only: a task sends at most as many rows of a ranking as the largest ``n``. Nulls rank last.
+    """
+    if not rankings:
+        raise ValueError("name one ranking at least")
+    taken = [c for c in ("RANKING", "POSITION") if c in df.columns]
+    if taken:
+        raise ValueError(f"columns are in the table already: {taken}")
+    entered = [
+        F.lit(name) if r.where is None else F.when(r.where, F.lit(name))
+        for name, r in rankings.items()
+    ]
+    rows = df.select("*", F.explode(F.array_compact(F.array(*entered))).alias("RANKING"))
+    order, inside = [], []
+    for name, r in rankings.items():
+        own = F.col("RANKING") == name
+        sort = F.asc_nulls_last if r.least else F.desc_nulls_last
+        order += [sort(F.when(own, F.col(c))) for c in r.metrics]
+        inside.append(own & (F.col("POSITION") <= r.n))
+    order += [F.asc_nulls_last(c) for c in TIE_BREAK if c in df.columns]
+    ranked = rows.withColumn(
+        "POSITION", F.row_number().over(Window.partitionBy("RANKING").orderBy(*order))
+    )
+    most = max(r.n for r in rankings.values())
+    best = ranked.where(F.col("POSITION") <= most).where(reduce(lambda x, y: x | y, inside))
+    return best.select("RANKING", "POSITION", *df.columns)
+
+
 def best_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each group; each task sends at most one candidate per group."""
     ties = [F.asc_nulls_last(c) for c in TIE_BREAK if c in df.columns]

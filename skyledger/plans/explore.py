@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from skyledger.functions.text import latitude, longitude
 from skyledger.operators.aggregates import delay_metrics, route_summary, sum_by_route
 from skyledger.operators.ranking import (
+    Ranking,
     ascending,
     best_per_group,
     descending,
     first_stored,
     positive,
     sweet_spot,
+    top_each,
     top_k,
 )
 from skyledger.params import DEFAULT_SWEET_SPOT, SweetSpot
@@ -102,6 +104,19 @@ def top_by(extended: DataFrame, metric: str, n: int = 10, also: tuple[str, ...]
     return top_k(extended, descending(metric), n, columns)
 
 
+# The ratio KPIs that routes are ranked by, with the length of each list.
+LEADERS = {
+    "PROFIT_MARGIN_PCT": 10, "PROFIT_PER_FLIGHT": 10, "PROFIT_PER_PASSENGER": 10,
+    "REVENUE_PER_PASSENGER": 10, "BAGGAGE_REVENUE_PCT": 10, "FLIGHTS_PER_1000_MILES": 10,
+    "PROFIT": 10, "ESTIMATED_PASSENGERS": 50,
+}
+
+
+def leaders(extended: DataFrame) -> DataFrame:
+    """All lists of ``top_by`` from one pass, named after their metric."""
+    return top_each(extended, {c: Ranking((c,), n) for c, n in LEADERS.items()})
+
+
 def occupancy_and_distance(routes: DataFrame) -> DataFrame:
     return routes.select(
         CITY, "ONE_WAY_DISTANCE_MILES", "AVG_OCCUPANCY_RATE", "ESTIMATED_PASSENGERS"

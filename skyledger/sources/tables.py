@@ -121,6 +121,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mark_nan: bool =
         raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
 
 
+def write_bucketed(
+    df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int
+) -> DataFrame:
+    """Overwrite ``table``, kept as Parquet at ``path``, dealt to buckets by ``keys`` and sorted
+    by them inside; tables with as many buckets meet on these keys without a shuffle.
+
+    One task writes a bucket as one file, so keys should be spread: bucket grouped rows, of which a
+    hot key has few, not the rows that they were made of.
+    """
+    dealt = df.repartition(buckets, *keys)
+    writer = dealt.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder that intermediate tables go to.
 
