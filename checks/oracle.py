@@ -942,6 +942,7 @@ FROM nation""", **_CLEAN_AIRPORTS, airports="SELECT * FROM cleana",
 ORACLE["p08_incremental_flights"] = ORACLE["p02_clean_flights"]
 sql("p04_route_kpis", "kpi", "SELECT * FROM kpi")
 ORACLE["p09_incremental_kpis"] = ORACLE["p04_route_kpis"]
+ORACLE["c07_audit_store"] = ORACLE["c07_conversion_error_report"]
 ORACLE["p10_colocated_kpis"] = ORACLE["p04_route_kpis"]
 sql("p05_route_kpis_extended", "ext", "SELECT * FROM ext")
 _LISTS = {

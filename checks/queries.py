@@ -18,7 +18,7 @@ from skyledger.operators import aggregates as agg
 from skyledger.operators import cleaning, joins, kpis, outliers, prediction, quality, ranking
 from skyledger.params import SweetSpot
 from skyledger.plans import answers, colocated, explore, files, incremental, qc, routes
-from skyledger.sources import tables
+from skyledger.sources import audit, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,6 +186,16 @@ def _(spark, sf):
     return cleaning.conversion_error_report(proxy.edge_cells(spark, sf), EDGE_KINDS)
 
 
+@query("c07_audit_store")
+def _(spark, sf):
+    """The report of the entry above, read from a store that the converting pass leaves."""
+    edge = proxy.edge_cells(spark, sf).select(*EDGE_KINDS)
+    parsed = tables.stage(cleaning.convert_audited(edge, EDGE_KINDS), "converted")
+    store = audit.AuditStore(spark, tables.staging_path(spark, "audit"))
+    store.write(parsed, {"before": cleaning.all_failed("_failed", "_before")})
+    return store.report("before")
+
+
 @query("c08_fill_by_type")
 def _(spark, sf):
     typed = typed_flights(spark, sf)

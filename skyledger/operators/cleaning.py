@@ -132,18 +132,22 @@ def convert_audited(
     )
 
 
+def cell_error() -> Column:
+    """Why the failed cell of columns ``raw`` and ``is_text`` did not convert."""
+    raw, nothing = F.col("raw"), F.lit(None)
+    return F.when(F.col("is_text"), conversion_error(raw, nothing)).otherwise(
+        conversion_error(raw, nothing, raw_is_text=False)
+    )
+
+
 def error_report(df: DataFrame, cells: Column) -> DataFrame:
     """Distinct failures per column with their number of rows, whole and shortened detail.
 
     Only failed cells are classified, and equal failures are combined before the shuffle.
     """
-    raw, nothing = F.col("raw"), F.lit(None)
-    error = F.when(F.col("is_text"), conversion_error(raw, nothing)).otherwise(
-        conversion_error(raw, nothing, raw_is_text=False)
-    )
     return (
         df.select(F.inline(cells))
-        .select("column_name", error.alias("error"))
+        .select("column_name", cell_error().alias("error"))
         .groupBy("column_name", "error.error_type", "error.detail")
         .agg(F.count("*").alias("row_count"))
         .withColumn("printed_detail", shorten(F.col("detail")))

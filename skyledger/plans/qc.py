@@ -28,6 +28,7 @@ from skyledger.operators.quality import (
 )
 from skyledger.operators.quantiles import exact_quantiles
 from skyledger.params import LARGE, MEDIUM
+from skyledger.sources.audit import AuditStore
 from skyledger.sources.tables import stage_measured
 
 UNKNOWN = "Unknown"
@@ -100,6 +101,8 @@ def run_qc(
     formats: Sequence[str] = ISO_FORMATS,
     exact: bool = True,
     profile: bool = False,
+    audit: str | None = None,
+    audit_keys: Sequence[str] = (),
 ) -> QcResult:
     """Audit, convert, filter, impute, drop, deduplicate, impute again, cap.
 
@@ -110,7 +113,9 @@ def run_qc(
     ``number_ids`` names declared-text columns to treat as numbers, capping included;
     none by default, since capping an identifier destroys it. ``formats`` are the date formats
     tried in order. ``profile`` adds a profile of the converted columns, at the price of a
-    few more passes.
+    few more passes. ``audit`` names a folder where the failed cells are kept (``AuditStore``,
+    steps ``before`` and ``after``), with the columns of ``audit_keys``; the error reports read
+    that folder alone.
     """
     kinds = plan.typed_as(number_ids)
     parsed, gaps = stage_measured(
@@ -119,10 +124,13 @@ def run_qc(
         [F.count_if(F.col(c).isNull()).alias(c) for c in plan.allowed],
     )
     typed = parsed.select(*kinds)
-    reports = {
-        "errors_before": error_report(parsed, all_failed("_failed", "_before")),
-        "errors_after": error_report(parsed, all_failed("_failed", "_after")),
-    }
+    failed = {step: all_failed("_failed", f"_{step}") for step in ("before", "after")}
+    if audit:
+        store = AuditStore(raw.sparkSession, audit)
+        store.write(parsed, failed, audit_keys)
+        reports = {f"errors_{step}": store.report(step) for step in failed}
+    else:
+        reports = {f"errors_{step}": error_report(parsed, cells) for step, cells in failed.items()}
     if profile:
         reports["profile"] = column_profile(typed, exact=exact)
     reports["nulls_before"] = null_profile(typed)
