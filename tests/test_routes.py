@@ -127,6 +127,38 @@ def test_a_hot_key_of_an_outer_join_is_split(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("null_safe", [False, True])
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_a_hot_key_is_dealt_to_several_tasks(spark, monkeypatch, how, null_safe):
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        # equal rows of one key, some without a key, and a key that is hot on the other side
+        left = spark.range(3000).selectExpr(
+            "case when id < 2000 then 1 when id < 2300 then null when id < 2303 then 2 else id end as k",
+            "cast(id % 2 as int) as v",
+        )
+        right = spark.range(1200).selectExpr(
+            "cast(case when id < 3 then 1 when id < 7 then null when id < 400 then 2"
+            " when id < 800 then 7 else id + 2000 end as int) as q", "id % 3 as w",
+        )
+        plain = joins.join_on(left, right, ["k"], ["q"], how, null_safe, hot_keys=False)
+        dealt = joins.join_on(left, right, ["k"], ["q"], how, null_safe)
+        assert plain.dtypes == dealt.dtypes
+        assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
+        hot = dealt.where("k = 1 and w = 0").groupBy(F.spark_partition_id()).count()
+        assert hot.agg(F.max("count")).first()[0] < 2000
+        for hot_key in (left.where("k = 1"), left.where("k = 2303").limit(1)):
+            alone = joins.join_on(hot_key, right.where("q = 5"), ["k"], ["q"], "left")
+            assert alone.count() == hot_key.count()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_sums_of_unknown_groups_are_zero(spark):
     rows = [("x", None, None, None), ("x", None, None, None), ("y", 2.0, 3.0, 4.0)]
     df = spark.createDataFrame(
