@@ -154,13 +154,23 @@ class TableFacts:
         return [c for c, n in self.nulls.items() if n]
 
 
+#: Column that tells the rows the summaries are taken from. Worked out once for a row, ahead of the
+#: measures: each of their sketches would otherwise hash the whole row anew.
+DRAWN = "__drawn"
+
+
+def with_drawn(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the column that ``fact_measures`` of ``columns`` reads."""
+    return df.withColumn(DRAWN, some_rows(df.select(*columns)))
+
+
 def fact_measures(df: DataFrame, numbers: Sequence[str]) -> list[Column]:
-    """Aggregates that ``read_facts`` picks up from the result."""
+    """Aggregates, over ``with_drawn``, that ``read_facts`` picks up from the result."""
     return [
         F.count(F.lit(1)).alias("*:rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"{c}:gaps") for c in df.columns],
         *[F.avg(c).alias(f"{c}:mean") for c in numbers],
-        *extent_measures(numbers, some_rows(df)),
+        *extent_measures(numbers, F.col(DRAWN)),
     ]
 
 
@@ -177,11 +187,12 @@ def read_facts(
 
 def table_facts(df: DataFrame, numbers: Sequence[str]) -> TableFacts:
     """The facts of all columns from one aggregate."""
-    return read_facts(df.agg(*fact_measures(df, numbers)).first(), df.columns, numbers)
+    row = with_drawn(df, df.columns).agg(*fact_measures(df, numbers)).first()
+    return read_facts(row, df.columns, numbers)
 
 
 def kind_measures(df: DataFrame) -> list[Column]:
-    """Facts and a sketch of the distinct values of every number column."""
+    """Facts and a sketch of the distinct values of every number column, over ``with_drawn``."""
     numbers = numeric_columns(df)
     sketches = [F.approx_count_distinct(c).alias(f"{c}:values") for c in numbers]
     return [*fact_measures(df, numbers), *sketches]
@@ -193,7 +204,7 @@ def facts_and_kinds(
     """Facts and the kind of every column, from one pass over the whole table and one over
     its narrow columns. ``measured`` holds ``kind_measures`` taken already."""
     numbers = numeric_columns(df)
-    row = measured or df.agg(*kind_measures(df)).first()
+    row = measured or with_drawn(df, df.columns).agg(*kind_measures(df)).first()
     estimates = {c: row[f"{c}:values"] for c in numbers}
     kinds = classify_columns(df, threshold, estimates=estimates)
     return read_facts(row, df.columns, numbers), kinds

@@ -13,6 +13,7 @@ from skyledger.functions.text import ISO_FORMATS
 from skyledger.operators.cleaning import all_failed, convert_audited, error_report
 from skyledger.operators.outliers import clip_columns, mad_bounds, mad_report, outlier_summary
 from skyledger.operators.quality import (
+    DRAWN,
     classify_columns,
     column_profile,
     copies,
@@ -25,6 +26,7 @@ from skyledger.operators.quality import (
     null_counts,
     null_profile,
     numeric_columns,
+    with_drawn,
 )
 from skyledger.operators.quantiles import exact_quantiles
 from skyledger.params import LARGE, MEDIUM
@@ -165,14 +167,14 @@ def finish_qc(
     kept = filtered.drop(*dropped)
 
     distinct, measured = stage_measured(
-        copies(kept, "copy_count"), "distinct", kind_measures(kept)
+        with_drawn(copies(kept, "copy_count"), kept.columns), "distinct", kind_measures(kept)
     )
     n = F.col("copy_count")
     reports["duplicates"] = distinct.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("total_count"),
         F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("duplicate_count"),
     ).withColumn("duplicate_pct", ratio(F.col("duplicate_count"), F.col("total_count")) * 100)
-    unique = distinct.drop("copy_count")
+    unique = distinct.drop("copy_count", DRAWN)
 
     reports["nulls_after"] = null_profile(unique)
     facts, kinds_now = facts_and_kinds(unique, measured=measured)

@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skyledger.operators import quality
 from skyledger.operators.cleaning import (
@@ -160,3 +161,16 @@ def test_date_parts_rounding_and_numbers(spark):
     assert dated == [(2019, 3), (None, None)]
     assert [r["m"] for r in round_money(df).collect()] == [0.12, None]
     assert [r["n"] for r in clean_numeric_columns(df, ["n", "m"]).collect()] == [2.0, 3.5]
+
+
+def test_rows_of_the_summaries_are_drawn_once(spark):
+    df = spark.range(4000).selectExpr("id % 97 / 4.0 as a", "cast(id as double) as b", "string(id) as t")
+    measures = quality.kind_measures(df)
+    assert not any("xxhash64" in str(m) for m in measures)  # not again for each column
+    facts, kinds = quality.facts_and_kinds(df)
+    assert kinds.numerical == ["a", "b"] and facts.rows == 4000
+    drawn = df.where(quality.some_rows(df))
+    assert 0 < drawn.count() < 1000
+    points = [i / 64 for i in range(65)]
+    expected = drawn.agg(F.percentile_approx("b", points, 1000)).first()[0]
+    assert facts.extents["b"].depth == tuple(expected)
