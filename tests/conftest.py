@@ -9,6 +9,8 @@ from checks.session import local_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SESSION = local_session(cpus=4, partitions=4)  # test modules build columns while they are imported
+# Plans are read whole: a filter list is cut at 100 characters, sooner as column numbers grow.
+SESSION.conf.set("spark.sql.maxMetadataStringLength", "2000")
 
 
 @pytest.fixture(scope="session")
