@@ -70,6 +70,26 @@ def test_bytes_of_an_odd_table(odd):
     assert mine == theirs
 
 
+def test_planted_passages_show_in_the_removed_bytes(spark):
+    """60 words go from op3 if they fill 400 bytes, from op2 either way; the size tells neither."""
+    long, short = (" ".join(f"{c}{i:0{n}d}" for i in range(60)) for c, n in (("p", 7), ("q", 3)))
+    assert len(long) == 539 and len(short) == 299
+    plant = [long] * 5 + [short] * 5 + [""] * 10
+    rows = [
+        (i, " ".join([*(f"a{i}.{j}" for j in range(80)), p, *(f"b{i}.{j}" for j in range(80))]))
+        for i, p in enumerate(plant)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(suffixes.suffix_digest(docs).collect())
+    # ".79 " before a passage and " b" after it are shared as well.
+    assert [r.n_removed for r in got] == [545] * 5 + [0] * 15
+    assert [r.n_bytes for r in got] == [len(t) for _, t in rows]
+    mine = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got]
+    assert mine == brute_bytes([t for _, t in rows])
+    words = sorted(substring.substring_digest(docs).collect())
+    assert [r.n_removed for r in words] == [0, *[60] * 4, 0, *[60] * 4, *[0] * 10]
+
+
 def test_a_text_longer_than_a_chunk_is_cut_without_loss(odd, monkeypatch):
     """Every window lies in just one piece."""
     small = Windows(size=40, gram=8, by_words=False, sample=4, chunk=700)
